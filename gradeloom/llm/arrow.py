@@ -19,7 +19,7 @@ def map_rows(df: DataFrame, schema: str, function: Callable[[Iterable[tuple]], I
 
     Rows stream through: neither a partition nor its output is held as a whole.
     """
-    spark = prepare(df.sparkSession)
+    prepare(df.sparkSession)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,5 +39,4 @@ def map_rows(df: DataFrame, schema: str, function: Callable[[Iterable[tuple]], I
     def pack(held: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*held), target)], schema=target)
 
-    del spark
     return df.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import labels, mixing, noise, packing, pairs, quality, spam, splitting, tokens, truncation
+from gradeloom.session import checkpointed
 from gradeloom.sources.tables import table
 
 
@@ -16,7 +17,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.page_scores(quality.page_statistics(table(spark, folder, "ocr_lines")))
+    return quality.page_scores(checkpointed(quality.page_statistics(table(spark, folder, "ocr_lines"))))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
