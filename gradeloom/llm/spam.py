@@ -74,7 +74,7 @@ def spam_measures(text: str | None) -> tuple[int, int, int, int]:
     rest = _SPELLED.sub(lambda m: m[0].replace(" ", "").replace("-", ""), rest)
     total = sum(map(str.isalpha, rest)) + linked + tagged
     sequence: list[str] = []
-    loose = 0
+    sizes: list[int] = []
     for line in _WRAPPED.sub(" ", rest).split("\n"):
         if _ENUMERATED.match(line) or _NUMBER_ROW.match(line.strip()) or ("(a)" in line and "(b)" in line):
             continue
@@ -85,13 +85,13 @@ def spam_measures(text: str | None) -> tuple[int, int, int, int]:
             for word in words:
                 if not word.isdigit():
                     sequence.append(fold_word(word))
-                    loose += len(word)
+                    sizes.append(len(word))
     automaton = SuffixAutomaton(sequence)
     suffixes = automaton.repeated_suffixes(sequence)
     # A single short word that returns says nothing; a phrase or a longer word does.
     suffixes = [n if n > 1 or len(w) > 2 else 0 for n, w in zip(suffixes, sequence)]
-    repeated = sum(len(w) for w, hit in zip(sequence, covered(suffixes)) if hit)
-    return total, linked + tagged, loose, repeated
+    repeated = sum(n for n, hit in zip(sizes, covered(suffixes)) if hit)
+    return total, linked + tagged, sum(sizes), repeated
 
 
 def spam_share(measures: tuple[int, int, int, int], least: float) -> float:
