@@ -23,14 +23,16 @@ from gradeloom.llm.wordlists import ALL_FUNCTION_WORDS, FUNCTION_WORDS
 # Phrases that refuse an answer.
 REFUSALS = """
 i don't know|i do not know|dont know|don't know the answer|i have no clue|i have no idea|no idea|no clue|nothing comes to mind|my mind went blank|i forgot|cannot remember|can't remember|do not remember
-i could not do|i could not answer|i couldn't answer|i cannot answer|i can't answer|i can not answer|i am unable to|i'm unable to|i was unable to|unable to answer|i can't help with|i cannot help with|i can't assist|i cannot assist|it is not possible for me to|it's not possible for me to|not possible for me to
-i refuse to|i decline to|i would rather not|i'd rather not|i prefer not to|i will not attempt|i won't be answering|i will not answer|i won't answer|i am not going to|i'm not going to|not attempting|i give up|i pass|skipping this|skipping|i skip|will come back if time allows|please excuse me from
+i could not do|i could not answer|i couldn't answer|i cannot answer|i can't answer|i can not answer|i am unable to|i'm unable to|i was unable to|unable to answer|i can't help with|i cannot help with|i can't assist|i cannot assist|it is not possible for me to write about|it is not possible for me to|it's not possible for me to|not possible for me to
+i refuse to|i decline to write about|i decline to|i am not able to provide an answer|i am not able to|i'm not able to|i would rather not|i'd rather not|i prefer not to|i will not attempt|i won't be answering|i will not answer|i won't answer|i am not going to|i'm not going to|not attempting|i give up|i pass|skipping this|skipping|i skip|will come back if time allows|please excuse me from
 cannot be provided by me|can't be provided by me|i did not study|i didn't study|i have not studied|i never understood|i did not understand|we were never taught|i was never taught|there is nothing i can write|nothing i can write|no answer from my side|i am leaving this|leaving this blank|i leave it|i leave this|out of syllabus|not in the syllabus|not able to answer|as an automated assistant|as an ai|as a language model
 no sé|no lo sé|no tengo ni idea|ni idea|no puedo responder|no puedo contestar|no puedo ayudar|prefiero no responder|prefiero no contestar|dejo esta parte|dejo en blanco|sin respuesta|lo dejo así|no estudié|olvidé todo|he olvidado|no recuerdo|no voy a responder|paso de esta|me rindo
 je ne sais pas|je ne sais rien|je ne connais pas la réponse|je ne peux pas répondre|je ne peux pas|je préfère ne pas|je refuse de|aucune idée|j'ai tout oublié|j'ai oublié|je laisse cette partie|sans réponse|je n'ai pas étudié|je n'ai pas appris|je passe|j'abandonne|je ne me souviens pas
 ich weiß nichts|ich weiß die antwort|ich weiß es nicht|ich weiß nicht|keine ahnung|ich kann diese frage nicht|kann ich das nicht beantworten|nicht beantworten|ich möchte hier nicht|nicht antworten|ich habe alles über|vergessen|ich gebe bei dieser aufgabe auf|ich gebe auf|ich lasse es aus|nicht gelernt|ich überspringe
 मुझे नहीं पता|मुझे उत्तर नहीं|मुझे इसका उत्तर नहीं|मैं उत्तर नहीं|उत्तर नहीं दे सकता|उत्तर नहीं आता|मुझे याद नहीं|नहीं पढ़ा
 """
+# Phrases that only look like a refusal.
+NO_REFUSALS = "i don't know of any|i do not know of any|no idea can|no clue can"
 # Phrases that excuse or go with a refusal.
 EXCUSES = """
 as my time is over|time is over|the teacher never reached it|we skipped that chapter|maybe next time|better luck next time|i hope you understand|please give me grace marks|please give grace marks|give grace marks|grace marks|since it is not in our book|it is not in our book|because i was absent that week|i was absent that week|i was absent|my notes were lost|because it was not in the syllabus|this question at this time|at this time|to transcribe or answer this image|transcribe or answer this image|reading this page|the content of this page|anything about this topic|about this topic|from this question|for this part|this chapter|on purpose|completely|sorry sir
@@ -52,6 +54,9 @@ LANGUAGE_NAMES = {
     "english": "en", "inglés": "en", "anglais": "en", "englisch": "en", "अंग्रेज़ी": "en", "german": "de", "alemán": "de", "allemand": "de", "deutsch": "de",
     "french": "fr", "francés": "fr", "français": "fr", "französisch": "fr", "spanish": "es", "español": "es", "espagnol": "es", "spanisch": "es", "hindi": "hi", "हिंदी": "hi",
 }
+_UNREAD = re.compile(r"\[(?:illegible|unclear|unreadable)\]|\?\?+|_{3,}")
+#: Words of content that a refusal may hold besides its phrases, to name its topic.
+MOST_OTHER = 4
 _PERSONS = frozenset("i me my ich je yo mir mich se lo this it".split())
 _ASKS = re.compile(r"\b(?:in|into|en|auf|ins|al|to)\s+(" + "|".join(LANGUAGE_NAMES) + r")\b|(हिंदी|अंग्रेज़ी) में", re.IGNORECASE)
 _PLACEHOLDER = re.compile(r"^[\W_]*(?:(?:n\s?/\s?a|na|nil|none|null|blank|left blank|no answer|not answered|empty|sin respuesta|en blanco|vide|leer|tbd|xxx+)[\W_]*)?$", re.IGNORECASE)
@@ -76,9 +81,9 @@ def _tree(phrases: Iterable[str]) -> dict:
 
 
 @cache
-def _trees() -> tuple[dict, dict]:
+def _trees() -> tuple[dict, dict, dict]:
     split = lambda s: [p for line in s.strip().split("\n") for p in line.split("|")]
-    return _tree(split(REFUSALS)), _tree(split(EXCUSES))
+    return _tree(split(REFUSALS)), _tree(split(EXCUSES)), _tree(split(NO_REFUSALS))
 
 
 def plain_answer(text: str) -> str:
@@ -102,30 +107,33 @@ def _heading(line: str) -> bool:
 
 def is_refusal(answer: str, question: str | None = None) -> bool:
     """True if an answer only says that none is given: a phrase of refusal, and hardly anything else but excuses and the topic."""
-    refusals, excuses = _trees()
+    trees = _trees()
+    answer = _UNREAD.sub(" ", answer)
     words = _words(answer) if not re.search("[ऀ-ॿ]", answer) else re.split(r"[\s।,.!?;:]+", answer)
     topic = set(_words(question or ""))
     i, refused, rest = 0, False, 0
     while i < len(words):
-        step = 0
-        for tree in (refusals, excuses):
+        step, kind = 0, None
+        for tree in trees:
             node, j, end = tree, i, 0
             while j < len(words) and words[j] in node:
                 node = node[words[j]]
                 j += 1
                 if "" in node:
                     end = j - i
-            if end:
-                refused |= tree is refusals
-                step = max(step, end)
+            if end > step:
+                step, kind = end, tree
+        if kind is trees[2]:
+            return False
+        refused |= kind is trees[0]
         if not step:
             w = words[i]
             rest += bool(w) and w not in ALL_FUNCTION_WORDS and w not in topic and w not in _PERSONS
-            if rest > 3:
+            if rest > MOST_OTHER:
                 return False
             step = 1
         i += step
-    return refused and rest * 3 <= len(words)
+    return refused and rest * 2 <= len(words)
 
 
 def copied_share(answer: list[str], prompt: list[str]) -> float:
