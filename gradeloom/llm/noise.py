@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.arrow import map_rows
-from gradeloom.llm.pages import HYPHENS, PAGE_NUMBER, REACH, broken_end, first_word, header_keys, join_halves, scan_pages
+from gradeloom.llm.pages import HYPHENS, PAGE_NUMBER, REACH, broken_end, first_word, header_keys, join_halves, page_openings, scan_pages
 from gradeloom.llm.vocabulary import CLEAN, STRIP, corpus_counts, frequent_words
 from gradeloom.llm.wordlists import ALL_FUNCTION_WORDS
 from gradeloom.session import checkpointed, prepare
@@ -145,7 +145,7 @@ def header_templates(scanned: DataFrame, least: int = 3, share: float = 0.9) ->
 def over_pages(scanned: DataFrame, known: Broadcast) -> DataFrame:
     """line_uid, fixed, sure: words broken over the end of a page, joined to the first lines of the paper's next page."""
     halves = scanned.where("what = 'half'").select("paper_id", "page", "line_uid", F.col("a").alias("half"), F.col("x").alias("within"))
-    openings = scanned.where("what = 'opening'").select("paper_id", (F.col("page") - 1).alias("page"), F.col("a").alias("opening"))
+    openings = page_openings(scanned).select("paper_id", "page", F.col("a").alias("opening"))
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         words = known.value

@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.arrow import map_rows
@@ -35,6 +35,7 @@ _PAGE_TAIL = re.compile(rf"\s+(?:{_PAGE_WORD})\s*[.:|]?\s*[\dl]{{1,4}}(?:\s+of\s
 # Letters and signs that scanning confuses, each class under one sign, applied in this order.
 _FOLDS = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ii", "n"), ("u", "n"), ("0", "o"), ("a", "o"), ("c", "e"), ("e", "o"), ("1", "l"), ("i", "l"), ("|", "l"), ("5", "s"), ("f", "t"), ("9", "g"), ("h", "b"))
 _WORDS = re.compile(r"[^\W_]+")
+_COUNTED = re.compile(r"\d{3,}'?\s*$")
 _PARTS = re.compile(r"\s+[-|]\s+")
 _NUMBER = re.compile(r"^\d+'?$|^[\dlO]{3,}$")
 
@@ -136,11 +137,11 @@ def scan_pages(lines: DataFrame, known: Broadcast, noise: bool, cuts: bool) -> D
     separated); rare (a: token that isn't known); hyphen (a: whole word); and,
     for breaks over pages, half (a: first half) and opening (a: first words of
     a page's first lines, tab separated).
-    cuts: tail (a: last two words, b: first token of the next line, x:
+    cuts: tail (a: last five words, b: first token of the next line, x:
     characters, y: room left on the line beside that word, by the longest
     running line of the page), last_tail (the same for the last line, without
-    a next word), both with _loose behind for lines outside running text, and
-    unread (x: characters) for ended lines of at least 500 characters.
+    a next word), both with _loose behind for lines outside running text,
+    dots (a: last four words) for lines that end in dots, and unread (x: characters) for ended lines of at least 500 characters.
     Both: opening (a: first words of a page's first lines, tab separated, b:
     the first token as it stands).
     """
@@ -160,6 +161,16 @@ def scan_pages(lines: DataFrame, known: Broadcast, noise: bool, cuts: bool) -> D
     return map_rows(ordered, RECORD, run)
 
 
+def page_openings(scanned: DataFrame) -> DataFrame:
+    """paper_id, page, a, b: for each page of running text, how the next such page of its paper opens.
+
+    Pages of lists, tables and junk between them are passed over. One row a page
+    is put in order, not its lines.
+    """
+    before = F.lag("page").over(Window.partitionBy("paper_id").orderBy("page"))
+    return scanned.where("what = 'opening'").select("paper_id", before.alias("page"), "a", "b").where("page is not null")
+
+
 def _pages(rows: Iterable[tuple]) -> Iterator[tuple]:
     at, block, last = None, [], None
     for paper, page, line, index, source, text in rows:
@@ -201,7 +212,7 @@ def scan_page(paper: int, page: int, block: list[tuple], words: dict[str, int],
             found = header_keys(text)
             if found:
                 if edge:
-                    loose[i] = classes[i] != PROSE or sum(w[:1].isupper() for w in text.split()) * 2 > len(text.split())
+                    loose[i] = classes[i] != PROSE or bool(_COUNTED.search(text)) or sum(w[:1].isupper() for w in text.split()) * 2 > len(text.split())
                 if noise:
                     if prose:  # the captions of lists and tables recur at edges too
                         for key in found:
@@ -213,7 +224,9 @@ def scan_page(paper: int, page: int, block: list[tuple], words: dict[str, int],
     body = [i for i in range(n) if not loose[i] and classes[i] != BLANK]
     place = {i: p for p, i in enumerate(body)}
     broken = [broken_end(block[i][3]) if i in place else None for i in range(n)]
-    width = max((len(block[i][3].rstrip()) for i in body if classes[i] == PROSE), default=0)
+    # Labels and hyphens are set besides the wrapped text: lines that run on in lower case tell its width.
+    running = [block[i][3].rstrip() for i in body if classes[i] == PROSE]
+    width = max((len(s) for s in running if s[0].islower() and s[-1] not in HYPHENS), default=0) or max(map(len, running), default=0)
     for i, (line, index, source, text) in enumerate(block):
         if noise:
             if classes[i] not in (FURNITURE, BLANK, JUNK) or (classes[i] == JUNK and i in place):
@@ -238,14 +251,16 @@ def scan_page(paper: int, page: int, block: list[tuple], words: dict[str, int],
                     yield "half", paper, page, line, index, source, half, None, int(bool(seconds)), None
         if cuts and i in place:
             s = text.rstrip()
-            if s and s[-1] not in ".!?।:;" + HYPHENS and s[-1] not in "\"')]”»":
+            if s.endswith(("...", "…")):
+                yield "dots", paper, page, line, index, source, " ".join(s.split()[-4:]), None, len(text), None
+            elif s and s[-1] not in ".!?।:;" + HYPHENS and s[-1] not in "\"')]”»":
                 parts = s.split()
                 after = body[place[i] + 1 : place[i] + 2]
                 following = block[after[0]][3].split(None, 1)[:1] if after else []
                 slack = width - len(s) - 1 - (len(following[0]) if following else 0)
                 what = "tail" if after else "last_tail"
-                running = classes[i] == PROSE or (place[i] > 0 and classes[body[place[i] - 1]] == PROSE and block[body[place[i] - 1]][3].rstrip()[-1:] not in ".!?।:")
-                yield what + ("" if running else "_loose"), paper, page, line, index, source, " ".join(parts[-2:]), following[0] if following else "", len(text), slack
+                flows = classes[i] == PROSE or (place[i] > 0 and classes[body[place[i] - 1]] == PROSE and block[body[place[i] - 1]][3].rstrip()[-1:] not in ".!?।:")
+                yield what + ("" if flows else "_loose"), paper, page, line, index, source, " ".join(parts[-5:]), following[0] if following else "", len(text), slack
             elif len(text) >= 500:
                 yield "unread", paper, page, line, index, source, None, None, len(text), None
     if body:

@@ -86,6 +86,17 @@ def _trees() -> tuple[dict, dict, dict]:
     return _tree(split(REFUSALS)), _tree(split(EXCUSES)), _tree(split(NO_REFUSALS))
 
 
+@cache
+def _endings() -> frozenset[tuple[str, ...]]:
+    return frozenset(tuple(w[-4:]) for line in (REFUSALS + EXCUSES).strip().split("\n") for p in line.split("|") for w in (_words(p),) if len(w) > 1 or len(p) > 6)
+
+
+def ends_in_excuse(tail: str) -> bool:
+    """True if the last words of a text, up to four, end a phrase of refusal or excuse."""
+    words = _words(tail)[-4:]
+    return any(tuple(words[-k:]) in _endings() for k in range(1, len(words) + 1))
+
+
 def plain_answer(text: str) -> str:
     """An answer without page numbers, likely running headers and line breaks; broken words are joined."""
     if "\n" not in text:

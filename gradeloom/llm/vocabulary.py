@@ -50,7 +50,8 @@ def _count(rows: Iterable[tuple], ends: bool) -> Iterator[tuple]:
             seconds = [NAME if t[0].isupper() and len(t) > 1 else w for t, w in zip(tokens[1:], words[1:])]
             counts.update([(PAIR, f"{w} {v}") for w, v in zip(words, seconds[:-1])])
             for i, token in enumerate(tokens):
-                if token[-1] in TERMINATORS and i and len(token) > 1:
+                # Dots in a row mark a break as often as an end.
+                if token[-1] in TERMINATORS and i and len(token) > 1 and token[-2] not in TERMINATORS:
                     last = masked(token)
                     counts[(END_ONE, last)] += 1
                     counts[(END_TWO, masked(tokens[i - 1]) + " " + last)] += 1
