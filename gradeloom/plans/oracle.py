@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from gradeloom.functions.labels import NUMBER_WORDS
 from gradeloom.functions.marks import CRITERIA, GRADES, INSTRUCTION_VERBS, TYPE_PATTERNS
 from gradeloom.functions.text import STOPWORDS
 from gradeloom.operators.assess import PASS_PERCENTAGE
+from gradeloom.operators.choice import ALL_COMPULSORY, ANY_COUNT, ANY_RULE, OF_COUNT
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _CASE_STEM = """CASE
@@ -131,7 +133,26 @@ _COST = f"""{_BLOCKS}, cost AS (SELECT block_id, CAST(CASE WHEN block_id % 11 =
   FROM blocks WHERE question_text IS NOT NULL AND answer_text IS NOT NULL)"""
 _V = "event_id % 500"
 
+_COUNTS = " ".join(f"WHEN '{w}' THEN {n}" for w, n in NUMBER_WORDS.items())
+
+
+def counted_word(w: str) -> str:
+    return f"CASE WHEN regexp_matches({w}, '^[0-9]{{1,2}}$') THEN nullif(CAST({w} AS INT), 0) ELSE CASE lower({w}) {_COUNTS} END END"
+
+
+_RULED = f"""{_QUESTIONS}, ruled AS (SELECT DISTINCT exam_id AS doc_id, 0 AS line_index, (['Answer any THREE of the following five questions.', 'Attempt any 2 questions', 'All questions are compulsory.', 'Do any four, of the following 6'])[exam_id % 4 + 1] AS text FROM questions WHERE number IS NOT NULL
+  UNION ALL SELECT exam_id, ord, number || '. ' || text FROM questions WHERE number IS NOT NULL)"""
+
 SQL: dict[str, str] = {
+    "exam_label_keys": r"""WITH p AS (SELECT exam_id, question_id, regexp_extract_all(lower(coalesce(q_number, '')), '[0-9]+|[a-z]+') AS l FROM exam_questions),
+        k AS (SELECT exam_id, question_id, list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN CAST(CAST(x AS INT) AS VARCHAR) WHEN x IN ('i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x') THEN 'r' || list_position(['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x'], x) ELSE x END) AS k, l FROM p)
+        SELECT exam_id, question_id, array_to_string(k, '.') AS key, coalesce(l[1], '') || array_to_string(list_transform(l[2:], lambda x: '(' || x || ')'), '') AS shown FROM k""",
+    "attempt_rules": f"""WITH {_RULED}, h AS (SELECT *, regexp_extract(text, '{ANY_COUNT[4:]}', 0, 'i') AS hit, regexp_extract(text, '{ANY_COUNT[4:]}', 1, 'i') AS n FROM ruled WHERE regexp_matches(text, '{ANY_RULE[4:]}', 'i')),
+        t AS (SELECT *, regexp_extract(substr(text, instr(text, hit) + length(hit)), '{OF_COUNT[4:]}', 1, 'i') AS m FROM h)
+        SELECT doc_id, line_index, {counted_word('n')} AS required, {counted_word('m')} AS "of", trim(text) AS text FROM t WHERE {counted_word('n')} IS NOT NULL""",
+    "all_compulsory": f"WITH {_RULED} SELECT doc_id, coalesce(bool_or(regexp_matches(text, '{ALL_COMPULSORY[4:]}', 'i')), false) AS all_compulsory FROM ruled GROUP BY doc_id",
+    "stream_trace_windows": """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM events GROUP BY ALL)
+        SELECT * FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""",
     "bm25_topk": f"WITH {_BM25} {_TOP}",
     "retrieval_coverage": f"""WITH {_BM25}, held AS (SELECT DISTINCT query_id, unnest({stems('text')}) AS term FROM top JOIN passages USING (chunk_id))
         SELECT query_id, count(*) AS n_terms, count(h.term) AS n_hit, round(count(h.term) / count(*), 9) AS coverage, count(h.term) / count(*) < 0.45::DOUBLE AS weak
