@@ -58,17 +58,18 @@ def pack_items(items: DataFrame, specs: DataFrame, near: float = 0.01, most_roun
     or zero take nothing.
     """
     spark = items.sparkSession
-    known = specs.where("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
-    each = items.where("n_tokens > 0").select(F.col("item_id").cast("bigint"), F.col("n_tokens").cast("bigint")).crossJoin(F.broadcast(known))
+    known = sorted({(r["spec_name"], int(r["capacity_tokens"])) for r in specs.where("capacity_tokens > 0").select("spec_name", "capacity_tokens").distinct().collect()})
+    sized = items.where("n_tokens > 0").select(F.col("item_id").cast("bigint"), F.col("n_tokens").cast("bigint"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def divide(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for item, n, spec, capacity in rows:
-            for piece, start in enumerate(range(0, n, capacity)):
-                yield spec, capacity, item, piece, start, min(capacity, n - start)
+        for item, n in rows:
+            for spec, capacity in known:
+                for piece, start in enumerate(range(0, n, capacity)):
+                    yield spec, capacity, item, piece, start, min(capacity, n - start)
 
     schema = "spec_name string, capacity bigint, item_id bigint, piece int, start_token bigint, n_tokens bigint"
-    open_items = map_rows(each.select("item_id", "n_tokens", "spec_name", "capacity"), schema, divide).withColumn("lane", F.pmod(F.xxhash64("item_id", "piece"), F.lit(width)).cast("int"))
+    open_items = map_rows(sized, schema, divide).withColumn("lane", F.pmod(F.xxhash64("item_id", "piece"), F.lit(width)).cast("int"))
     # What fills a container alone goes past the rounds.
     closed = [open_items.where("n_tokens = capacity").select("spec_name", F.concat_ws("/", F.lit("full"), "item_id", "piece").alias("container"), "item_id", "piece", "start_token", "n_tokens")]
     open_items = open_items.where("n_tokens < capacity")
