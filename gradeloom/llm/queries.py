@@ -60,7 +60,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.document_sizes(table(spark, folder, "documents"))
+    # Kept: the sizes are read more than once, and tokenizing is the cost.
+    return checkpointed(tokens.document_sizes(table(spark, folder, "documents")))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
