@@ -126,3 +126,23 @@ def text_segments(answers: DataFrame, anchored: DataFrame) -> DataFrame:
 def page_tiers(aligned: DataFrame) -> DataFrame:
     """doc_id, page, tier of each page."""
     return aligned.groupBy("doc_id", "page").agg(F.max("tier").alias("tier"))
+
+
+def placed_counts(boxes: DataFrame, tiers: DataFrame, key: str) -> DataFrame:
+    """key, n_placed: spans of a document with a box on at least one trusted page.
+
+    boxes: key, span_id, page. tiers: key, page, tier.
+    """
+    shown = trusted(boxes.join(tiers.select(key, "page", "tier"), [key, "page"]))
+    return shown.groupBy(key).agg(F.count_distinct("span_id").alias("n_placed"))
+
+
+def range_tier(ranges: DataFrame, tiers: DataFrame, key: str) -> DataFrame:
+    """key, range_id, tier: the worst geometry over each page range; a page without a measure counts as none.
+
+    ranges: key, range_id, page_start, page_end. The pages of a range meet
+    their measures by equality.
+    """
+    pages = ranges.where("page_start <= page_end").select(key, "range_id", F.explode(F.sequence("page_start", "page_end")).alias("page"))
+    joined = pages.join(tiers.select(key, "page", "tier"), [key, "page"], "left")
+    return worst_tier(joined, [key, "range_id"])

@@ -133,7 +133,8 @@ def _number(value: Any, schema: dict, fallback, strict: bool) -> Any:
     if number != number or number in (float("inf"), float("-inf")):
         return fallback()
     number = float(floor(number + 0.5)) if schema.get("integer") else number
-    return max(schema.get("min", number), min(schema.get("max", number), number))
+    number = max(number, schema["min"]) if "min" in schema else number
+    return min(number, schema["max"]) if "max" in schema else number
 
 
 def recover_replies(replies: DataFrame, schema: dict, strict: bool = True) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import labels, marks, scans, text
-from gradeloom.operators import align, assess, budget, choice, exam, images, lines, match, placement, replies, retrieval, review, segment
+from gradeloom.operators import align, assess, budget, choice, exam, images, lines, match, model, placement, replies, retrieval, review, segment
 from gradeloom.plans import oracle
+from gradeloom.sources import files
 from gradeloom.sources.tables import table
 from gradeloom.streaming import trace
 
@@ -549,6 +550,19 @@ def text_segments(spark: SparkSession, folder: str) -> DataFrame:
     return placement.text_segments(answers, placement.anchor_annotations(answers, notes))
 
 
+@query
+def placed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    tiers = placement.page_tiers(placement.align_bands(_docs(spark, folder), _bands(spark, folder))).withColumnRenamed("doc_id", "paper_id")
+    return placement.placed_counts(span_boxes(spark, folder), tiers, "paper_id")
+
+
+@query
+def range_geometry(spark: SparkSession, folder: str) -> DataFrame:
+    tiers = placement.page_tiers(placement.align_bands(_docs(spark, folder), _bands(spark, folder))).withColumnRenamed("doc_id", "paper_id")
+    ranges = blocks(spark, folder).select("paper_id", F.col("block_id").alias("range_id"), "page_start", "page_end")
+    return placement.range_tier(ranges, tiers, "paper_id")
+
+
 # ---- alignment and matching -------------------------------------------------
 
 
@@ -765,6 +779,43 @@ def stream_budget(spark: SparkSession, folder: str) -> DataFrame:
     return trace.run_to_table(trace.budget_stream(trace.event_stream(spark, f"{folder}/events.parquet*"), limit=150), f"budget_{abs(hash(folder)) % 10**8}")
 
 
+@query
+def clean_text(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    return d.select("doc_id", F.char_length(files.document_text(F.col("text"))).alias("n_chars"), files.has_text_layer(F.col("text")).alias("has_text"))
+
+
+@query
+def accepted_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "reference_chunks").select("ref_id", F.col("source").alias("path"))
+    return files.with_acceptance(c).select("ref_id", "suffix", "accepted")
+
+
+@query
+def elapsed_clock(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", marks.elapsed_clock(F.col("value") * 37).alias("clock"))
+
+
+@query
+def model_groups(spark: SparkSession, folder: str) -> DataFrame:
+    b = blocks(spark, folder)
+    proposed = b.select(F.col("paper_id").alias("doc_id"), F.col("block_id").alias("group_ord"), "question_number", F.concat("answer_line_ids", F.array(F.lit("L0"))).alias("line_ids"))
+    found = model.grouped_by_model(proposed, _docs(spark, folder))
+    return found.withColumn("answer_line_ids", F.array_join("answer_line_ids", ","))
+
+
+def echo_model(prompt: str) -> str:
+    """A stand-in for a model: it counts the prompt's words."""
+    return f'Here you are: {{"n": {len(prompt.split())}, "kind": "count"'
+
+
+@query
+def model_replies(spark: SparkSession, folder: str) -> DataFrame:
+    schema = {"type": "object", "required": ["n"], "props": {"n": {"type": "number", "min": 0, "max": 12, "integer": True}, "kind": {"type": "string", "default": ""}}}
+    asked_of = questions(spark, folder).select("exam_id", "question_id", F.col("text").alias("prompt"))
+    return model.ask_for(asked_of, echo_model, schema).drop("prompt")
+
+
 # ---- extensions: classic operators beyond the assessment ones ---------------
 
 

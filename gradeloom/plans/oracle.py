@@ -242,6 +242,17 @@ SQL: dict[str, str] = {
     "worst_geometry": f"WITH {_LINES}, {_BANDS} SELECT doc_id, (['none', 'low', 'medium', 'high'])[min(list_position(['none', 'low', 'medium', 'high'], tier))] AS tier FROM tiers GROUP BY doc_id",
     "union_boxes_by_page": f"WITH {_LINES} SELECT paper_id, page, {_BOX} FROM lines WHERE bbox IS NOT NULL GROUP BY ALL",
     "span_boxes": f"WITH {_SPANS} SELECT s.paper_id, answer_id AS span_id, page, {_BOX} FROM spans s JOIN lines l ON l.paper_id = s.paper_id AND s.a < l.end_char AND s.b > l.start_char WHERE bbox IS NOT NULL GROUP BY ALL",
+    "placed_counts": f"""WITH {_SPANS}, {_BANDS}, pt AS (SELECT doc_id, page, max(tier) AS tier FROM tiers GROUP BY ALL)
+        SELECT s.paper_id, count(DISTINCT answer_id) AS n_placed FROM spans s JOIN lines l ON l.paper_id = s.paper_id AND s.a < l.end_char AND s.b > l.start_char JOIN pt ON pt.doc_id = s.paper_id AND pt.page = l.page WHERE bbox IS NOT NULL AND tier IN ('high', 'medium') GROUP BY s.paper_id""",
+    "range_geometry": f"""WITH {_LINES}, {_BLOCKS}, {_BANDS}, pt AS (SELECT doc_id, page, max(tier) AS tier FROM tiers GROUP BY ALL),
+        r AS (SELECT paper_id, block_id AS range_id, unnest(range(page_start, page_end + 1)) AS page FROM blocks WHERE page_start <= page_end)
+        SELECT paper_id, range_id, (['none', 'low', 'medium', 'high'])[min(coalesce(list_position(['none', 'low', 'medium', 'high'], tier), 1))] AS tier FROM r LEFT JOIN pt ON pt.doc_id = paper_id AND pt.page = r.page GROUP BY ALL""",
+    "clean_text": rf"""WITH c AS (SELECT doc_id, {trimmed(r"regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents) SELECT doc_id, CAST(length(t) AS INT) AS n_chars, length(t) > 40 AS has_text FROM c""",
+    "accepted_uploads": r"SELECT ref_id, lower(regexp_extract(source, '\.([A-Za-z0-9]+)$', 1)) AS suffix, lower(regexp_extract(source, '\.([A-Za-z0-9]+)$', 1)) IN ('pdf', 'docx', 'jpeg', 'jpg', 'png', 'gif', 'webp') AS accepted FROM reference_chunks",
+    "elapsed_clock": "SELECT event_id, CASE WHEN s // 60 < 10 THEN '0' ELSE '' END || (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT event_id, CAST(floor(value * 37) AS BIGINT) AS s FROM events)",
+    "model_groups": f"""WITH {_LINES}, {_BLOCKS}, g AS (SELECT DISTINCT paper_id, block_id, question_number, unnest(answer_line_ids) AS line_id FROM blocks)
+        SELECT g.paper_id AS doc_id, block_id AS group_ord, coalesce(question_number, CAST(block_id AS VARCHAR)) AS question_number, string_agg(g.line_id, ',' ORDER BY line_index) AS answer_line_ids, string_agg(text, chr(10) ORDER BY line_index) AS answer_text, arg_min(page, line_index) AS page_start, arg_max(page, line_index) AS page_end
+        FROM g JOIN lines l ON l.paper_id = g.paper_id AND l.line_id = g.line_id GROUP BY ALL""",
     "padded_boxes": f"WITH {_LINES} SELECT line_uid, round(greatest(0.0, bbox.x - 0.015::DOUBLE), 6) AS x, round(greatest(0.0, bbox.y - 0.01::DOUBLE), 6) AS y, round(least(1.0, bbox.width + 0.03::DOUBLE), 6) AS width, round(least(1.0, bbox.height + 0.02::DOUBLE), 6) AS height FROM lines WHERE bbox IS NOT NULL",
     "unmatched_runs": f"WITH {_RUNS} SELECT * FROM runs",
     "gap_candidates": f"""WITH {_RUNS}, free AS (SELECT * FROM lines l WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.answer_id % 3 <> 0 AND w.paper_id = l.paper_id AND w.line_id = l.line_id)),

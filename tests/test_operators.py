@@ -289,3 +289,53 @@ def test_threshold_agrees_with_the_plain_form(spark):
     grey = np.concatenate([rng.normal(60, 9, 900), rng.normal(190, 20, 1500)]).clip(0, 255).astype(int)
     histogram = spark.createDataFrame([(1, int(v), int(n)) for v, n in Counter(grey.tolist()).items()], "k int, value int, n bigint")
     assert images.otsu_threshold(histogram, ["k"]).first().threshold == images.threshold_of(np.bincount(grey, minlength=256))
+
+
+def test_replies_of_a_model(spark):
+    from gradeloom.operators import model
+
+    def reply(prompt):
+        if prompt == "fail":
+            raise RuntimeError
+        return '```json\n{"n": "%d marks"}\n```' % len(prompt)
+
+    schema = {"type": "object", "required": ["n"], "props": {"n": {"type": "number", "max": 5}}}
+    found = model.ask_for(spark.createDataFrame([(1, "ab"), (2, "abcdefgh"), (3, "fail"), (4, None)], "id int, prompt string"), reply, schema, in_flight=2)
+    assert {r.id: r.value for r in found.collect()} == {1: '{"n": 2.0}', 2: '{"n": 5}', 3: None, 4: None}
+
+
+def test_groups_proposed_by_a_model(spark):
+    from gradeloom.operators import model
+
+    own = spark.createDataFrame([(1, f"L{i}", i, 1 + i // 2, f"t{i}") for i in range(4)], "doc_id int, line_id string, line_index int, page int, text string")
+    groups = spark.createDataFrame([(1, 1, "Q1", ["L3", "L1", "L1", "L9"]), (1, 2, None, ["L8"]), (1, 3, None, ["L0"])], "doc_id int, group_ord int, question_number string, line_ids array<string>")
+    assert rows(model.grouped_by_model(groups, own)) == [(1, 1, "Q1", ["L1", "L3"], "t1\nt3", 1, 2), (1, 3, "3", ["L0"], "t0", 1, 1)]
+
+
+def test_uploads(spark, tmp_path):
+    from gradeloom.sources import files
+
+    for name in ("a.PDF", "b.doc", "c.png", "d"):
+        (tmp_path / name).write_bytes(b"x" * 3)
+    found = {r.path.rpartition("/")[2]: (r.accepted, r.length) for r in files.uploaded_files(spark, str(tmp_path)).collect()}
+    assert found == {"a.PDF": (True, 3), "b.doc": (False, 3), "c.png": (True, 3), "d": (False, 3)}
+    kept, dropped = files.page_cut(spark.createDataFrame([(1, i) for i in range(40)], "u int, page int"), "u", ["page"])
+    assert (kept.count(), dropped.count()) == (30, 10)
+    text = spark.createDataFrame([(" a\r\n\r\n\r\n\r\nb ",), (None,)], "t string").select(files.document_text(F.col("t")))
+    assert [r[0] for r in text.collect()] == ["a\n\nb", ""]
+
+
+def test_geometry_over_page_ranges(spark):
+    tiers = spark.createDataFrame([(1, 1, "high"), (1, 2, "low")], "d int, page int, tier string")
+    ranges = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 1, 2), (1, 3, 2, 3), (1, 4, 3, 2)], "d int, range_id int, page_start int, page_end int")
+    assert rows(placement.range_tier(ranges, tiers, "d")) == [(1, 1, "high"), (1, 2, "low"), (1, 3, "none")]
+    boxes = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 5, 2)], "d int, span_id int, page int")
+    assert rows(placement.placed_counts(boxes, tiers, "d")) == [(1, 1)]
+
+
+def test_keys_and_rates(spark):
+    env = spark.createDataFrame([(0, "b, a,,b"), (1, "c"), (2, "a"), (3, None)], "rank int, value string")
+    assert [r.key for r in budget.key_list(env).orderBy("key_ord").collect()] == ["b", "a", "c"]
+    asked = spark.createDataFrame([(1, 100), (2, 9000), (3, 4000)], "request_id int, cost int")
+    keys = spark.createDataFrame([(1, 8000, 8000, None, 0, 2, False), (2, 8000, 7000, None, 0, 0, False), (3, 8000, 100, 5000, 0, 0, False), (4, 99999, 99999, None, 0, 0, True)], "key_id int, token_limit int, remaining int, reset_at int, reserved int, in_flight int, dead boolean")
+    assert rows(budget.pick_key(asked, budget.available(keys, F.lit(0))).select("request_id", "key_id", "wait_ms")) == [(1, 2, 0), (2, None, None), (3, 2, 0)]
