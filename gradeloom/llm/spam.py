@@ -3,8 +3,8 @@
 Each page is judged on its own where it is read, so nothing is shuffled. Words
 are folded first, so that spelled-out, hyphenated and digit-for-letter variants
 of a keyword meet. The suffix automaton of the words outside clauses gives the
-maximal substrings that repeat; their letters, and those of links and tags, are
-set against all letters of the page.
+maximal substrings that repeat; their characters, and those of links and tags,
+are set against all of the page.
 """
 
 from __future__ import annotations
@@ -42,11 +42,11 @@ def is_clause(words: list[str], sentence: bool = False) -> bool:
     """True if the words of a unit read as a clause.
 
     It needs enough grammar, with a word of the clause or the form of a
-    sentence (a capital first, a terminator last), and content words that
-    hardly repeat within it.
+    sentence (seven words, a capital first, a terminator last), and content
+    words that hardly repeat within it.
     """
     grammar = sum(map(ALL_FUNCTION_WORDS.__contains__, words))
-    if len(words) < 4 or grammar < 2 or grammar * 6 < len(words) or not (sentence or any(map(CLAUSE_WORDS.__contains__, words))):
+    if len(words) < 4 or grammar < 2 or grammar * 6 < len(words) or not ((sentence and len(words) > 6) or any(map(CLAUSE_WORDS.__contains__, words))):
         return False
     content = [w for w in words if w not in ALL_FUNCTION_WORDS]
     return len(content) < 3 or len(set(content)) * 3 >= len(content) * 2
@@ -59,22 +59,29 @@ def fold_word(word: str) -> str:
     return word[:-1] if len(word) > 3 and word[-1] == "s" else word
 
 
+def _solid(text: str) -> int:
+    return len(text) - sum(map(str.isspace, text))
+
+
 def spam_measures(text: str | None) -> tuple[int, int, int, int]:
-    """Letters of a text: all, in links and tags, outside clauses, and of these in repeated substrings.
+    """Characters of a text, white space apart: all, in links and tags, outside clauses, and of these in repeated substrings.
 
-    Null and empty texts measure 0. The whole text is read, however long.
+    The last is taken over words and carried over to the signs and numbers
+    between them. Null and empty texts measure 0. The whole text is read,
+    however long.
     """
     if not text:
         return 0, 0, 0, 0
-    linked = sum(c.isalpha() for m in _LINK.findall(text) for c in m)
+    marked = sum(map(_solid, _LINK.findall(text)))
     rest = _LINK.sub(" ", text)
-    tagged = sum(c.isalpha() for m in _TAG.findall(rest) for c in m)
+    marked += sum(map(_solid, _TAG.findall(rest)))
     rest = _TAG.sub(" ", rest)
+    total = _solid(rest) + marked
     rest = _RANK.sub(" ", rest)
     rest = _SPELLED.sub(lambda m: m[0].replace(" ", "").replace("-", ""), rest)
-    total = sum(map(str.isalpha, rest)) + linked + tagged
     sequence: list[str] = []
     sizes: list[int] = []
+    loose = 0
     for line in _WRAPPED.sub(" ", rest).split("\n"):
         if _ENUMERATED.match(line) or _NUMBER_ROW.match(line.strip()) or ("(a)" in line and "(b)" in line):
             continue
@@ -82,6 +89,7 @@ def spam_measures(text: str | None) -> tuple[int, int, int, int]:
             words = _TOKEN.findall(unit.lower())
             if not words or is_clause(words, unit[:1].isupper() and unit.rstrip()[-1:] in ".!?।"):
                 continue
+            loose += _solid(unit)
             for word in words:
                 if not word.isdigit():
                     sequence.append(fold_word(word))
@@ -90,23 +98,23 @@ def spam_measures(text: str | None) -> tuple[int, int, int, int]:
     suffixes = automaton.repeated_suffixes(sequence)
     # A single short word that returns says nothing; a phrase or a longer word does.
     suffixes = [n if n > 1 or len(w) > 2 else 0 for n, w in zip(suffixes, sequence)]
-    repeated = sum(n for n, hit in zip(sizes, covered(suffixes)) if hit)
-    return total, linked + tagged, sum(sizes), repeated
+    hit = sum(n for n, in_repeat in zip(sizes, covered(suffixes)) if in_repeat)
+    return total, marked, loose, loose * hit // sum(sizes) if hit else 0
 
 
 def spam_share(measures: tuple[int, int, int, int], least: float) -> float:
-    """The share of links, tags and keywords in a page's letters.
+    """The share of links, tags and keywords in a page's characters.
 
-    The letters outside clauses count as keywords if at least the share `least`
-    of them lies in repeated substrings: names that vary between the
-    repetitions, as in lists of one keyword with many towns, belong to them.
+    What stands outside clauses counts as keywords if at least the share
+    `least` of it lies in repeated substrings: names that vary between the
+    repetitions, as in lists of one keyword with many towns, belong to it.
     """
     total, marked, loose, repeated = measures
     return (marked + (loose if loose and repeated >= least * loose else 0)) / total if total else 0.0
 
 
 def spam_pages(documents: DataFrame, most: float = 0.5, least: float = 0.25, clauses: float = 0.17) -> DataFrame:
-    """doc_id and measures of each document in which keywords, links or tags make up more than `most` of the letters.
+    """doc_id and measures of each document in which keywords, links or tags make up more than `most` of the characters.
 
     documents: doc_id, text; other columns are ignored. Null and empty texts
     are no cases; a repeated row stays repeated. A document in which more than
@@ -123,5 +131,5 @@ def spam_pages(documents: DataFrame, most: float = 0.5, least: float = 0.25, cla
                 if share > most:
                     yield doc, *measures, share
 
-    schema = "doc_id bigint, letters bigint, marked bigint, loose bigint, repeated bigint, spam_share double"
+    schema = "doc_id bigint, characters bigint, marked bigint, loose bigint, repeated bigint, spam_share double"
     return map_rows(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), schema, measure)
