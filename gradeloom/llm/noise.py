@@ -11,13 +11,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from zlib import crc32
 
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.arrow import map_rows
+from gradeloom.llm.lines import JUNK, LIST, TABLE, classify_line
 from gradeloom.llm.pages import HYPHENS, PAGE_NUMBER, REACH, broken_end, first_word, header_keys, join_halves, page_openings, scan_pages
 from gradeloom.llm.vocabulary import CLEAN, STRIP, corpus_counts, frequent_words
 from gradeloom.llm.wordlists import ALL_FUNCTION_WORDS
@@ -159,15 +161,11 @@ def over_pages(scanned: DataFrame, known: Broadcast) -> DataFrame:
     return map_rows(halves.join(openings, ["paper_id", "page"]).select("line_uid", "half", "within", "opening"), "line_uid bigint, fixed string, sure boolean", run)
 
 
-def find_noise(lines: DataFrame, answers: DataFrame) -> DataFrame:
-    """rec_table, rec_id, noise, fixed: every noise of every line and answer, once.
+def noise_details(lines: DataFrame, answers: DataFrame) -> DataFrame:
+    """rec_table, rec_id, at, noise, word, fixed: every noise with its place.
 
-    lines: line_uid, paper_id, page, line_index, source, text. answers:
-    block_id, answer_text. `fixed` is the repaired word of a hyphen or
-    misread, empty for a header or page_number. Null and empty texts have no
-    noise; repeated rows and second deliveries count once; other columns are
-    ignored. Pages of lists, tables and junk report headers and page numbers
-    alone.
+    `at` is the ordinal of the line in an answer, null for a page line; `word`
+    is the misread word as it stands, bare. See find_noise for the rest.
     """
     spark: SparkSession = prepare(lines.sparkSession)
     counts = checkpointed(corpus_counts(lines.select("text", F.coalesce(F.col("source").isin(*DIGITAL), F.lit(False)))))
@@ -186,47 +184,160 @@ def find_noise(lines: DataFrame, answers: DataFrame) -> DataFrame:
         return lists.join(templates, "key", "left_semi").select(*ids).distinct()
 
     def misread(rows: DataFrame, heads: DataFrame, *ids: str) -> DataFrame:
-        return rows.where("what = 'rare'").select(*ids, F.col("a").alias("word")).join(heads, list(ids), "left_anti").join(fixes, "word").select(F.col(ids[0]).alias("rec_id"), "fixed")
+        return rows.where("what = 'rare'").select(*ids, F.col("a").alias("word")).join(heads, list(ids), "left_anti").join(fixes, "word")
 
     line_heads, answer_heads = headers(scanned, "line_uid"), headers(written, "rec_id", "at")
     across = over_pages(scanned, known)
     within = scanned.where("what = 'hyphen'").select("line_uid", F.col("a").alias("fixed"))
     # A half at the foot of a page may meet a wrong line on it: the next page wins if it gives a known word.
-    hyphens = within.join(across.where("sure").select("line_uid"), "line_uid", "left_anti").union(across.select("line_uid", "fixed"))
-    row = lambda df, table, noise: df.select(F.lit(table).alias("rec_table"), F.col("rec_id").cast("bigint"), F.lit(noise).alias("noise"), "fixed")
-    none = F.lit("").alias("fixed")
+    hyphens = within.join(across.where("sure").select("line_uid"), "line_uid", "left_anti").union(across.select("line_uid", "fixed")).join(line_heads, "line_uid", "left_anti")
+
+    def row(df: DataFrame, table: str, noise: str) -> DataFrame:
+        on_page = table == "ocr_lines"
+        at = F.lit(None).cast("int") if on_page else F.col("at")
+        word = F.col("word") if noise == "misread" else F.lit(None).cast("string")
+        fixed = F.col("fixed") if noise in ("hyphen", "misread") else F.lit("")
+        return df.select(F.lit(table).alias("rec_table"), F.col("line_uid" if on_page else "rec_id").cast("bigint").alias("rec_id"), at.alias("at"), F.lit(noise).alias("noise"), word.alias("word"), fixed.alias("fixed"))
+
     found = [
-        row(hyphens.select(F.col("line_uid").alias("rec_id"), "fixed").join(line_heads.select(F.col("line_uid").alias("rec_id")), "rec_id", "left_anti"), "ocr_lines", "hyphen"),
+        row(hyphens, "ocr_lines", "hyphen"),
         row(misread(scanned, line_heads, "line_uid"), "ocr_lines", "misread"),
-        row(line_heads.select(F.col("line_uid").alias("rec_id"), none), "ocr_lines", "header"),
-        row(scanned.where("what = 'page_number'").select(F.col("line_uid").alias("rec_id"), none), "ocr_lines", "page_number"),
-        row(written.where("what = 'hyphen'").select("rec_id", F.col("a").alias("fixed")), "parsed_questions", "hyphen"),
+        row(line_heads, "ocr_lines", "header"),
+        row(scanned.where("what = 'page_number'"), "ocr_lines", "page_number"),
+        row(written.where("what = 'hyphen'").withColumn("fixed", F.col("a")), "parsed_questions", "hyphen"),
         row(misread(written, answer_heads, "rec_id", "at"), "parsed_questions", "misread"),
-        row(answer_heads.select("rec_id", none), "parsed_questions", "header"),
-        row(written.where("what = 'page_number'").select("rec_id", none), "parsed_questions", "page_number"),
+        row(answer_heads, "parsed_questions", "header"),
+        row(written.where("what = 'page_number'"), "parsed_questions", "page_number"),
     ]
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result.distinct()
+    return reduce(DataFrame.unionByName, found)
 
 
-def repair_text(text: str | None, fixes: dict[str, str], drop: frozenset[int] = frozenset()) -> str | None:
-    """text as continuous paragraphs: lines in `drop` and page numbers left out, broken words joined, misread words set right.
+def find_noise(lines: DataFrame, answers: DataFrame) -> DataFrame:
+    """rec_table, rec_id, noise, fixed: every noise of every line and answer, once.
 
-    fixes maps misread words, bare, to their correction; halves are joined
-    without a hyphen unless the compound is in fixes' values. Null stays null.
+    lines: line_uid, paper_id, page, line_index, source, text. answers:
+    block_id, answer_text. `fixed` is the repaired word of a hyphen or
+    misread, empty for a header or page_number. Null and empty texts have no
+    noise; repeated rows and second deliveries count once; other columns are
+    ignored. Pages of lists, tables and junk report headers and page numbers
+    alone.
     """
-    if text is None:
-        return None
-    kept = [line.strip() for i, line in enumerate(text.split("\n")) if i not in drop and not (PAGE_NUMBER.match(line) and "\n" in text)]
-    merged = re.sub(rf"(?<=\w)[{re.escape(HYPHENS)}]\n+(?=\w)", "", "\n".join(kept))
+    return noise_details(lines, answers).select("rec_table", "rec_id", "noise", "fixed").distinct()
+
+
+def in_case(fixed: str, seen: str) -> str:
+    """fixed in the case that seen has."""
+    return fixed.upper() if seen.isupper() and len(seen) > 1 else fixed[:1].upper() + fixed[1:] if seen[:1].isupper() else fixed
+
+
+def set_right(line: str, fixes: dict[str, str]) -> str:
+    """A line with its misread words exchanged, punctuation and case kept."""
+    if not fixes:
+        return line
 
     def right(m: re.Match) -> str:
         core = m[0].strip(STRIP)
-        fixed = fixes.get(core.lower())
-        if not core or fixed is None:
-            return m[0]
-        return m[0].replace(core, fixed.upper() if core.isupper() and len(core) > 1 else fixed.capitalize() if core[0].isupper() else fixed)
+        fixed = fixes.get(core.lower()) if core else None
+        return m[0] if fixed is None else m[0].replace(core, in_case(fixed, core))
+
+    return re.sub(r"\S+", right, line)
+
+
+def join_lines(lines: list[tuple[str, bool, str | None, dict[str, str]]]) -> str:
+    """Paragraphs from (text, furniture, whole word broken at its end, corrections) of lines in order.
 
-    return re.sub(r"\S+", right, re.sub(r"[ \t]*\n(?!\n)[ \t]*", " ", merged)).strip()
+    Furniture is left out. A broken word is set whole on the line of its first
+    half, and its second half goes. Lines run on with a space; a paragraph ends
+    behind a line that ends a sentence and is clearly shorter than the longest.
+    """
+    body = [(set_right(t.strip(), fixes), whole) for t, furniture, whole, fixes in lines if not furniture and t and t.strip()]
+    width = max((len(t) for t, _ in body), default=0)
+    # Short lines of running text look like entries: only where these prevail are they any.
+    entries = [classify_line(t) in (LIST, TABLE, JUNK) for t, _ in body]
+    listed = sum(entries) * 5 > len(entries) * 3 and len(entries) > 3
+    out: list[str] = []
+    owed = False
+    paragraph = True
+    apart = False
+    for (text, whole), entry in zip(body, entries):
+        entry = entry and listed
+        parts = text.split()
+        if owed and parts:
+            # What follows the second half's letters, such as a full stop, stays.
+            tail = re.match(r"^[\w'’-]*(.*)$", parts[0])
+            out[-1] += tail[1] if tail else ""
+            parts = parts[1:]
+        owed = whole is not None
+        if owed and parts:
+            lead = re.match(r"^\W*", parts[-1])[0]
+            parts[-1] = lead + in_case(whole, parts[-1].strip(STRIP))
+        line = " ".join(parts)
+        if line:
+            if out and not paragraph:
+                out[-1] += ("\n" if entry and apart else " ") + line
+            else:
+                out.append(line)
+            apart = entry
+            paragraph = not owed and not entry and text[-1:] in ".!?।" and len(text) * 5 < width * 4
+    return "\n\n".join(out)
+
+
+def repair_lines(lines: DataFrame, details: DataFrame) -> DataFrame:
+    """paper_id, page, text: each page as readable paragraphs, without furniture, with whole and corrected words.
+
+    details: see noise_details. The lines of a page come together in one row; a
+    word broken over pages stands whole on the first, and its rest is dropped
+    from the second where it opens that page. Lines without a paper or page are
+    left out, pages without a word are empty.
+    """
+    prepare(lines.sparkSession)
+    own = details.where("rec_table = 'ocr_lines'").groupBy(F.col("rec_id").alias("line_uid")).agg(
+        F.bool_or(F.col("noise").isin("header", "page_number")).alias("furniture"),
+        F.max(F.when(F.col("noise") == "hyphen", F.col("fixed"))).alias("whole"),
+        F.collect_set(F.when(F.col("noise") == "misread", F.struct("word", "fixed"))).alias("fixes"),
+    )
+    once = lines.where("paper_id is not null and page is not null").select("line_uid", "paper_id", "page", "line_index", "text").distinct()
+    marked = once.join(own, "line_uid", "left")
+    pages = marked.groupBy("paper_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_index", "line_uid", "text", F.coalesce("furniture", F.lit(False)).alias("furniture"), "whole", F.coalesce("fixes", F.array().cast("array<struct<word:string,fixed:string>>")).alias("fixes")))).alias("rows"))
+    body = F.filter("rows", lambda r: ~r["furniture"])
+    ends_open = F.when(F.size(body) > 0, F.try_element_at(body, F.lit(-1))["whole"])
+    before = F.lag(ends_open).over(Window.partitionBy("paper_id").orderBy("page"))
+
+    def repair(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for paper, page, own_rows, half_before in rows:
+            given = [(r["text"] or "", r["furniture"], r["whole"], {f["word"]: f["fixed"] for f in r["fixes"]}) for r in own_rows]
+            first = next((i for i, g in enumerate(given) if not g[1] and g[0].strip()), None)
+            if half_before and first is not None:
+                opening = given[first][0].split(None, 1)
+                if opening and half_before.endswith(opening[0].strip(STRIP).lower()):
+                    given[first] = (opening[1] if len(opening) > 1 else "", *given[first][1:])
+            yield paper, page, join_lines(given)
+
+    narrow = pages.withColumn("half_before", before).select(F.col("paper_id").cast("bigint"), F.col("page").cast("int"), "rows", "half_before")
+    return map_rows(narrow, "paper_id bigint, page int, text string", repair)
+
+
+def repair_answers(answers: DataFrame, details: DataFrame) -> DataFrame:
+    """block_id, text: each answer as readable paragraphs; null answers stay null. See repair_lines."""
+    prepare(answers.sparkSession)
+    own = details.where("rec_table = 'parsed_questions'").groupBy(F.col("rec_id").alias("block_id")).agg(F.collect_set(F.struct("at", "noise", "word", "fixed")).alias("found"))
+    once = answers.select("block_id", "answer_text").distinct().join(own, "block_id", "left")
+
+    def repair(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for block, text, found in rows:
+            if text is None:
+                yield block, None
+                continue
+            places: dict[int, list] = {}
+            for f in found or ():
+                places.setdefault(f["at"], []).append(f)
+            given = []
+            for i, line in enumerate(text.split("\n")):
+                own_found = places.get(i, ())
+                given.append((
+                    line, any(f["noise"] in ("header", "page_number") for f in own_found), next((f["fixed"] for f in own_found if f["noise"] == "hyphen"), None),
+                    {f["word"]: f["fixed"] for f in own_found if f["noise"] == "misread"},
+                ))
+            yield block, join_lines(given)
+
+    return map_rows(once.select(F.col("block_id").cast("bigint"), "answer_text", "found"), "block_id bigint, text string", repair)

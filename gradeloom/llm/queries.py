@@ -33,6 +33,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return noise.find_noise(table(spark, folder, "ocr_lines"), table(spark, folder, "parsed_questions"))
 
 
+def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "ocr_lines")
+    return noise.repair_lines(lines, noise.noise_details(lines, table(spark, folder, "parsed_questions")))
+
+
+def p3_answers(spark: SparkSession, folder: str) -> DataFrame:
+    answers = table(spark, folder, "parsed_questions")
+    return noise.repair_answers(answers, noise.noise_details(table(spark, folder, "ocr_lines"), answers))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return labels.resolve_labels(table(spark, folder, "parsed_questions"), table(spark, folder, "exam_questions"))
 
@@ -87,7 +97,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_rates, p3_found, p4_found, p5_found, p5_pieces, p6_found, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_rates, p3_found, p3_pages, p3_answers, p4_found, p5_found, p5_pieces, p6_found, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -158,10 +158,21 @@ def test_corrections_by_anagram_hash(spark):
     assert noise.anagram_hash("listen") == noise.anagram_hash("silent")
 
 
-def test_repair_gives_continuous_text():
-    given = "Head\nThe lea-\nves rnake\nfood.\nPage 3\nIt ends."
-    assert noise.repair_text(given, {"rnake": "make"}, frozenset({0})) == "The leaves make food. It ends."
-    assert noise.repair_text(None, {}) is None and noise.repair_text("", {}) == ""
+def test_repair_gives_continuous_text(spark):
+    plain = [("Head", True, None, {}), ("The lea-", False, "leaves", {}), ("ves rnake", False, None, {"rnake": "make"}), ("food and store the rest of it in the roots.", False, None, {}), ("Roots.", False, None, {}), ("Next Bccause", False, None, {"bccause": "because"})]
+    assert noise.join_lines(plain) == "The leaves make food and store the rest of it in the roots. Roots.\n\nNext Because"
+    assert noise.join_lines([(t, False, None, {}) for t in LIST]) == "\n".join(LIST)
+    assert noise.join_lines([]) == "" and noise.join_lines([("it is tempera¬", False, "temperature", {}), ("ture.", False, None, {})]) == "it is temperature."
+    page = ["Term Test Biology Set B", "Plants need light because the lea-", "ves make food with it. Bccause the light is gone the", "plants store the tempera¬"]
+    heads = [["Term Test Biology Set B", *WORDS.replace(". ", ".\n").split("\n")] for _ in range(5)]
+    own = scanned(spark, page).unionByName(line_table(spark, *heads, ["ture of the day."]).withColumn("line_uid", F.col("line_uid") + 5_000).withColumn("paper_id", F.lit(3).cast("bigint")))
+    own = own.unionByName(line_table(spark, *([["."]] * 9), ["ture of the day. After the light is gone the plants store it."]).where("page = 10").withColumn("line_uid", F.col("line_uid") + 900))
+    answers = answers_of(spark, "The plants need light because the lea-\nPage 4\nves make food", "Many p1ants have strong roots", None, "")
+    details = noise.noise_details(own.unionByName(own), answers.unionByName(answers))
+    texts = {(r.paper_id, r.page): r.text for r in noise.repair_lines(own.unionByName(own), details).collect()}
+    assert texts[1, 9] == "Plants need light because the leaves make food with it. Because the light is gone the plants store the temperature"
+    assert texts[1, 10] == "of the day. After the light is gone the plants store it." and texts[3, 1].startswith("The plants need light")
+    assert {r.block_id: r.text for r in noise.repair_answers(answers.unionByName(answers), details).collect()} == {1: "The plants need light because the leaves make food", 2: "Many plants have strong roots", 3: None, 4: ""}
 
 
 def test_counts_of_words(spark):
