@@ -159,8 +159,8 @@ def test_corrections_by_anagram_hash(spark):
 
 
 def test_repair_gives_continuous_text(spark):
-    plain = [("Head", True, None, {}), ("The lea-", False, "leaves", {}), ("ves rnake", False, None, {"rnake": "make"}), ("food and store the rest of it in the roots.", False, None, {}), ("Roots.", False, None, {}), ("Next Bccause", False, None, {"bccause": "because"})]
-    assert noise.join_lines(plain) == "The leaves make food and store the rest of it in the roots. Roots.\n\nNext Because"
+    plain = [("Head", True, None, {}), ("When it is light the lea-", False, "leaves", {}), ("ves of the plant can rnake", False, None, {"rnake": "make"}), ("food and store the rest of it in the roots.", False, None, {}), ("Roots.", False, None, {}), ("Next Bccause", False, None, {"bccause": "because"})]
+    assert noise.join_lines(plain) == "When it is light the leaves of the plant can make food and store the rest of it in the roots. Roots.\n\nNext Because"
     assert noise.join_lines([(t, False, None, {}) for t in LIST]) == "\n".join(LIST)
     assert noise.join_lines([]) == "" and noise.join_lines([("it is tempera¬", False, "temperature", {}), ("ture.", False, None, {})]) == "it is temperature."
     page = ["Term Test Biology Set B", "Plants need light because the lea-", "ves make food with it. Bccause the light is gone the", "plants store the tempera¬"]
