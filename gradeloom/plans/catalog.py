@@ -771,7 +771,7 @@ def page_bands(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_trace_windows(spark: SparkSession, folder: str) -> DataFrame:
     stream = trace.trace_windows(trace.event_stream(spark, f"{folder}/events.parquet*"))
-    return trace.run_to_table(stream, f"trace_{abs(hash(folder)) % 10**8}", "append").withColumn("sum_value", F.round("sum_value", 4))
+    return trace.run_to_table(stream, f"trace_{abs(hash(folder)) % 10**8}", "append").withColumns({"sum_value": F.round("sum_value", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
 @query
