@@ -15,7 +15,7 @@ from functools import reduce
 from zlib import crc32
 
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.arrow import map_rows
@@ -145,27 +145,30 @@ def header_templates(scanned: DataFrame, least: int = 3, share: float = 0.9) ->
 
 
 def over_pages(scanned: DataFrame, known: Broadcast) -> DataFrame:
-    """line_uid, fixed, sure: words broken over the end of a page, joined to the first lines of the paper's next page."""
+    """line_uid, paper_id, page, next_page, fixed, sure: words broken over the end of a page, joined to the first lines of the paper's next page of running text."""
     halves = scanned.where("what = 'half'").select("paper_id", "page", "line_uid", F.col("a").alias("half"), F.col("x").alias("within"))
-    openings = page_openings(scanned).select("paper_id", "page", F.col("a").alias("opening"))
+    openings = page_openings(scanned).select("paper_id", "page", "next_page", F.col("a").alias("opening"))
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         words = known.value
-        for line, half, within, opening in rows:
+        for paper, page, line, half, within, following, opening in rows:
             seconds = opening.split("\t")
             first = join_halves(half, seconds[:1], words)
             whole = first if first in words else join_halves(half, seconds, words)
             if whole and (whole in words or not within):
-                yield line, whole, whole in words
+                yield line, paper, page, following, whole, whole in words
 
-    return map_rows(halves.join(openings, ["paper_id", "page"]).select("line_uid", "half", "within", "opening"), "line_uid bigint, fixed string, sure boolean", run)
+    met = halves.join(openings, ["paper_id", "page"]).select("paper_id", "page", "line_uid", "half", "within", "next_page", "opening")
+    return map_rows(met, "line_uid bigint, paper_id bigint, page int, next_page int, fixed string, sure boolean", run)
 
 
 def noise_details(lines: DataFrame, answers: DataFrame) -> DataFrame:
-    """rec_table, rec_id, at, noise, word, fixed: every noise with its place.
+    """rec_table, rec_id, at, paper_id, page, noise, word, fixed: every noise with its place.
 
-    `at` is the ordinal of the line in an answer, null for a page line; `word`
-    is the misread word as it stands, bare. See find_noise for the rest.
+    `at` is the ordinal of the line in an answer, paper_id and page are those of
+    a page line; `word` is the misread word as it stands, bare. A noise `rest`
+    without a record names the page that opens with the rest of a word broken
+    over the page before. See find_noise for what else holds.
     """
     spark: SparkSession = prepare(lines.sparkSession)
     counts = checkpointed(corpus_counts(lines.select("text", F.coalesce(F.col("source").isin(*DIGITAL), F.lit(False)))))
@@ -184,26 +187,29 @@ def noise_details(lines: DataFrame, answers: DataFrame) -> DataFrame:
         return lists.join(templates, "key", "left_semi").select(*ids).distinct()
 
     def misread(rows: DataFrame, heads: DataFrame, *ids: str) -> DataFrame:
-        return rows.where("what = 'rare'").select(*ids, F.col("a").alias("word")).join(heads, list(ids), "left_anti").join(fixes, "word")
+        return rows.where("what = 'rare'").select(*ids, F.col("a").alias("word")).join(heads, list(ids)[:1] if ids[0] == "line_uid" else list(ids), "left_anti").join(fixes, "word")
 
-    line_heads, answer_heads = headers(scanned, "line_uid"), headers(written, "rec_id", "at")
-    across = over_pages(scanned, known)
-    within = scanned.where("what = 'hyphen'").select("line_uid", F.col("a").alias("fixed"))
+    place = ("line_uid", "paper_id", "page")
+    line_heads, answer_heads = headers(scanned, *place), headers(written, "rec_id", "at")
+    across = checkpointed(over_pages(scanned, known))
+    within = scanned.where("what = 'hyphen'").select(*place, F.col("a").alias("fixed"))
     # A half at the foot of a page may meet a wrong line on it: the next page wins if it gives a known word.
-    hyphens = within.join(across.where("sure").select("line_uid"), "line_uid", "left_anti").union(across.select("line_uid", "fixed")).join(line_heads, "line_uid", "left_anti")
+    hyphens = within.join(across.where("sure").select("line_uid"), "line_uid", "left_anti").union(across.select(*place, "fixed")).join(line_heads, "line_uid", "left_anti")
 
     def row(df: DataFrame, table: str, noise: str) -> DataFrame:
         on_page = table == "ocr_lines"
         at = F.lit(None).cast("int") if on_page else F.col("at")
         word = F.col("word") if noise == "misread" else F.lit(None).cast("string")
-        fixed = F.col("fixed") if noise in ("hyphen", "misread") else F.lit("")
-        return df.select(F.lit(table).alias("rec_table"), F.col("line_uid" if on_page else "rec_id").cast("bigint").alias("rec_id"), at.alias("at"), F.lit(noise).alias("noise"), word.alias("word"), fixed.alias("fixed"))
+        fixed = F.col("fixed") if noise in ("hyphen", "misread", "rest") else F.lit("")
+        where = [F.col(c) if on_page else F.lit(None).cast(t).alias(c) for c, t in (("paper_id", "bigint"), ("page", "int"))]
+        return df.select(F.lit(table).alias("rec_table"), F.col("line_uid" if on_page else "rec_id").cast("bigint").alias("rec_id"), at.alias("at"), *where, F.lit(noise).alias("noise"), word.alias("word"), fixed.alias("fixed"))
 
     found = [
         row(hyphens, "ocr_lines", "hyphen"),
-        row(misread(scanned, line_heads, "line_uid"), "ocr_lines", "misread"),
+        row(misread(scanned, line_heads, *place), "ocr_lines", "misread"),
         row(line_heads, "ocr_lines", "header"),
         row(scanned.where("what = 'page_number'"), "ocr_lines", "page_number"),
+        row(across.select(F.lit(None).alias("line_uid"), "paper_id", F.col("next_page").alias("page"), "fixed"), "ocr_lines", "rest"),
         row(written.where("what = 'hyphen'").withColumn("fixed", F.col("a")), "parsed_questions", "hyphen"),
         row(misread(written, answer_heads, "rec_id", "at"), "parsed_questions", "misread"),
         row(answer_heads, "parsed_questions", "header"),
@@ -222,7 +228,7 @@ def find_noise(lines: DataFrame, answers: DataFrame) -> DataFrame:
     ignored. Pages of lists, tables and junk report headers and page numbers
     alone.
     """
-    return noise_details(lines, answers).select("rec_table", "rec_id", "noise", "fixed").distinct()
+    return noise_details(lines, answers).where("noise <> 'rest'").select("rec_table", "rec_id", "noise", "fixed").distinct()
 
 
 def in_case(fixed: str, seen: str) -> str:
@@ -291,30 +297,33 @@ def repair_lines(lines: DataFrame, details: DataFrame) -> DataFrame:
     left out, pages without a word are empty.
     """
     prepare(lines.sparkSession)
-    own = details.where("rec_table = 'ocr_lines'").groupBy(F.col("rec_id").alias("line_uid")).agg(
-        F.bool_or(F.col("noise").isin("header", "page_number")).alias("furniture"),
-        F.max(F.when(F.col("noise") == "hyphen", F.col("fixed"))).alias("whole"),
-        F.collect_set(F.when(F.col("noise") == "misread", F.struct("word", "fixed"))).alias("fixes"),
-    )
-    once = lines.where("paper_id is not null and page is not null").select("line_uid", "paper_id", "page", "line_index", "text").distinct()
-    marked = once.join(own, "line_uid", "left")
-    pages = marked.groupBy("paper_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_index", "line_uid", "text", F.coalesce("furniture", F.lit(False)).alias("furniture"), "whole", F.coalesce("fixes", F.array().cast("array<struct<word:string,fixed:string>>")).alias("fixes")))).alias("rows"))
-    body = F.filter("rows", lambda r: ~r["furniture"])
-    ends_open = F.when(F.size(body) > 0, F.try_element_at(body, F.lit(-1))["whole"])
-    before = F.lag(ends_open).over(Window.partitionBy("paper_id").orderBy("page"))
+    found = details.where("rec_table = 'ocr_lines'").groupBy("paper_id", "page").agg(F.collect_set(F.struct("rec_id", "noise", "word", "fixed")).alias("found"))
+    # The text is shuffled once, by page; equal rows of a line fall together in the set.
+    keys = F.col("paper_id").cast("bigint").alias("paper_id"), F.col("page").cast("int").alias("page")
+    own = lines.where("paper_id is not null and page is not null").select(*keys, "line_index", F.col("line_uid").cast("bigint").alias("line_uid"), "text")
+    pages = own.groupBy("paper_id", "page").agg(F.array_sort(F.collect_set(F.struct("line_index", "line_uid", "text"))).alias("rows"))
 
     def repair(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for paper, page, own_rows, half_before in rows:
-            given = [(r["text"] or "", r["furniture"], r["whole"], {f["word"]: f["fixed"] for f in r["fixes"]}) for r in own_rows]
+        for paper, page, own_rows, own_found in rows:
+            of_line: dict[int, list] = {}
+            for f in own_found or ():
+                of_line.setdefault(f["rec_id"], []).append(f)
+            given = [_marked(r["text"] or "", of_line.get(r["line_uid"], ())) for r in own_rows]
             first = next((i for i, g in enumerate(given) if not g[1] and g[0].strip()), None)
-            if half_before and first is not None:
+            rest = next((f["fixed"] for f in of_line.get(None, ())), None)
+            if rest and first is not None:
                 opening = given[first][0].split(None, 1)
-                if opening and half_before.endswith(opening[0].strip(STRIP).lower()):
+                if rest.endswith(opening[0].strip(STRIP).lower()):
                     given[first] = (opening[1] if len(opening) > 1 else "", *given[first][1:])
             yield paper, page, join_lines(given)
 
-    narrow = pages.withColumn("half_before", before).select(F.col("paper_id").cast("bigint"), F.col("page").cast("int"), "rows", "half_before")
-    return map_rows(narrow, "paper_id bigint, page int, text string", repair)
+    return map_rows(pages.join(found, ["paper_id", "page"], "left").select("paper_id", "page", "rows", "found"), "paper_id bigint, page int, text string", repair)
+
+
+def _marked(text: str, found: Iterable[dict]) -> tuple[str, bool, str | None, dict[str, str]]:
+    """A line as join_lines takes it, from the noises found in it."""
+    whole = max((f["fixed"] for f in found if f["noise"] == "hyphen"), default=None)
+    return text, any(f["noise"] in ("header", "page_number") for f in found), whole, {f["word"]: f["fixed"] for f in found if f["noise"] == "misread"}
 
 
 def repair_answers(answers: DataFrame, details: DataFrame) -> DataFrame:
@@ -331,13 +340,7 @@ def repair_answers(answers: DataFrame, details: DataFrame) -> DataFrame:
             places: dict[int, list] = {}
             for f in found or ():
                 places.setdefault(f["at"], []).append(f)
-            given = []
-            for i, line in enumerate(text.split("\n")):
-                own_found = places.get(i, ())
-                given.append((
-                    line, any(f["noise"] in ("header", "page_number") for f in own_found), next((f["fixed"] for f in own_found if f["noise"] == "hyphen"), None),
-                    {f["word"]: f["fixed"] for f in own_found if f["noise"] == "misread"},
-                ))
+            given = [_marked(line, places.get(i, ())) for i, line in enumerate(text.split("\n"))]
             yield block, join_lines(given)
 
     return map_rows(once.select(F.col("block_id").cast("bigint"), "answer_text", "found"), "block_id bigint, text string", repair)

@@ -162,13 +162,13 @@ def scan_pages(lines: DataFrame, known: Broadcast, noise: bool, cuts: bool) -> D
 
 
 def page_openings(scanned: DataFrame) -> DataFrame:
-    """paper_id, page, a, b: for each page of running text, how the next such page of its paper opens.
+    """paper_id, page, next_page, a, b: for each page of running text, how the next such page of its paper opens.
 
     Pages of lists, tables and junk between them are passed over. One row a page
     is put in order, not its lines.
     """
     before = F.lag("page").over(Window.partitionBy("paper_id").orderBy("page"))
-    return scanned.where("what = 'opening'").select("paper_id", before.alias("page"), "a", "b").where("page is not null")
+    return scanned.where("what = 'opening'").select("paper_id", before.alias("page"), F.col("page").alias("next_page"), "a", "b").where("page is not null")
 
 
 def _pages(rows: Iterable[tuple]) -> Iterator[tuple]:
