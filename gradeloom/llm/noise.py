@@ -36,6 +36,9 @@ CONFUSIONS = [
     ("cl", "d"), ("d", "cl"), ("rn", "m"), ("m", "rn"), ("nn", "m"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("li", "h"), ("ri", "n"), ("in", "m"), ("iii", "m"), ("é", "e"), ("e", "é"), ("ó", "o"), ("o", "ó"),
 ]
 
+#: Words a line, on average, from which the lines of a page are no list.
+LIST_WORDS = 6
+
 
 def letter_forms(word: str) -> list[str]:
     """word with every digit, bar and ligature read as letters, in each way up to sixteen; word alone if it has none."""
@@ -259,7 +262,8 @@ def join_lines(lines: list[tuple[str, bool, str | None, dict[str, str]]]) -> str
     body = [(set_right(t.strip(), fixes), whole) for t, furniture, whole, fixes in lines if not furniture and t and t.strip()]
     width = max((len(t) for t, _ in body), default=0)
     # Short lines of running text look like entries: only where these prevail are they any.
-    entries = [classify_line(t) in (LIST, TABLE, JUNK) for t, _ in body]
+    brief = sum(t.count(" ") + 1 for t, _ in body) < LIST_WORDS * len(body)
+    entries = [classify_line(t) in (LIST, TABLE, JUNK) for t, _ in body] if brief else [False] * len(body)
     listed = sum(entries) * 5 > len(entries) * 3 and len(entries) > 3
     out: list[str] = []
     owed = False
