@@ -83,18 +83,18 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
     queries: query_id, query. chunks: chunk_id, text, ids unique. Each term
     meets its postings by an equality join, and the products are summed per
-    query and passage on the map side first. Only the one-row statistics are
-    crossed in.
+    query and passage on the map side first. The two statistics of the corpus
+    come as scalar subqueries.
     """
     frequencies = term_frequencies(chunks)
     lengths = chunk_lengths(chunks)
     stats = lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_terms").alias("mean"))
-    n, df = F.col("n_chunks"), F.col("df")
-    weights = document_frequencies(chunks).crossJoin(F.broadcast(stats.select("n_chunks"))).select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    n, mean, df = stats.select("n_chunks").scalar(), stats.select("mean").scalar(), F.col("df")
+    weights = document_frequencies(chunks).select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
     # The query side is filtered down to terms that occur, with their weight, before it meets the postings.
     wanted = query_terms(queries).join(weights, "term")
-    norm = 1 - B + B * F.col("n_terms") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
-    postings = frequencies.join(lengths, "chunk_id").crossJoin(F.broadcast(stats.select("mean"))).select("chunk_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("gain"))
+    norm = 1 - B + B * F.col("n_terms") / F.when(mean == 0, 1.0).otherwise(mean)
+    postings = frequencies.join(lengths, "chunk_id").select("chunk_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("gain"))
     return postings.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("gain")).alias("score"), F.min("term_ord").alias("first_term"))
 
 

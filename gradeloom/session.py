@@ -51,7 +51,7 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not configured:
-            if not context.master.startswith("local["):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
             configured = os.path.join(tempfile.gettempdir(), "gradeloom-checkpoints")
         context.setCheckpointDir(configured)

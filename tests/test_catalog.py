@@ -76,11 +76,7 @@ def test_streamed_budget_agrees_with_a_replay(spark, data):
     assert trace.EVENTS.startswith("event_id")
 
 
-#: Queries that cross a table with one row of statistics, or with the configured keys.
-CROSSED = {"bm25_topk", "retrieval_coverage", "citation_check", "grounding", "evidence_with_pair", "pick_key"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - CROSSED - {"stream_trace_windows", "stream_budget"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"stream_trace_windows", "stream_budget"}))
 def test_plans_hold_no_cross_join(spark, data, name):
     plan = catalog.queries()[name](spark, data)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
