@@ -23,19 +23,16 @@ from gradeloom.llm.wordlists import ALL_FUNCTION_WORDS
 _WRAPPED = re.compile(r"(?<=[^\s.!?।:;|])\n(?=[^\W\d_A-Z])")
 _SENTENCE = re.compile(r"(?<=[^\d\s][.!?।])\s+")
 _LINK = re.compile(r"<a\s[^>]*>|</a>|\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b(?:/\S*)?|\(click here\)", re.IGNORECASE)
-_TAG = re.compile(r"#\w+|\b(?:tags?|labels?|etiquetas?|étiquettes?|schlagwort)\s*:", re.IGNORECASE)
+# Every link has one of these; most pages have none.
+_LINK_SIGN = re.compile(r"\.[a-z]{2}|</?a|\]\(|://|www\.|\(click", re.IGNORECASE)
+_TAG = re.compile(r"#[\wऀ-ॣ]+|\b(?:tags?|labels?|etiquetas?|étiquettes?|schlagwort)\s*:", re.IGNORECASE)
 _ENUMERATED = re.compile(r"^\s*(?:\(?(?:\d{1,3}|[a-zA-Z])[.):]\s|[A-Z]\w+\s\d{1,3}\s*:)")
 _NUMBER_ROW = re.compile(r"^[^\t|;]*(?:[\t|;]\s*[\d.,%-]+\s*){2,}$")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ -]){3,}[^\W\d_](?![^\W_])")
+_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ -]){3,}[^\W\d_](?![^\W_]|[ऀ-ः\u093a-\u094f])")
 _LEET = str.maketrans("013457@$", "oieastas")
 _RANK = re.compile(r"\bno\.\s*\d+", re.IGNORECASE)
-_TOKEN = re.compile(r"[^\W_]+")
-
-
-def clause_share(text: str | None) -> float:
-    """The share of a text's words that belong to the grammar of clauses; 0 for a text without words."""
-    words = text.lower().split() if text else []
-    return sum(map(CLAUSE_WORDS.__contains__, words)) / len(words) if words else 0.0
+# Devanagari words are taken with their marks, which are no letters to Python.
+_TOKEN = re.compile(r"(?:[^\W_]|[ऀ-ॣ])+")
 
 
 def is_clause(words: list[str], sentence: bool = False) -> bool:
@@ -60,22 +57,34 @@ def fold_word(word: str) -> str:
 
 
 def _solid(text: str) -> int:
-    return len(text) - sum(map(str.isspace, text))
+    return len("".join(text.split()))
+
+
+def _cut(pattern: re.Pattern, text: str) -> tuple[str, int]:
+    """The text with a space for each match, and the characters of the matches."""
+    found: list[str] = []
+
+    def keep(match: re.Match) -> str:
+        found.append(match[0])
+        return " "
+
+    return pattern.sub(keep, text), _solid(" ".join(found))
 
 
-def spam_measures(text: str | None) -> tuple[int, int, int, int]:
+def spam_measures(text: str | None, most: float = 0.0) -> tuple[int, int, int, int]:
     """Characters of a text, white space apart: all, in links and tags, outside clauses, and of these in repeated substrings.
 
     The last is taken over words and carried over to the signs and numbers
     between them. Null and empty texts measure 0. The whole text is read,
-    however long.
+    however long. Where links, tags and all outside clauses make up no more than
+    the share `most`, repeats can't change that and are given as 0.
     """
     if not text:
         return 0, 0, 0, 0
-    marked = sum(map(_solid, _LINK.findall(text)))
-    rest = _LINK.sub(" ", text)
-    marked += sum(map(_solid, _TAG.findall(rest)))
-    rest = _TAG.sub(" ", rest)
+    rest, marked = _cut(_LINK, text) if _LINK_SIGN.search(text) else (text, 0)
+    if "#" in rest or ":" in rest:
+        rest, tags = _cut(_TAG, rest)
+        marked += tags
     total = _solid(rest) + marked
     rest = _RANK.sub(" ", rest)
     rest = _SPELLED.sub(lambda m: m[0].replace(" ", "").replace("-", ""), rest)
@@ -94,6 +103,8 @@ def spam_measures(text: str | None) -> tuple[int, int, int, int]:
                 if not word.isdigit():
                     sequence.append(fold_word(word))
                     sizes.append(len(word))
+    if marked + loose <= most * total:
+        return total, marked, loose, 0
     automaton = SuffixAutomaton(sequence)
     suffixes = automaton.repeated_suffixes(sequence)
     # A single short word that returns says nothing; a phrase or a longer word does.
@@ -113,23 +124,19 @@ def spam_share(measures: tuple[int, int, int, int], least: float) -> float:
     return (marked + (loose if loose and repeated >= least * loose else 0)) / total if total else 0.0
 
 
-def spam_pages(documents: DataFrame, most: float = 0.5, least: float = 0.25, clauses: float = 0.17) -> DataFrame:
+def spam_pages(documents: DataFrame, most: float = 0.5, least: float = 0.25) -> DataFrame:
     """doc_id and measures of each document in which keywords, links or tags make up more than `most` of the characters.
 
     documents: doc_id, text; other columns are ignored. Null and empty texts
-    are no cases; a repeated row stays repeated. A document in which more than
-    the share `clauses` of all words belongs to the grammar of clauses is not
-    measured further: where more than half of the text lacks clauses, that
-    share can't be reached, as clauses hold about a third of such words.
+    are no cases; a repeated row stays repeated. Every document is measured.
     """
 
     def measure(rows: Iterable[tuple]) -> Iterator[tuple]:
         for doc, text in rows:
-            if text and clause_share(text) <= clauses:
-                measures = spam_measures(text)
-                share = spam_share(measures, least)
-                if share > most:
-                    yield doc, *measures, share
+            measures = spam_measures(text, most)
+            share = spam_share(measures, least)
+            if share > most:
+                yield doc, *measures, share
 
     schema = "doc_id bigint, characters bigint, marked bigint, loose bigint, repeated bigint, spam_share double"
     return map_rows(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), schema, measure)

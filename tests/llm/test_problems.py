@@ -378,3 +378,16 @@ def test_spam_pages(spark):
 def test_a_very_long_page():
     total, _, loose, repeated = spam.spam_measures("gravity notes " * 30_000)
     assert total == loose == repeated == 12 * 30_000
+
+
+HINDI = "इसलिए पौधे को चुंबकीय क्षेत्र की आवश्यकता होती है। किसान कई वर्षों तक भूमि सुधार पर निर्भर रहते हैं। उदाहरण के लिए जीवाणु में बदलाव देखा गया। "
+
+
+def test_spam_behind_filler_prose(spark):
+    english = " ".join(WORDS.split() * 20).split()[:100]
+    links = "\n".join(f"https://shop.example/gravity/notes/page/{i:03d}" for i in range(20))
+    spam_texts = [" ".join(english) + "\n" + links, HINDI * 4 + "\n" + links, HINDI * 2 + "\n" + "सस्ते नोट्स गुरुत्वाकर्षण, नोट्स डाउनलोड गुरुत्वाकर्षण, " * 12, "#गुरुत्वाकर्षण #नोट्स #विज्ञान " * 12 + HINDI]
+    honest = [HINDI * 8, HINDI * 8 + "\n" + links[:80], "इसका मुख्य कारण जल चक्र है।"]
+    found = spam.spam_pages(spark.createDataFrame(list(enumerate(spam_texts + honest)), "doc_id bigint, text string"))
+    assert [r.doc_id for r in found.orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    assert spam._TOKEN.findall("होती हैं।") == ["होती", "हैं"]
