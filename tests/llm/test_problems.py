@@ -68,6 +68,13 @@ def test_pages_that_are_no_prose(spark):
     assert rows(found) == [(1, 13, "list"), (1, 14, "table"), (1, 15, "junk")]
 
 
+@pytest.mark.parametrize("prose, tables", [(12, 8), (132, 88), (90, 130)])
+def test_pages_of_a_language_that_is_often_no_prose(spark, prose, tables):
+    english = ["The part | of the plant | 4.5", *TABLE]
+    found = quality.page_kinds(line_table(spark, *[PROSE] * prose, *[english] * tables))
+    assert rows(found) == [(1, prose + i, "table") for i in range(1, tables + 1)]
+
+
 def test_second_deliveries_and_empty_tables(spark):
     own = line_table(spark, PROSE, LIST)
     once, twice = quality.page_statistics(own), quality.page_statistics(own.unionByName(own))
