@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Hashable, Iterable, Sequence
+from html.entities import html5
 
 
 class SuffixAutomaton:
@@ -92,26 +94,88 @@ def covered(suffixes: Sequence[int], least: int = 1) -> list[bool]:
 # The pairs that open and close.
 PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 _OPENING = frozenset(PAIRS.values())
+_SIGNS = re.compile(r"[()\[\]{}«»„“”\"]")
 
 
-def open_at_end(text: str) -> list[str]:
-    """The brackets and paired quotes that a text opens and never closes, outermost first.
+class OpenSigns:
+    """A stack automaton over the brackets and paired quotes of texts read one after the other.
 
     A closing sign without its opening one is ignored, so enumerators like
-    "a)" leave the stack alone. Straight quotes pair up with themselves.
+    "a)" leave the stack alone. Straight quotes pair up with themselves; one
+    right behind a letter or digit only closes, as in inches. Low quotes are
+    closed by either high one, and guillemets may point inwards.
     """
+
+    def __init__(self) -> None:
+        #: The open signs, outermost first, with the number of the text that opened each.
+        self.stack: list[tuple[str, int]] = []
+        self.unopened: list[str] = []
+
+    def read(self, text: str, number: int = 0) -> None:
+        """Carry the stack over one more text."""
+        stack = self.stack
+        for match in _SIGNS.finditer(text):
+            c, at = match[0], match.start()
+            if c == '"':
+                if not self._close(c):
+                    if at and text[at - 1].isalnum():
+                        self.unopened.append(c)
+                    else:
+                        stack.append((c, number))
+            elif c == "“" and self._close("„") or c == "”" and self._close("„"):
+                pass
+            elif c == "«" and "»" in self.unopened:
+                self.unopened.remove("»")
+            elif c in _OPENING or c == "„":
+                stack.append((c, number))
+            elif not self._close(PAIRS[c]):
+                self.unopened.append(c)
+
+    def _close(self, sign: str) -> bool:
+        if all(s != sign for s, _ in self.stack):
+            return False
+        while self.stack.pop()[0] != sign:
+            pass
+        return True
+
+
+def open_at_end(text: str) -> list[str]:
+    """The brackets and paired quotes that a text opens and never closes, outermost first; see OpenSigns."""
+    signs = OpenSigns()
+    signs.read(text)
+    return [sign for sign, _ in signs.stack]
+
+
+# Elements that need no closing tag.
+_SINGLE = frozenset("area base br col dd dt hr img input li link meta option p source td th tr wbr".split())
+_TAGS = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?(/?)>|(?<![*\w])\*\*(?=[^\s*])|(?<=[^\s*])\*\*(?!\*)|```")
+_HALF_TAG = re.compile(r"<(?:/\w*|[a-zA-Z]\w+|[a-zA-Z]\w*\s+[\w-]+=[^<>]*)$")
+
+
+def open_markup(text: str) -> bool:
+    """True if a text ends inside a tag, an element, bold text or a code fence."""
+    if "<" not in text and "**" not in text and "```" not in text:
+        return False
+    if _HALF_TAG.search(text):
+        return True
     stack: list[str] = []
-    for c in text:
-        if c in _OPENING:
-            stack.append(c)
-        elif c in PAIRS:
-            if PAIRS[c] in stack:
-                while stack.pop() != PAIRS[c]:
+    for match in _TAGS.finditer(text):
+        name = (match[2] or match[0]).lower()
+        if match[3] or name in _SINGLE:
+            continue
+        if match[1] or (not match[2] and name in stack):
+            if name in stack:
+                while stack.pop() != name:
                     pass
-        elif c == '"':
-            if c in stack:
-                while stack.pop() != c:
-                    pass
-            else:
-                stack.append(c)
-    return stack
+        elif match[2] or not match.start() or not text[match.start() - 1].isalnum():
+            stack.append(name)
+    return bool(stack)
+
+
+_ESCAPE = re.compile(r"(?:&#\w*|&([A-Za-z]?[a-z]+\d*)|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?)$")
+
+
+def half_escape(text: str) -> bool:
+    """True if a text ends on a backslash or within an escape or a character entity; "R&D" is none."""
+    found = _ESCAPE.search(text)
+    return bool(found) and (not found[1] or any(name.startswith(found[1]) and name != found[1] for name in html5))

@@ -20,14 +20,11 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.arrow import map_rows
 from gradeloom.llm.lines import JUNK, LIST, TABLE, classify_line
-from gradeloom.llm.pages import HYPHENS, PAGE_NUMBER, REACH, broken_end, first_word, header_keys, join_halves, page_openings, scan_pages
+from gradeloom.llm.pages import DIGITAL, HYPHENS, PAGE_NUMBER, REACH, broken_end, first_word, header_keys, join_halves, page_openings, scan_pages
 from gradeloom.llm.vocabulary import CLEAN, STRIP, corpus_counts, frequent_words
 from gradeloom.llm.wordlists import ALL_FUNCTION_WORDS
 from gradeloom.session import checkpointed, prepare
 
-# The sources whose text was typed, not scanned.
-DIGITAL = ("docx_upload", "pdf_text")
-
 # The letters that a digit or sign may stand for.
 DIGIT_LETTERS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "gq", "|": "il"}
 # What scanning makes of letters, as (seen, meant).

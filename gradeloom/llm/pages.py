@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.arrow import map_rows
+from gradeloom.llm.automaton import PAIRS, OpenSigns, half_escape, open_at_end, open_markup
 from gradeloom.llm.lines import BLANK, FURNITURE, JUNK, LIST, PROSE, TABLE, classify_line
 from gradeloom.llm.vocabulary import STRIP, bare
 
@@ -38,6 +39,15 @@ _WORDS = re.compile(r"[^\W_]+")
 _COUNTED = re.compile(r"\d{3,}'?\s*$")
 _PARTS = re.compile(r"\s+[-|]\s+")
 _NUMBER = re.compile(r"^\d+'?$|^[\dlO]{3,}$")
+# A label before a text whose own bracket may stay open, as in "Q11(d. " or "13 (ii ".
+_LABEL = re.compile(r"^\W*(?:(?:\w+\W{1,3})?(?:[\w|]+|[\w|]*[\d|]\s)|(?<![\w ]))[(\[]\s*(?:[a-zA-Z]|[ivxlIVXL]{1,5}|\d{1,2})(?=[\s.:,;*)\]-])")
+# The sources whose text was typed, not scanned; a line of theirs is a whole paragraph.
+DIGITAL = ("docx_upload", "pdf_text")
+#: Signs that a page may close for the page before, by their bits in the opening of a page.
+SIGNS = "([{«“\""
+_ENDS = ".!?।:;"
+#: Room, in characters, that must be left beside the next word before a line counts as short.
+LEAST_SLACK = 2
 
 
 def fold_scan(text: str) -> str:
@@ -142,8 +152,12 @@ def scan_pages(lines: DataFrame, known: Broadcast, noise: bool, cuts: bool) -> D
     running line of the page), last_tail (the same for the last line, without
     a next word), both with _loose behind for lines outside running text,
     dots (a: last four words) for lines that end in dots, and unread (x: characters) for ended lines of at least 500 characters.
+    escape for paragraphs that end within an escape; left_open (a: last token, y: room left beside the next word, if any) for
+    paragraphs that end in an open bracket, quote or markup, and for the first
+    scanned line with room left after a sign that its page never closes;
+    last_open (the same for the last line of a page, b: the open signs).
     Both: opening (a: first words of a page's first lines, tab separated, b:
-    the first token as it stands).
+    the first token as it stands, x, for cuts: bits of SIGNS closed but not opened).
     """
     narrow = lines.select(F.col("paper_id").cast("bigint"), F.col("page").cast("int"), F.col("line_uid").cast("bigint"), F.col("line_index").cast("int"), F.col("source").cast("string"), F.col("text").cast("string"))
     ordered = narrow.repartition("paper_id", "page").sortWithinPartitions("paper_id", "page", "line_index", "line_uid")
@@ -162,13 +176,13 @@ def scan_pages(lines: DataFrame, known: Broadcast, noise: bool, cuts: bool) -> D
 
 
 def page_openings(scanned: DataFrame) -> DataFrame:
-    """paper_id, page, next_page, a, b: for each page of running text, how the next such page of its paper opens.
+    """paper_id, page, next_page, a, b, x: for each page of running text, how the next such page of its paper opens.
 
     Pages of lists, tables and junk between them are passed over. One row a page
     is put in order, not its lines.
     """
     before = F.lag("page").over(Window.partitionBy("paper_id").orderBy("page"))
-    return scanned.where("what = 'opening'").select("paper_id", before.alias("page"), F.col("page").alias("next_page"), "a", "b").where("page is not null")
+    return scanned.where("what = 'opening'").select("paper_id", before.alias("page"), F.col("page").alias("next_page"), "a", "b", "x").where("page is not null")
 
 
 def _pages(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -263,5 +277,49 @@ def scan_page(paper: int, page: int, block: list[tuple], words: dict[str, int],
                 yield what + ("" if flows else "_loose"), paper, page, line, index, source, " ".join(parts[-5:]), following[0] if following else "", len(text), slack
             elif len(text) >= 500:
                 yield "unread", paper, page, line, index, source, None, None, len(text), None
+    closes = None
+    if cuts:
+        closes = 0
+        if block and block[0][2] in DIGITAL:
+            yield from _open_paragraphs(paper, page, [block[i] for i in body if classes[i] == PROSE])
+        else:
+            signs = OpenSigns()
+            for i in body:
+                signs.read(_LABEL.sub("", block[i][3], count=1), i)
+            closes = sum(1 << k for k, sign in enumerate(SIGNS) if any(sign == {**PAIRS, '"': '"'}[c] for c in signs.unopened))
+            if signs.stack:
+                yield from _open_lines(paper, page, block, classes, body, width, signs.stack)
     if body:
-        yield "opening", paper, page, None, None, None, "\t".join(first_word(block[j][3]) for j in body[:REACH]), (block[body[0]][3].split(None, 1) or [""])[0], None, None
+        yield "opening", paper, page, None, None, None, "\t".join(first_word(block[j][3]) for j in body[:REACH]), (block[body[0]][3].split(None, 1) or [""])[0], closes, None
+
+
+def _open_paragraphs(paper: int, page: int, lines: list[tuple]) -> Iterator[tuple]:
+    for line, index, source, text in lines:
+        s = text.rstrip()
+        if half_escape(s):
+            yield "escape", paper, page, line, index, source, None, None, len(text), None
+        elif s.rstrip("\"'”»)]*_")[-1:] not in _ENDS and not s.endswith(("...", "…")):
+            plain = _LABEL.sub("", s, count=1)
+            if open_at_end(plain) or open_markup(plain):
+                yield "left_open", paper, page, line, index, source, s.split()[-1], None, len(text), None
+
+
+def _open_lines(paper: int, page: int, block: list[tuple], classes: list[int], body: list[int], width: int, stack: list[tuple[str, int]]) -> Iterator[tuple]:
+    """The scanned line at which a sign that the page never closes was cut off: the first behind it that had room for the next word, if it has no end."""
+    done: set[int] = set()
+    for _, opened in stack:
+        for p in range(body.index(opened), len(body)):
+            i = body[p]
+            line, index, source, text = block[i]
+            s = text.rstrip()
+            following = (block[body[p + 1]][3].split(None, 1) or [""])[0] if p + 1 < len(body) else ""
+            slack = width - len(s) - 1 - len(following)
+            last = p + 1 == len(body)
+            if not last and slack <= LEAST_SLACK:
+                continue
+            core = s.rstrip("\"'”»)]*_")
+            if i not in done and classes[i] == PROSE and core and core[-1] not in _ENDS + HYPHENS and not s.endswith(("...", "…")):
+                done.add(i)
+                still = "".join(sign for sign, n in stack if n <= i)
+                yield "last_open" if last else "left_open", paper, page, line, index, source, s.split()[-1], still, len(text), slack
+            break

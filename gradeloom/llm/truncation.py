@@ -14,15 +14,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.arrow import map_rows
-from gradeloom.llm.automaton import open_at_end
-from gradeloom.llm.noise import DIGITAL
-from gradeloom.llm.pages import HYPHENS, page_openings, scan_pages
+from gradeloom.llm.automaton import open_at_end, open_markup
+from gradeloom.llm.pages import DIGITAL, HYPHENS, LEAST_SLACK, SIGNS, page_openings, scan_pages
 from gradeloom.llm.pairs import ends_in_excuse, is_copied, is_refusal, plain_answer
 from gradeloom.llm.vocabulary import END_ONE, END_TWO, NAME, PAIR, STRIP, TERMINATORS, bare, corpus_counts, frequent_keys, frequent_words, masked
 from gradeloom.session import checkpointed, prepare
@@ -34,8 +34,8 @@ OWN_ELLIPSIS = re.compile(r"(?:\b(?:etc|etcétera|usw|more|and so on|so on|on an
 SENTENCE_WORDS = 5
 #: Characters from which an answer is too long to be a refusal or its question again; only shorter ones are tried as such.
 PHRASE_CHARS = 500
-#: Room, in characters, that must be left beside the next word before a line counts as short; and what the end of a paper leaves.
-LEAST_SLACK, MOST_SLACK = 2, 10_000
+#: Room, in characters, that the end of a paper leaves beside a line.
+MOST_SLACK = 10_000
 
 
 def tail_state(text: str) -> str:
@@ -123,7 +123,7 @@ def _answer_tails(answers: DataFrame) -> DataFrame:
                 plain = plain_answer(text)
                 if is_refusal(plain, question) or (question and is_copied(plain, question)):
                     state = "ended"
-            left_open = state == "bare" and bool(open_at_end(text))
+            left_open = state == "bare" and (bool(open_at_end(text)) or open_markup(text.rstrip()))
             yield block, source, len(text), state, " ".join(tokens[-4:] if state == "dots" else tokens[-2:]), len(tokens), left_open
 
     schema = "rec_id bigint, source string, length int, state string, tail string, n_words int, left_open boolean"
@@ -161,7 +161,8 @@ def find_truncated(lines: DataFrame, answers: DataFrame) -> DataFrame:
     lines: line_uid, paper_id, page, line_index, source, text. answers: see
     find_truncated_answers. reason is `broken` (character or escape), `limit`
     (cut at a field limit of its source), `fragment` (the last word is none)
-    or `open` (the last words never end a sentence). Null and empty texts are
+    or `open` (the last words never end a sentence, or a bracket, quote or
+    markup stays open). Null and empty texts are
     no cases; rows repeated or delivered twice count once; other columns are
     ignored. Lines of list, table and junk pages can only be `broken`.
     """
@@ -178,12 +179,23 @@ def find_truncated(lines: DataFrame, answers: DataFrame) -> DataFrame:
     tail_rows = scanned.where("what like '%tail%' or what = 'dots'").join(openings, ["paper_id", "page"], "left")
     limit_lines = limits.select("source", F.col("length").alias("x"), F.lit(True).alias("at_limit"))
     tail_rows = tail_rows.join(F.broadcast(limit_lines), ["source", "x"], "left").select("line_uid", "source", "what", "a", "b", "x", "y", "opening", F.coalesce("at_limit", F.lit(False)))
-    cut_lines = _judge_lines(tail_rows, known, ends).where("reason is not null")
+    cut_lines = _open_lines(scanned).unionByName(_judge_lines(tail_rows, known, ends).where("reason is not null"))
     cut_answers = find_truncated_answers(answers, counts).select(F.lit("parsed_questions").alias("rec_table"), "rec_id", "source", "reason")
     found = broken.unionByName(cut_lines).select(F.lit("ocr_lines").alias("rec_table"), "rec_id", "source", "reason").unionByName(cut_answers)
     return found.groupBy("rec_table", "rec_id").agg(F.max("source").alias("source"), F.min("reason").alias("reason"))
 
 
+def _open_lines(scanned: DataFrame) -> DataFrame:
+    """Lines that end in an escape, or in an open bracket, quote or markup, the latter with the next page looked at for its closing sign."""
+    ends = scanned.where("what in ('escape', 'left_open', 'last_open')").select("paper_id", "page", "what", "line_uid", "source", "b", "y")
+    openings = page_openings(scanned).select("paper_id", "page", F.col("b").alias("following"), F.col("x").alias("closes"))
+    closed = reduce(lambda rest, k: rest | (F.col("b").contains(SIGNS[k]) & (F.col("closes").bitwiseAND(1 << k) > 0)), range(len(SIGNS)), F.col("b").contains("„"))
+    # At the end of a paper nothing can close it.
+    cut = (F.col("what") != "last_open") | F.col("following").isNull() | (~closed & (F.col("y") - F.length("following") > LEAST_SLACK))
+    reason = F.when(F.col("what") == "escape", "broken").otherwise("open")
+    return ends.join(openings, ["paper_id", "page"], "left").where(cut).select(F.col("line_uid").alias("rec_id"), "source", reason.alias("reason"))
+
+
 def truncation_rates(found: DataFrame, lines: DataFrame, answers: DataFrame) -> DataFrame:
     """rec_table, source, n_records, n_cut, share_cut: how often each source truncates; second deliveries count once."""
     records = lines.select(F.lit("ocr_lines").alias("rec_table"), F.col("line_uid").alias("rec_id"), "source").unionByName(

@@ -119,6 +119,32 @@ def test_cut_lines_and_answers(spark):
     assert BASE + 3 in ids and BASE + 1 not in ids and BASE + 2 not in ids
 
 
+def test_lines_left_open(spark):
+    start = "Many plants have strong roots. The plants need light because the leaves make food with it"
+    typed = [
+        f"{start} (after the light is gone the plants store the temperature of the day", f"{start}. “The plants store the temperature of the day", f"{start}. <b>The plants store the temperature of the day", f"{start} &am", f"{start}\\",
+        f"{start} (after the light). The plants store the temperature of the day", f"Q11(d. {start}. The plants store the temperature of the day", f"{start} (the light is gone, the leaves make food with it).", f"{start}. „Many plants“ and 5\" roots store the temperature of the day", f"{start}. The plants need light of R&D",
+    ]
+    extra = line_table(spark, typed, source="pdf_text").withColumn("line_uid", F.col("line_uid") + 20_000).withColumn("paper_id", F.lit(4).cast("bigint"))
+    scan = ["The plants need light because the leaves (the light is", "food of the plant) make the food with it. After the", "light is gone “the plants store the", "temperature of the day. Many plants have strong roots.", "The plants need the light because the leaves make it."]
+    found = {r.rec_id: r.reason for r in truncation.find_truncated(scanned(spark, scan).unionByName(extra), answers_of(spark, WORDS, f"{start}. <b>The plants store the temperature of the day")).where("rec_table = 'ocr_lines'").collect()}
+    assert {i - 20_000: r for i, r in found.items() if i > 20_000} == {1: "open", 2: "open", 3: "open", 4: "broken", 5: "broken"}
+    assert {i - BASE for i in found if i < 10_000} == {2}
+
+
+@pytest.mark.parametrize("second, cut", [(["plants” and the leaves make food with it.", "Many plants have strong roots."], False), (["The leaves make food with it.", "Many plants have strong roots."], True), ([], True)])
+def test_signs_left_open_over_pages(spark, second, cut):
+    pages = [["The plants need light because the leaves make food", "with it. The plants store the temperature of the day.", "After the light is gone “the day"], second]
+    extra = line_table(spark, *pages).withColumn("line_uid", F.col("line_uid") + 20_000).withColumn("paper_id", F.lit(4).cast("bigint"))
+    found = truncation.find_truncated(scanned(spark, []).unionByName(extra), answers_of(spark, WORDS))
+    assert found.where("rec_id = 20003").count() == cut
+
+
+@pytest.mark.parametrize("text, left", [("a <b>c", True), ("a <b>c</b>", False), ("see <a href=", True), ("x < y and 3<4", False), ("**Q 1** and", False), ("and **bold", True), ("2**3 is", False), ("a<br>b <p>c", False), ("```x", True)])
+def test_open_markup(text, left):
+    assert automaton.open_markup(text) == left
+
+
 def test_rates_count_second_deliveries_once(spark):
     own, answers = scanned(spark, ["The plants need light because the lea�"]), answers_of(spark, WORDS)
     found = truncation.find_truncated(own.unionByName(own), answers)
