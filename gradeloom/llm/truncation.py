@@ -32,8 +32,6 @@ BROKEN = "�"
 OWN_ELLIPSIS = re.compile(r"(?:\b(?:etc|etcétera|usw|more|and so on|so on|on and on|and so forth|und so weiter|así sucesivamente|ainsi de suite)|वगैरह)\W*$")
 #: Words that an answer needs before it counts as sentences; a shorter one is a phrase and needs no terminator.
 SENTENCE_WORDS = 5
-#: Characters from which an answer is too long to be a refusal or its question again; only shorter ones are tried as such.
-PHRASE_CHARS = 500
 #: Room, in characters, that the end of a paper leaves beside a line.
 MOST_SLACK = 10_000
 
@@ -119,7 +117,7 @@ def _answer_tails(answers: DataFrame) -> DataFrame:
                 continue
             state = tail_state(text)
             tokens = text.split()
-            if state in ("bare", "dots") and len(text) < PHRASE_CHARS:
+            if state in ("bare", "dots"):
                 plain = plain_answer(text)
                 if is_refusal(plain, question) or (question and is_copied(plain, question)):
                     state = "ended"

@@ -145,6 +145,13 @@ def test_open_markup(text, left):
     assert automaton.open_markup(text) == left
 
 
+def test_long_repeated_questions_are_not_cut(spark):
+    question = "Explain why the plants need light because the leaves make food with the"
+    answers = spark.createDataFrame([(1, "flatbed_a", question, " ".join([question] * 9)), (2, "flatbed_a", "Why?", " ".join([question] * 9))], "block_id bigint, source string, question_text string, answer_text string")
+    found = truncation.find_truncated_answers(answers, truncation.line_counts(scanned(spark, [])))
+    assert [r.rec_id for r in found.collect()] == [2]
+
+
 def test_rates_count_second_deliveries_once(spark):
     own, answers = scanned(spark, ["The plants need light because the lea�"]), answers_of(spark, WORDS)
     found = truncation.find_truncated(own.unionByName(own), answers)
