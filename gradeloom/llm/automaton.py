@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Hashable, Iterable, Sequence
+from collections.abc import Hashable, Iterable, Iterator, Sequence
 from html.entities import html5
 
 
@@ -15,6 +15,8 @@ class SuffixAutomaton:
         self.link = [-1]
         self.length = [0]
         self.count = [0]
+        #: Where the first occurrence of a state's substrings ends.
+        self.end = [-1]
         self.last = 0
         for symbol in symbols:
             self.add(symbol)
@@ -27,6 +29,7 @@ class SuffixAutomaton:
         length.append(length[self.last] + 1)
         link.append(0)
         count.append(1)
+        self.end.append(length[new] - 1)
         at = self.last
         while at >= 0 and symbol not in following[at]:
             following[at][symbol] = new
@@ -41,6 +44,7 @@ class SuffixAutomaton:
                 length.append(length[at] + 1)
                 link.append(link[target])
                 count.append(0)
+                self.end.append(self.end[target])
                 while at >= 0 and following[at].get(symbol) == target:
                     following[at][symbol] = copy
                     at = link[at]
@@ -65,8 +69,11 @@ class SuffixAutomaton:
 
     def matched_suffixes(self, symbols: Iterable[Hashable]) -> list[int]:
         """For each position of another sequence, the length of the longest substring ending there that was added."""
+        return [size for size, _ in self.matches(symbols)]
+
+    def matches(self, symbols: Iterable[Hashable]) -> Iterator[tuple[int, int]]:
+        """For each position of another sequence, the length of the longest substring ending there that was added, and where that ends first in what was added."""
         at = size = 0
-        found = []
         for symbol in symbols:
             while at and symbol not in self.next[at]:
                 at = self.link[at]
@@ -76,8 +83,7 @@ class SuffixAutomaton:
                 size += 1
             else:
                 at = size = 0
-            found.append(size)
-        return found
+            yield size, self.end[at]
 
 
 def covered(suffixes: Sequence[int], least: int = 1) -> list[bool]:

@@ -46,6 +46,8 @@ DIGITAL = ("docx_upload", "pdf_text")
 #: Signs that a page may close for the page before, by their bits in the opening of a page.
 SIGNS = "([{«“\""
 _ENDS = ".!?।:;"
+#: Words of a sentence that are kept where it ends in dots.
+SENTENCE_TAIL = 30
 #: Room, in characters, that must be left beside the next word before a line counts as short.
 LEAST_SLACK = 2
 
@@ -151,7 +153,7 @@ def scan_pages(lines: DataFrame, known: Broadcast, noise: bool, cuts: bool) -> D
     characters, y: room left on the line beside that word, by the longest
     running line of the page), last_tail (the same for the last line, without
     a next word), both with _loose behind for lines outside running text,
-    dots (a: last four words) for lines that end in dots, and unread (x: characters) for ended lines of at least 500 characters.
+    dots (a: last words, from the lines before too, back to a terminator) for lines that end in dots, and unread (x: characters) for ended lines of at least 500 characters.
     escape for paragraphs that end within an escape; left_open (a: last token, y: room left beside the next word, if any) for
     paragraphs that end in an open bracket, quote or markup, and for the first
     scanned line with room left after a sign that its page never closes;
@@ -266,7 +268,7 @@ def scan_page(paper: int, page: int, block: list[tuple], words: dict[str, int],
         if cuts and i in place:
             s = text.rstrip()
             if s.endswith(("...", "…")):
-                yield "dots", paper, page, line, index, source, " ".join(s.split()[-4:]), None, len(text), None
+                yield "dots", paper, page, line, index, source, " ".join(_sentence_before(block, body, place[i]).split()[-SENTENCE_TAIL:]), None, len(text), None
             elif s and s[-1] not in ".!?।:;" + HYPHENS and s[-1] not in "\"')]”»":
                 parts = s.split()
                 after = body[place[i] + 1 : place[i] + 2]
@@ -293,6 +295,14 @@ def scan_page(paper: int, page: int, block: list[tuple], words: dict[str, int],
         yield "opening", paper, page, None, None, None, "\t".join(first_word(block[j][3]) for j in body[:REACH]), (block[body[0]][3].split(None, 1) or [""])[0], closes, None
 
 
+def _sentence_before(block: list[tuple], body: list[int], place: int) -> str:
+    """A line behind up to two lines of its sentence."""
+    first = place
+    while first > max(0, place - 2) and block[body[first - 1]][3].rstrip()[-1:] not in _ENDS:
+        first -= 1
+    return " ".join(block[i][3] for i in body[first : place + 1])
+
+
 def _open_paragraphs(paper: int, page: int, lines: list[tuple]) -> Iterator[tuple]:
     for line, index, source, text in lines:
         s = text.rstrip()

@@ -1,7 +1,7 @@
 """Question and answer pairs with a defect: empty, refusal, copied, other_language or truncated.
 
 Copies are measured by walking the answer through the suffix automaton of its
-question; refusals by an automaton of phrases and by what is left of the
+question; refusals by an automaton of the forms they take, and by what is left of the
 answer without them; the language by votes of function words that only one
 language has; cut ends by truncation.find_truncated_answers.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +21,68 @@ from gradeloom.llm.automaton import SuffixAutomaton, covered
 from gradeloom.llm.pages import HYPHENS, PAGE_NUMBER
 from gradeloom.llm.wordlists import ALL_FUNCTION_WORDS, FUNCTION_WORDS
 
-# Phrases that refuse an answer.
-REFUSALS = """
-i don't know|i do not know|dont know|don't know the answer|i have no clue|i have no idea|no idea|no clue|nothing comes to mind|my mind went blank|i forgot|cannot remember|can't remember|do not remember
-i could not do|i could not answer|i couldn't answer|i cannot answer|i can't answer|i can not answer|i am unable to|i'm unable to|i was unable to|unable to answer|i can't help with|i cannot help with|i can't assist|i cannot assist|it is not possible for me to write about|it is not possible for me to|it's not possible for me to|not possible for me to
-i refuse to|i decline to write about|i decline to|i am not able to provide an answer|i am not able to|i'm not able to|i would rather not|i'd rather not|i prefer not to|i will not attempt|i won't be answering|i will not answer|i won't answer|i am not going to|i'm not going to|not attempting|i give up|i pass|skipping this|skipping|i skip|will come back if time allows|please excuse me from
-cannot be provided by me|can't be provided by me|i did not study|i didn't study|i have not studied|i never understood|i did not understand|we were never taught|i was never taught|there is nothing i can write|nothing i can write|no answer from my side|i am leaving this|leaving this blank|i leave it|i leave this|out of syllabus|not in the syllabus|not able to answer|as an automated assistant|as an ai|as a language model
-no sé|no lo sé|no tengo ni idea|ni idea|no puedo responder|no puedo contestar|no puedo ayudar|prefiero no responder|prefiero no contestar|dejo esta parte|dejo en blanco|sin respuesta|lo dejo así|no estudié|olvidé todo|he olvidado|no recuerdo|no voy a responder|paso de esta|me rindo
-je ne sais pas|je ne sais rien|je ne connais pas la réponse|je ne peux pas répondre|je ne peux pas|je préfère ne pas|je refuse de|aucune idée|j'ai tout oublié|j'ai oublié|je laisse cette partie|sans réponse|je n'ai pas étudié|je n'ai pas appris|je passe|j'abandonne|je ne me souviens pas
-ich weiß nichts|ich weiß die antwort|ich weiß es nicht|ich weiß nicht|keine ahnung|ich kann diese frage nicht|kann ich das nicht beantworten|nicht beantworten|ich möchte hier nicht|nicht antworten|ich habe alles über|vergessen|ich gebe bei dieser aufgabe auf|ich gebe auf|ich lasse es aus|nicht gelernt|ich überspringe
-मुझे नहीं पता|मुझे उत्तर नहीं|मुझे इसका उत्तर नहीं|मैं उत्तर नहीं|उत्तर नहीं दे सकता|उत्तर नहीं आता|मुझे याद नहीं|नहीं पढ़ा
+# How refusals are said: slots parted by plus signs, alternatives by bars; a slot with a question mark may be left out.
+REFUSAL_FORMS = """
+i|we + ?really|simply|honestly|just + do not|don't|dont|did not|didn't|cannot|can't|can not|could not|couldn't|will not|won't|am not able to|am unable to|was unable to|was not able to|do not want to|have not|haven't|have never|never + know|remember|recall|answer|understood|understand|do|write|explain|solve|attempt|study|studied|learn|learned|learnt|help|help with|assist|provide|transcribe|read|think of
+cannot|can't|could not|couldn't + be + provided|answered + by me
+i'm|i am + not able to|unable to|not going to
+not + able to|possible for me to|attempting|attempted|answered|in the syllabus|in our syllabus
+unable to + answer|read|help|write
+i|we + refuse to|decline to|would rather not|prefer not to|give up|pass|skip|leave it|leave this|forgot|have forgotten|am leaving this|am going to skip|won't be answering|have no clue|have no idea|had no idea|had no clue
+i'd rather not
+no + idea|clue|answer from my side
+i was|we were + never taught
+it is|it's + not possible + ?for me|for us + to
+nothing + comes to mind|i can write|to say
+there is nothing i can write
+my mind + went blank|is blank
+please excuse me from
+leaving this blank
+skipping + ?this|this one|this part|this question
+will come back if time allows
+as an ai|as an automated assistant|as a language model
+out of syllabus
+?yo + no + ?lo + sé|recuerdo|conozco|entiendo|entendí|estudié|aprendí
+no + puedo|pude|quiero|voy a|sabría|podría + responder|contestar|ayudar|resolver|hacer|explicar|recordar
+?no tengo + ni idea
+prefiero + no responder|no contestar|no escribir
+dejo + esta parte|esta pregunta|en blanco
+lo dejo así
+sin respuesta
+olvidé todo|he olvidado|me rindo|paso de esta
+je ne + sais|connais|comprends|me souviens + pas|rien|pas la réponse|pas de
+je ne + peux|veux|pourrais + pas + ?répondre|expliquer|faire
+je n'ai + pas|rien|jamais + étudié|appris|compris|su
+je + préfère ne pas|refuse de|passe|abandonne|laisse cette partie|laisse cette question
+j'abandonne|aucune idée|sans réponse
+j'ai + ?tout + oublié
+ich + weiß|kenne|wusste + nichts|es nicht|das nicht|nicht|die antwort nicht|die antwort|keine antwort
+ich + kann|konnte|möchte|will + diese frage|das|hier|es|dazu + nicht|nichts + ?beantworten|antworten|lösen|sagen
+kann ich + das|diese frage|hier + nicht + ?beantworten|antworten
+ich habe + das|es|alles|alles über|nichts|dieses kapitel|dieses thema + ?nicht + gelernt|vergessen|verstanden
+nicht + beantworten|antworten|gelernt
+keine + ahnung|antwort
+ich gebe + ?bei dieser aufgabe|bei dieser frage|hier + auf
+ich + lasse es aus|lasse das aus|überspringe
+vergessen
+मुझे|मुझको|मैं|हमें + ?इसका|इसके बारे में|यह + ?उत्तर + नहीं|याद नहीं + ?पता|आता|मालूम|दे सकता|दे सकती
+उत्तर नहीं + दे सकता|दे सकती|आता|पता
+नहीं पढ़ा
+"""
+# The same for refusals without a subject: behind a word of content they are said of something else.
+BARE_FORMS = """
+cannot|can't|could not|couldn't|dont|don't|do not|did not|didn't + know|remember|recall|answer|understand
 """
 # Phrases that only look like a refusal.
 NO_REFUSALS = "i don't know of any|i do not know of any|no idea can|no clue can"
-# Phrases that excuse or go with a refusal.
+# Words that open an excuse; what follows them to the end of the sentence belongs to it.
+EXCUSE_OPENERS = frozenset("because since as porque pues parce car weil da denn क्योंकि".split())
+# Phrases that go with a refusal: addresses, apologies, pleas, and words for what is refused.
 EXCUSES = """
-as my time is over|time is over|the teacher never reached it|we skipped that chapter|maybe next time|better luck next time|i hope you understand|please give me grace marks|please give grace marks|give grace marks|grace marks|since it is not in our book|it is not in our book|because i was absent that week|i was absent that week|i was absent|my notes were lost|because it was not in the syllabus|this question at this time|at this time|to transcribe or answer this image|transcribe or answer this image|reading this page|the content of this page|anything about this topic|about this topic|from this question|for this part|this chapter|on purpose|completely|sorry sir
-se acabó el tiempo|no está en nuestro libro|porque falté esa semana|falté esa semana|qué decir sobre|la respuesta a esta pregunta|esta pregunta|este tema|a esto
-le temps est fini|ce n'est pas dans notre livre|parce que j'étais absent|j'étais absent|ce chapitre|à cette question|cette partie
-die zeit ist um|das steht nicht in unserem buch|weil ich gefehlt habe|ich gefehlt habe|auf diese frage|dieses kapitel habe ich|diese frage|dieser aufgabe
+my time is over|time is over|time is up|maybe next time|better luck next time|i hope you understand|give me grace marks|give grace marks|grace marks|this question at this time|at this time|this page|this image|this topic|about this topic|from this question|for this part|this chapter|on purpose|completely
+se acabó el tiempo|la respuesta a esta pregunta|esta pregunta|este tema|a esto|qué decir sobre
+le temps est fini|ce chapitre|à cette question|cette partie
+die zeit ist um|auf diese frage|dieses kapitel|diese frage|dieser aufgabe
 sir|madam|sir/madam|dear examiner|examiner|note to marker|note|apologies|honestly|to be frank|frankly|sorry|i'm sorry|i am sorry|unfortunately|please|lo siento|perdone|perdón|disculpe|désolé|désolée|pardon|excusez-moi|leider|entschuldigung|es tut mir leid|क्षमा करें|माफ़ कीजिए
 """
 # Words that introduce a repeated question, or set one instruction for another.
@@ -55,8 +99,10 @@ LANGUAGE_NAMES = {
     "french": "fr", "francés": "fr", "français": "fr", "französisch": "fr", "spanish": "es", "español": "es", "espagnol": "es", "spanisch": "es", "hindi": "hi", "हिंदी": "hi",
 }
 _UNREAD = re.compile(r"\[(?:illegible|unclear|unreadable)\]|\?\?+|_{3,}")
-#: Words of content that a refusal may hold besides its phrases, to name its topic.
-MOST_OTHER = 4
+#: Words that an excuse may have behind its opening.
+MOST_EXCUSE = 9
+#: Words of content that a refusal may hold besides its phrases, to name its topic or an excuse.
+MOST_OTHER = 7
 _PERSONS = frozenset("i me my ich je yo mir mich se lo this it".split())
 _ASKS = re.compile(r"\b(?:in|into|en|auf|ins|al|to)\s+(" + "|".join(LANGUAGE_NAMES) + r")\b|(हिंदी|अंग्रेज़ी) में", re.IGNORECASE)
 _PLACEHOLDER = re.compile(r"^[\W_]*(?:(?:n\s?/\s?a|na|nil|none|null|blank|left blank|no answer|not answered|empty|sin respuesta|en blanco|vide|leer|tbd|xxx+)[\W_]*)?$", re.IGNORECASE)
@@ -80,15 +126,27 @@ def _tree(phrases: Iterable[str]) -> dict:
     return root
 
 
+def _phrases(text: str) -> list[str]:
+    return [phrase for line in text.strip().split("\n") for phrase in line.split("|")]
+
+
+def _spoken(forms: str) -> Iterator[str]:
+    """Every phrase that the forms allow."""
+    for line in filter(None, forms.split("\n")):
+        slots = [[*slot.removeprefix("?").split("|"), *([""] if slot[0] == "?" else [])] for slot in line.split(" + ")]
+        yield from (" ".join(filter(None, choice)) for choice in product(*slots))
+
+
 @cache
-def _trees() -> tuple[dict, dict, dict]:
-    split = lambda s: [p for line in s.strip().split("\n") for p in line.split("|")]
-    return _tree(split(REFUSALS)), _tree(split(EXCUSES)), _tree(split(NO_REFUSALS))
+def _trees() -> tuple[dict, dict, dict, dict]:
+    return _tree(_spoken(REFUSAL_FORMS)), _tree(_phrases(EXCUSES)), _tree(NO_REFUSALS.split("|")), _tree(_spoken(BARE_FORMS))
 
 
 @cache
 def _endings() -> frozenset[tuple[str, ...]]:
-    return frozenset(tuple(w[-4:]) for line in (REFUSALS + EXCUSES).strip().split("\n") for p in line.split("|") for w in (_words(p),) if len(w) > 1 or len(p) > 6)
+    """The last words, up to four, of refusals and excuses of more than one short word."""
+    known = [*_spoken(REFUSAL_FORMS + BARE_FORMS), *_phrases(EXCUSES)]
+    return frozenset(tuple(w[-4:]) for phrase in known for w in (_words(phrase),) if len(w) > 1 or len(phrase) > 6)
 
 
 def ends_in_excuse(tail: str) -> bool:
@@ -122,10 +180,10 @@ def is_refusal(answer: str, question: str | None = None) -> bool:
     answer = _UNREAD.sub(" ", answer)
     words = _words(answer) if not re.search("[ऀ-ॿ]", answer) else re.split(r"[\s।,.!?;:]+", answer)
     topic = set(_words(question or ""))
-    i, refused, rest = 0, False, 0
+    i, refused, rest, said = 0, False, 0, False
     while i < len(words):
         step, kind = 0, None
-        for tree in trees:
+        for tree in trees[:3] if said else trees:
             node, j, end = tree, i, 0
             while j < len(words) and words[j] in node:
                 node = node[words[j]]
@@ -136,9 +194,13 @@ def is_refusal(answer: str, question: str | None = None) -> bool:
                 step, kind = end, tree
         if kind is trees[2]:
             return False
-        refused |= kind is trees[0]
+        refused |= kind is trees[0] or kind is trees[3]
+        said = not step
         if not step:
             w = words[i]
+            if refused and w in EXCUSE_OPENERS:
+                i += MOST_EXCUSE
+                continue
             rest += bool(w) and w not in ALL_FUNCTION_WORDS and w not in topic and w not in _PERSONS
             if rest > MOST_OTHER:
                 return False
@@ -147,42 +209,38 @@ def is_refusal(answer: str, question: str | None = None) -> bool:
     return refused and rest * 2 <= len(words)
 
 
-def copied_share(answer: list[str], prompt: list[str]) -> float:
-    """The share of a prompt's words that an answer repeats in runs of two words or more."""
-    if not prompt or not answer:
-        return 0.0
-    back = covered(SuffixAutomaton(answer).matched_suffixes(prompt), min(2, len(answer)))
-    return sum(back) / len(prompt)
+def copied_shares(answer: list[str], prompt: list[str]) -> tuple[float, float]:
+    """How much of an answer lies in substrings of its prompt, and how much of the prompt these make up, both in letters of words.
 
-
-def own_words(answer: list[str], prompt: set[str], most: int) -> int:
-    """How many words of content an answer has that its prompt lacks and that don't frame a question; counting stops beyond `most`."""
-    own = 0
-    for w in answer:
-        if w not in prompt and w not in FRAME_WORDS and w not in ALL_FUNCTION_WORDS:
-            own += 1
-            if own > most:
-                break
-    return own
-
-
-def is_copied(answer: str, question: str) -> bool:
+    The answer is walked through the suffix automaton of the prompt. A run
+    counts from two words on, a single word if it is one of content. Words that
+    frame a question and words of grammar that stand outside of runs are passed over.
+    """
+    automaton = SuffixAutomaton(prompt)
+    runs: list[int] = []
+    back = [0] * len(prompt)
+    for word, (size, end) in zip(answer, automaton.matches(answer)):
+        runs.append(size if size > 1 or word not in ALL_FUNCTION_WORDS else 0)
+        if size:
+            back[end] = max(back[end], runs[-1])
+    inside = outside = 0
+    for word, hit in zip(answer, covered(runs)):
+        if hit:
+            inside += len(word)
+        elif word not in FRAME_WORDS and word not in ALL_FUNCTION_WORDS:
+            outside += len(word)
+    given = sum(len(word) for word, hit in zip(prompt, covered(back)) if hit)
+    return inside / max(1, inside + outside), given / max(1, sum(map(len, prompt)))
+
+
+def is_copied(answer: str, question: str, of_answer: float = 0.75, of_prompt: float = 0.65) -> bool:
     """True if an answer only gives its question again, whole or slightly reworded, once or more.
 
-    Either it adds no word of content and repeats most of the question's
-    words, in runs or in another order, or it exchanges a single word.
+    At least of_answer of it comes from the question, and it gives of_prompt of
+    the question: less is an answer that takes up its words.
     """
-    prompt, words = _words(_MARKS.sub("", question.strip())), _words(answer)
-    own = own_words(words, set(prompt), 1)
-    if not prompt or own > 1:
-        return False
-    # The automaton of the prompt tells what of the answer lies in substrings of it.
-    inside = covered(SuffixAutomaton(prompt).matched_suffixes(words), min(2, len(prompt)))
-    share = copied_share(words, prompt)
-    if own:
-        return share >= 0.8 and sum(inside) * 4 >= len(words) * 3 and len(words) + 2 >= len(prompt) >= 5
-    present = sum(w in words for w in set(prompt)) / len(set(prompt))
-    return (share >= 0.7 and len(words) >= len(prompt) - 1) or present >= 0.9
+    shares = copied_shares(_words(answer), _words(_MARKS.sub("", question.strip())))
+    return shares[0] >= of_answer and shares[1] >= of_prompt
 
 
 def language_votes(text: str) -> dict[str, int]:

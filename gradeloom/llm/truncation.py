@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.arrow import map_rows
-from gradeloom.llm.automaton import open_at_end, open_markup
+from gradeloom.llm.automaton import half_escape, open_at_end, open_markup
 from gradeloom.llm.pages import DIGITAL, HYPHENS, LEAST_SLACK, SIGNS, page_openings, scan_pages
 from gradeloom.llm.pairs import ends_in_excuse, is_copied, is_refusal, plain_answer
 from gradeloom.llm.vocabulary import END_ONE, END_TWO, NAME, PAIR, STRIP, TERMINATORS, bare, corpus_counts, frequent_keys, frequent_words, masked
@@ -39,10 +39,11 @@ MOST_SLACK = 10_000
 def tail_state(text: str) -> str:
     """How a text ends: `broken` (a broken character or escape), `dots` (an ellipsis), `ended` (by a terminator or closing sign), or `bare`.
 
-    A terminator inside an open quote or bracket does not end the text.
+    A terminator ends a text even where a quote or bracket is still open:
+    writers forget to close these. "R&D" is whole, "&am" is not.
     """
     s = text.rstrip()
-    if s.endswith(BROKEN) or s.endswith("\\") or (s.rfind("&") >= 0 and len(s) - s.rfind("&") <= 6 and s[s.rfind("&") + 1 :].isalpha() and s.rfind("&") + 1 < len(s)):
+    if s.endswith(BROKEN) or half_escape(s):
         return "broken"
     if s.endswith(("...", "…")):
         return "dots"
@@ -216,7 +217,7 @@ def _judge_lines(tails: DataFrame, known: Broadcast, ends: Broadcast) -> DataFra
 
         for line, source, what, tail, following, length, slack, opening, at_limit in rows:
             if what == "dots":
-                yield line, source, "open" if breaks_off(tail, words, one, two) and not ends_in_excuse(tail) else None
+                yield line, source, "open" if breaks_off(tail, words, one, two) and not ends_in_excuse(tail) and not is_refusal(tail) else None
                 continue
             tokens = tail.split()
             last, before = tokens[-1], tokens[-2] if len(tokens) > 1 else ""

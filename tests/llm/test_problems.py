@@ -75,6 +75,15 @@ def test_pages_of_a_language_that_is_often_no_prose(spark, prose, tables):
     assert rows(found) == [(1, prose + i, "table") for i in range(1, tables + 1)]
 
 
+def test_the_tails_of_the_sketches_decide(spark, monkeypatch):
+    own = line_table(spark, *[PROSE] * 250, *[TABLE] * 3)
+    scored = quality.page_scores(quality.page_statistics(own))
+    assert {r.page for r in scored.where(quality.in_tail()).collect()} == {251, 252, 253}
+    flat = {s: f"0.0 as z_{s}" for s in quality.STATISTICS}
+    monkeypatch.setattr(quality, "page_scores", lambda pages: pages.selectExpr("*", *flat.values()))
+    assert quality.page_kinds(own).count() == 0
+
+
 def test_second_deliveries_and_empty_tables(spark):
     own = line_table(spark, PROSE, LIST)
     once, twice = quality.page_statistics(own), quality.page_statistics(own.unionByName(own))
@@ -159,7 +168,7 @@ def test_rates_count_second_deliveries_once(spark):
     assert rates["ocr_lines", "flatbed_a"] == (1, BASE) and rates["parsed_questions", "flatbed_a"] == (0, 1)
 
 
-@pytest.mark.parametrize("text, state", [("It ends.", "ended"), ("It ends.)", "ended"), ("It en�", "broken"), ("It is &am", "broken"), ("It goes on", "bare"), ("", "bare"), ("x\\", "broken")])
+@pytest.mark.parametrize("text, state", [("It ends.", "ended"), ("It ends.)", "ended"), ("It en�", "broken"), ("It is &am", "broken"), ("the profit from R&D", "bare"), ("AT&T", "bare"), ('He said "it was done.', "ended"), ("It goes on", "bare"), ("", "bare"), ("x\\", "broken")])
 def test_ends_of_texts(text, state):
     assert truncation.tail_state(text) == state
 
@@ -312,6 +321,19 @@ def test_defects(question, answer, language, defect):
     assert pairs.defect_of(question, answer, language) == defect
 
 
+@pytest.mark.parametrize("answer", ["We simply couldn't solve this one.", "I have never studied it, because the class was away at the lake.", "Yo no entiendo este tema.", "Je ne peux pas expliquer.", "Ich konnte das nicht lösen."])
+def test_refusals_in_words_of_their_own(answer):
+    assert pairs.is_refusal(answer)
+
+
+def test_the_automaton_of_the_prompt_decides_copies(monkeypatch):
+    question = "Describe the role of heat in the growth of plants."
+    assert pairs.copied_shares(["heat", "in", "the", "sea"], ["heat", "in", "the", "growth"]) == (9 / 12, 9 / 15)
+    assert pairs.is_copied("The role of heat in the growth of plants.", question) and not pairs.is_copied("heat", question)
+    monkeypatch.setattr(automaton.SuffixAutomaton, "matches", lambda self, symbols: ((0, -1) for _ in symbols))
+    assert not pairs.is_copied(question, question)
+
+
 def test_one_defect_a_pair(spark):
     own = spark.createDataFrame([(i, q, a, x, "clash") for i, (q, a, x, _) in enumerate(PAIRS)] * 2, "block_id bigint, question_text string, answer_text string, lang string, defect string")
     cut = spark.createDataFrame([(0,), (4,), (16,), (4,)], "block_id bigint")
