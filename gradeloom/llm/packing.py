@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from gradeloom.llm.arrow import map_rows
 from gradeloom.session import checkpointed
 
-#: Items that a task of a merging round takes at most, on average.
+#: Items that a task takes at most, on average, in any round.
 TASK_ITEMS = 200_000
 #: Partitions that meet in one of the next round.
 FAN_IN = 8
@@ -48,19 +49,19 @@ def best_fit(items: list[tuple], capacity: int) -> list[tuple[int, list[tuple]]]
     return list(zip(free, containers))
 
 
-def pack_items(items: DataFrame, specs: DataFrame, near: float = 0.01, most_rounds: int = 3) -> DataFrame:
+def pack_items(items: DataFrame, specs: DataFrame, near: float = 0.01) -> DataFrame:
     """spec_name, container, item_id, piece, start_token, n_tokens: where every item goes, for each capacity.
 
     items: item_id, n_tokens. specs: spec_name, capacity_tokens, a table of a
     few rows. A container counts as nearly full with at most the share `near`
     left. Items with null, zero or negative size need no container; a repeated
     item is packed once per repetition (copy counts them). Capacities of null
-    or zero take nothing.
+    or zero take nothing. Rounds go on until a single lane is left, or until
+    merging would need as many lanes as before.
     """
     spark = items.sparkSession
     known = sorted({(r["spec_name"], int(r["capacity_tokens"])) for r in specs.where("capacity_tokens > 0").select("spec_name", "capacity_tokens").distinct().collect()})
     sized = items.where("n_tokens > 0").select(F.col("item_id").cast("bigint"), F.col("n_tokens").cast("bigint"))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def divide(rows: Iterable[tuple]) -> Iterator[tuple]:
         for item, n in rows:
@@ -69,14 +70,15 @@ def pack_items(items: DataFrame, specs: DataFrame, near: float = 0.01, most_roun
                     yield spec, capacity, item, piece, start, min(capacity, n - start)
 
     schema = "spec_name string, capacity bigint, item_id bigint, piece int, start_token bigint, n_tokens bigint"
-    open_items = map_rows(sized, schema, divide).withColumn("lane", F.pmod(F.xxhash64("item_id", "piece"), F.lit(width)).cast("int"))
+    most = max((n or 0 for n in sized.agg(F.lit(0), *(F.sum(F.ceil(F.col("n_tokens") / c)) for _, c in known)).first()), default=0)
+    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(most) // TASK_ITEMS))
+    open_items = map_rows(sized, schema, divide).withColumn("lane", F.pmod(F.xxhash64("item_id", "piece"), F.lit(lanes)).cast("int"))
     # What fills a container alone goes past the rounds.
     closed = [open_items.where("n_tokens = capacity").select("spec_name", F.concat_ws("/", F.lit("full"), "item_id", "piece").alias("container"), "item_id", "piece", "start_token", "n_tokens")]
     open_items = open_items.where("n_tokens < capacity")
-    lanes = width
     placed = "spec_name string, capacity bigint, container string, item_id bigint, piece int, start_token bigint, n_tokens bigint, lane int, done boolean"
-    for turn in range(most_rounds):
-        last = turn + 1 == most_rounds or lanes == 1
+    for turn in count():
+        last = lanes == 1
 
         def pack(rows: Iterable[tuple], turn: int = turn, last: bool = last) -> Iterator[tuple]:
             held: dict[tuple, list[tuple]] = {}
@@ -107,7 +109,11 @@ def pack_items(items: DataFrame, specs: DataFrame, near: float = 0.01, most_roun
         size = rest.groupBy("spec_name").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
         if not size:
             break
-        lanes = max(-(-lanes // FAN_IN), -(-size // TASK_ITEMS))
+        fewer = max(-(-lanes // FAN_IN), -(-size // TASK_ITEMS))
+        if fewer >= lanes:
+            closed.append(rest.select("spec_name", "container", "item_id", "piece", "start_token", "n_tokens"))
+            break
+        lanes = fewer
         open_items = rest.drop("container", "done", "lane").withColumn("lane", F.pmod(F.xxhash64("item_id", "piece", F.lit(turn)), F.lit(lanes)).cast("int"))
     result = closed[0]
     for more in closed[1:]:

@@ -371,6 +371,16 @@ def test_packing_keeps_everything(spark):
     assert packing.pack_items(items.where("false"), specs).count() == 0
 
 
+def test_lanes_follow_the_items(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ITEMS", 20)
+    items = spark.createDataFrame([(i, 30 + i % 50) for i in range(1200)], "item_id bigint, n_tokens bigint")
+    specs = spark.createDataFrame([("s", 100)], "spec_name string, capacity_tokens int")
+    packed = packing.pack_items(items, specs)
+    assert packed.agg(F.count_distinct("item_id")).first()[0] == 1200 == packed.count()
+    fill = packing.fill_report(packed, specs).first()
+    assert fill.n_tokens == sum(30 + i % 50 for i in range(1200)) and packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).where("n > 100").count() == 0
+
+
 def test_best_fit_takes_the_tightest_place():
     assert [f for f, _ in packing.best_fit([(7,), (6,), (3,), (4,)], 10)] == [0, 0] and packing.best_fit([], 10) == []
 
@@ -387,6 +397,24 @@ def test_seats_agree_with_highest_quotients():
         assert mixing.sainte_lague(weights, seats) == given
 
 
+@pytest.mark.parametrize("n", [1, 300, 50_000])
+def test_plans_of_many_shards_lose_nothing(n):
+    targets = [("m", s, share, 2) for s, share in zip("abcde", (0.1, 0.3, 0.2, 0.2, 0.2))]
+    held = {(s, k): 900 + (k * 37) % 200 for s in "abcde" for k in range(n)}
+    given = dict.fromkeys("abcde", 0)
+    for _, source, shard, passes, rest in mixing.plan_mixes(held, targets):
+        assert passes * held[source, shard] + rest <= 2 * held[source, shard]
+        given[source] += passes * held[source, shard] + rest
+    whole = sum(given.values())
+    assert all(abs(given[s] / whole - share) < 0.001 for _, s, share, _ in targets)
+    assert abs(whole - 2 * sum(n for (s, _), n in held.items() if s == "b") / 0.3) < 10
+
+
+def test_shards_take_over_what_others_cannot_give():
+    assert mixing.shard_quotas({"a": 10, "b": 10, "c": 1}, 21, 1, 5) == {"a": 10, "b": 10, "c": 1}
+    assert mixing.shard_quotas({"a": 10}, 30, 2, 7) == {"a": 20}
+
+
 def test_mixes_reach_their_shares(spark):
     random.seed(1)
     given = [(i, "big" if i % 10 else "small", random.randint(5, 60), 0.5) for i in range(4000)] + [(9001, None, 5, 0.5), (9002, "big", 0, 0.5), (9003, "big", None, 0.5)]
