@@ -10,6 +10,7 @@ are set against all of the page.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -34,6 +35,9 @@ _RANK = re.compile(r"\bno\.\s*\d+", re.IGNORECASE)
 # Devanagari words are taken with their marks, which are no letters to Python.
 _TOKEN = re.compile(r"(?:[^\W_]|[ऀ-ॣ])+")
 
+#: Numbered lines that a page needs before what they share tells anything.
+LEAST_LINES = 6
+
 
 def is_clause(words: list[str], sentence: bool = False) -> bool:
     """True if the words of a unit read as a clause.
@@ -71,6 +75,25 @@ def _cut(pattern: re.Pattern, text: str) -> tuple[str, int]:
     return pattern.sub(keep, text), _solid(" ".join(found))
 
 
+def keyword_lines(listed: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+    """Of the numbered lines and rows of a page, given with their words, those that are keywords and not a list.
+
+    A question, an entry or a row of figures names a thing once. Keywords
+    return: within a line, or as the same two words of content in more than
+    two thirds of LEAST_LINES lines or more. Clauses are never keywords.
+    """
+    pairs: Counter = Counter()
+    loose = [(line, words) for line, words in listed if not is_clause(words)]
+    repeating = []
+    for line, words in loose:
+        content = [fold_word(w) for w in words if len(w) > 2 and w not in ALL_FUNCTION_WORDS and not w.isdigit()]
+        pairs.update(set(zip(content, content[1:])))
+        if content and len(set(content)) * 4 <= len(content) * 3:
+            repeating.append((line, words))
+    most = max(pairs.values(), default=0)
+    return loose if len(loose) >= LEAST_LINES and most * 3 > len(listed) * 2 else repeating
+
+
 def spam_measures(text: str | None, most: float = 0.0) -> tuple[int, int, int, int]:
     """Characters of a text, white space apart: all, in links and tags, outside clauses, and of these in repeated substrings.
 
@@ -88,21 +111,26 @@ def spam_measures(text: str | None, most: float = 0.0) -> tuple[int, int, int, i
     total = _solid(rest) + marked
     rest = _RANK.sub(" ", rest)
     rest = _SPELLED.sub(lambda m: m[0].replace(" ", "").replace("-", ""), rest)
-    sequence: list[str] = []
-    sizes: list[int] = []
-    loose = 0
+    units: list[tuple[str, list[str]]] = []
+    listed: list[tuple[str, list[str]]] = []
     for line in _WRAPPED.sub(" ", rest).split("\n"):
         if _ENUMERATED.match(line) or _NUMBER_ROW.match(line.strip()) or ("(a)" in line and "(b)" in line):
+            listed.append((line, _TOKEN.findall(line.lower())))
             continue
         for unit in _SENTENCE.split(line):
             words = _TOKEN.findall(unit.lower())
-            if not words or is_clause(words, unit[:1].isupper() and unit.rstrip()[-1:] in ".!?।"):
-                continue
-            loose += _solid(unit)
-            for word in words:
-                if not word.isdigit():
-                    sequence.append(fold_word(word))
-                    sizes.append(len(word))
+            if words and not is_clause(words, unit[:1].isupper() and unit.rstrip()[-1:] in ".!?।"):
+                units.append((unit, words))
+    units += keyword_lines(listed)
+    sequence: list[str] = []
+    sizes: list[int] = []
+    loose = 0
+    for unit, words in units:
+        loose += _solid(unit)
+        for word in words:
+            if not word.isdigit():
+                sequence.append(fold_word(word))
+                sizes.append(len(word))
     if marked + loose <= most * total:
         return total, marked, loose, 0
     automaton = SuffixAutomaton(sequence)

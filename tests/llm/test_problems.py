@@ -481,3 +481,14 @@ def test_spam_behind_filler_prose(spark):
     found = spam.spam_pages(spark.createDataFrame(list(enumerate(spam_texts + honest)), "doc_id bigint, text string"))
     assert [r.doc_id for r in found.orderBy("doc_id").collect()] == [0, 1, 2, 3]
     assert spam._TOKEN.findall("होती हैं।") == ["होती", "हैं"]
+
+
+NUMBERED = "\n".join(f"{i}. cheap shoes online best cheap shoes store" for i in range(59))
+NUMBERED_ONCE = "\n".join(f"{i}. {w} cheap shoes {v}" for i, (w, v) in enumerate([("buy", "online"), ("best", "now"), ("store", "sale"), ("discount", "women")] * 4))
+ANSWER_KEY = "\n".join(f"{i}. {'abcd'[i * 7 % 4]}" + (" (food chain)" if i % 6 == 0 else "") for i in range(60))
+QUESTIONS = "\n".join(f"{i}) Give reasons why {x} is important for seedlings. ({i % 5 + 1} marks)" for i, x in enumerate(["light", "water", "the root", "heat", "the leaf", "air", "soil", "the stem"]))
+
+
+@pytest.mark.parametrize("text, spam_page", [(NUMBERED, True), (NUMBERED_ONCE, True), (ANSWER_KEY, False), (QUESTIONS, False), ("buy the best cheap shoes for you and your family if you want to buy it now because " * 20, True)])
+def test_numbered_keywords(text, spam_page):
+    assert (spam.spam_share(spam.spam_measures(text, 0.5), 0.25) > 0.5) == spam_page
