@@ -252,6 +252,24 @@ def test_labels_are_resolved(spark):
     assert rows(found) == sorted((b, q) for b, _, _, _, q in labels_ if b != 14)
 
 
+def test_labels_of_other_lists(spark):
+    lists = {1: ["3", "3(a)", "3(a)(i)", "3(a)(ii)", "3(b)"], 2: ["I", "II", "III"], 3: ["A1", "A2", "B1", "B2"], 4: ["3.2.1", "3.2.2"], 5: ["Section A", "Section B"], 6: ["Essay", "Letter"], 7: ["1", "2", "3"], 8: ["Q1", "Q2", "Q3a"], 9: ["7(a)", "7(b)"]}
+    cases = [
+        (1, 1, "Ans 3 a ii", "3(a)(ii)"), (2, 1, "Q3(b)", "3(b)"), (3, 1, "3 (a) (iii)", "unmatched"), (4, 2, "Q. 3", "III"), (5, 2, "two", "II"), (6, 3, "B-2", "B2"), (7, 3, "ans a1", "A1"), (8, 3, "b2.", "B2"), (9, 4, "Q 3-2-1", "3.2.1"),
+        (10, 5, "sec. b", "Section B"), (11, 6, "Esay", "Essay"), (12, 7, "drei", "3"), (13, 7, "Pregunta dos", "2"), (14, 7, "trois", "3"), (15, 8, "3(a)", "Q3a"), (16, 8, "question 2", "Q2"), (17, 9, "Vll (b)", "unmatched"), (18, 9, "VII b", "7(b)"), (19, 6, "Sonnet", "unmatched"),
+    ]
+    own = spark.createDataFrame([(b, e, x, None) for b, e, x, _ in cases], "block_id bigint, exam_id bigint, question_number string, parent_block_id bigint")
+    found = labels.resolve_labels(own, spark.createDataFrame([(e, n) for e, ns in lists.items() for n in ns], "exam_id bigint, q_number string"))
+    assert rows(found) == sorted((b, q) for b, _, _, q in cases)
+
+
+def test_soft_tf_idf_ranks_the_entries(spark):
+    entries = spark.createDataFrame([(1, n) for n in ("4(i)", "4(ii)", "4.1", "4.2")], "exam_id bigint, q_number string")
+    own = spark.createDataFrame([(1, 1, "Q4 (i)", None), (2, 1, "Q4 . 1", None), (3, 1, "Q4 l", None)], "block_id bigint, exam_id bigint, question_number string, parent_block_id bigint")
+    # The reading of "l" as the Roman one is nearer than that as the digit.
+    assert rows(labels.resolve_labels(own, entries)) == [(1, "4(i)"), (2, "4.1"), (3, "4.1")]
+
+
 def test_edit_distance_agrees_with_deletion_keys():
     random.seed(3)
     pool = ["".join(random.choice("abcd") for _ in range(random.randint(3, 6))) for _ in range(60)]
