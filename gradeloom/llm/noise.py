@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gradeloom.llm.arrow import map_rows
 from gradeloom.llm.lines import JUNK, LIST, TABLE, classify_line
 from gradeloom.llm.pages import DIGITAL, HYPHENS, PAGE_NUMBER, REACH, broken_end, first_word, header_keys, join_halves, page_openings, scan_pages
-from gradeloom.llm.vocabulary import CLEAN, STRIP, corpus_counts, frequent_words
+from gradeloom.llm.vocabulary import CLEAN, STRIP, WORD, corpus_counts, frequent_words
 from gradeloom.llm.wordlists import ALL_FUNCTION_WORDS
 from gradeloom.session import checkpointed, prepare
 
@@ -33,9 +33,6 @@ CONFUSIONS = [
     ("cl", "d"), ("d", "cl"), ("rn", "m"), ("m", "rn"), ("nn", "m"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("li", "h"), ("ri", "n"), ("in", "m"), ("iii", "m"), ("é", "e"), ("e", "é"), ("ó", "o"), ("o", "ó"),
 ]
 
-#: Words a line, on average, from which the lines of a page are no list.
-LIST_WORDS = 6
-
 
 def letter_forms(word: str) -> list[str]:
     """word with every digit, bar and ligature read as letters, in each way up to sixteen; word alone if it has none."""
@@ -83,18 +80,29 @@ def corrections(odd: DataFrame, common: DataFrame, ratio: float = 0.05, digit_ra
     return met.groupBy("word").agg(F.max_by("fixed", F.struct("n_fixed", "fixed")).alias("fixed"))
 
 
-def known_words(counts: DataFrame, least_clean: int = 2) -> dict[str, int]:
-    """The frequent words that are no misreading of another one; bounded as frequent_words is.
+def typed_words(counts: DataFrame, least: int = 2, share: float = 0.25) -> DataFrame:
+    """word: words that belong to the language because typed texts hold them, too.
 
-    A word that typed texts hold at least least_clean times is no misreading.
+    They come `least` times in typed texts and make up at least `share` of what
+    a word as frequent would there: in a large corpus any slip is typed now and
+    then, but far more rarely than it is misread.
     """
-    spark = counts.sparkSession
-    frequent = frequent_words(counts)
-    words = spark.createDataFrame(list(frequent.items()), "word string, n bigint")
-    typed = counts.where((F.col("kind") == CLEAN) & (F.col("n") >= least_clean)).select("word")
-    bad = corrections(words.join(typed, "word", "left_anti"), words).select("word")
-    misread = {r["word"] for r in bad.collect()}
-    return {w: n for w, n in frequent.items() if w not in misread}
+    own = counts.where(F.col("kind").isin(WORD, CLEAN))
+    n = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")))
+    sums = own.agg(n(WORD).alias("all"), n(CLEAN).alias("typed")).first()
+    typed_share = (sums["typed"] or 0) / (sums["all"] or 1)
+    words = own.groupBy("word").agg(n(WORD).alias("all"), n(CLEAN).alias("typed"))
+    return words.where((F.col("typed") >= least) & (F.col("typed") >= share * typed_share * F.col("all"))).select("word")
+
+
+def known_words(counts: DataFrame, least: int = 5) -> tuple[dict[str, int], DataFrame]:
+    """The frequent words that are no misreading of another one, bounded as frequent_words is; and all words that come `least` times and are none, as a table of word, n."""
+    counted = counts.where((F.col("kind") == WORD) & (F.col("n") >= least)).select("word", "n")
+    bad = checkpointed(corrections(counted.join(typed_words(counts), "word", "left_anti"), counted).select("word"))
+    frequent = frequent_words(counts, least=least)
+    # Of the misread words only those that are frequent come to the driver.
+    misread = {r["word"] for r in counts.sparkSession.createDataFrame([(w,) for w in frequent], "word string").join(bad, "word").collect()}
+    return {w: n for w, n in frequent.items() if w not in misread}, counted.join(bad, "word", "left_anti")
 
 
 def scan_answers(answers: DataFrame, known: Broadcast) -> DataFrame:
@@ -144,6 +152,23 @@ def header_templates(scanned: DataFrame, least: int = 3, share: float = 0.9) ->
     return summed.where((F.col("x") >= least) & (F.col("x") >= share * (F.col("x") + F.col("y")))).select("key")
 
 
+def running_headers(scanned: DataFrame, a_paper: float = 1.3) -> tuple[DataFrame, DataFrame]:
+    """(lines, keys): the running headers among the edge lines of pages (line_uid, paper_id, page), and their templates.
+
+    A template must also return within papers, `a_paper` times in each that has
+    it, on average: in a large corpus any line opens three pages, but not two of
+    the same paper.
+    """
+    hits = checkpointed(_head_keys(scanned, "line_uid", "paper_id", "page").join(header_templates(scanned), "key", "left_semi"))
+    sums = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("paper_id").alias("n_papers"))
+    keys = checkpointed(sums.where(F.col("n") >= a_paper * F.col("n_papers")).select("key"))
+    return hits.join(keys, "key", "left_semi").select("line_uid", "paper_id", "page").distinct(), keys
+
+
+def _head_keys(rows: DataFrame, *ids: str) -> DataFrame:
+    return rows.where("what = 'head_line'").select(*ids, F.explode(F.split("a", "\t")).alias("key"))
+
+
 def over_pages(scanned: DataFrame, known: Broadcast) -> DataFrame:
     """line_uid, paper_id, page, next_page, fixed, sure: words broken over the end of a page, joined to the first lines of the paper's next page of running text."""
     halves = scanned.where("what = 'half'").select("paper_id", "page", "line_uid", F.col("a").alias("half"), F.col("x").alias("within"))
@@ -168,29 +193,24 @@ def noise_details(lines: DataFrame, answers: DataFrame) -> DataFrame:
     `at` is the ordinal of the line in an answer, paper_id and page are those of
     a page line; `word` is the misread word as it stands, bare. A noise `rest`
     without a record names the page that opens with the rest of a word broken
-    over the page before. See find_noise for what else holds.
+    over the page before, `listed` one that may be set as entries. See find_noise for what else holds.
     """
     spark: SparkSession = prepare(lines.sparkSession)
     counts = checkpointed(corpus_counts(lines.select("text", F.coalesce(F.col("source").isin(*DIGITAL), F.lit(False)))))
-    frequent = known_words(counts)
+    frequent, common = known_words(counts)
     known = spark.sparkContext.broadcast(frequent)
     scanned = checkpointed(scan_pages(lines, known, noise=True, cuts=False))
     written = checkpointed(scan_answers(answers, known))
-    templates = checkpointed(header_templates(scanned))
+    line_heads, head_keys = running_headers(scanned)
     rare = scanned.where("what = 'rare'").select("a").union(written.where("what = 'rare'").select("a")).groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    typed = counts.where((F.col("kind") == CLEAN) & (F.col("n") >= 2)).select("word")
-    common = spark.createDataFrame(list(frequent.items()), "word string, n bigint")
-    fixes = checkpointed(corrections(rare.join(typed, "word", "left_anti"), common))
-
-    def headers(rows: DataFrame, *ids: str) -> DataFrame:
-        lists = rows.where("what = 'head_line'").select(*ids, F.explode(F.split("a", "\t")).alias("key"))
-        return lists.join(templates, "key", "left_semi").select(*ids).distinct()
+    # Corrections come from all words, not from the frequent ones alone: an equality join, whatever their number.
+    fixes = checkpointed(corrections(rare.join(typed_words(counts), "word", "left_anti"), common))
 
     def misread(rows: DataFrame, heads: DataFrame, *ids: str) -> DataFrame:
         return rows.where("what = 'rare'").select(*ids, F.col("a").alias("word")).join(heads, list(ids)[:1] if ids[0] == "line_uid" else list(ids), "left_anti").join(fixes, "word")
 
     place = ("line_uid", "paper_id", "page")
-    line_heads, answer_heads = headers(scanned, *place), headers(written, "rec_id", "at")
+    answer_heads = _head_keys(written, "rec_id", "at").join(head_keys, "key", "left_semi").select("rec_id", "at").distinct()
     across = checkpointed(over_pages(scanned, known))
     within = scanned.where("what = 'hyphen'").select(*place, F.col("a").alias("fixed"))
     # A half at the foot of a page may meet a wrong line on it: the next page wins if it gives a known word.
@@ -210,6 +230,7 @@ def noise_details(lines: DataFrame, answers: DataFrame) -> DataFrame:
         row(line_heads, "ocr_lines", "header"),
         row(scanned.where("what = 'page_number'"), "ocr_lines", "page_number"),
         row(across.select(F.lit(None).alias("line_uid"), "paper_id", F.col("next_page").alias("page"), "fixed"), "ocr_lines", "rest"),
+        row(scanned.where("what = 'listed'"), "ocr_lines", "listed"),
         row(written.where("what = 'hyphen'").withColumn("fixed", F.col("a")), "parsed_questions", "hyphen"),
         row(misread(written, answer_heads, "rec_id", "at"), "parsed_questions", "misread"),
         row(answer_heads, "parsed_questions", "header"),
@@ -228,7 +249,7 @@ def find_noise(lines: DataFrame, answers: DataFrame) -> DataFrame:
     ignored. Pages of lists, tables and junk report headers and page numbers
     alone.
     """
-    return noise_details(lines, answers).where("noise <> 'rest'").select("rec_table", "rec_id", "noise", "fixed").distinct()
+    return noise_details(lines, answers).where("noise not in ('rest', 'listed')").select("rec_table", "rec_id", "noise", "fixed").distinct()
 
 
 def in_case(fixed: str, seen: str) -> str:
@@ -249,18 +270,19 @@ def set_right(line: str, fixes: dict[str, str]) -> str:
     return re.sub(r"\S+", right, line)
 
 
-def join_lines(lines: list[tuple[str, bool, str | None, dict[str, str]]]) -> str:
+def join_lines(lines: list[tuple[str, bool, str | None, dict[str, str]]], may_list: bool = True) -> str:
     """Paragraphs from (text, furniture, whole word broken at its end, corrections) of lines in order.
 
     Furniture is left out. A broken word is set whole on the line of its first
     half, and its second half goes. Lines run on with a space; a paragraph ends
     behind a line that ends a sentence and is clearly shorter than the longest.
+    Where most lines are entries, these stay apart; without may_list it is known
+    that they are not, and no line is classed again.
     """
     body = [(set_right(t.strip(), fixes), whole) for t, furniture, whole, fixes in lines if not furniture and t and t.strip()]
     width = max((len(t) for t, _ in body), default=0)
     # Short lines of running text look like entries: only where these prevail are they any.
-    brief = sum(t.count(" ") + 1 for t, _ in body) < LIST_WORDS * len(body)
-    entries = [classify_line(t) in (LIST, TABLE, JUNK) for t, _ in body] if brief else [False] * len(body)
+    entries = [classify_line(t) in (LIST, TABLE, JUNK) for t, _ in body] if may_list else [False] * len(body)
     listed = sum(entries) * 5 > len(entries) * 3 and len(entries) > 3
     out: list[str] = []
     owed = False
@@ -311,12 +333,12 @@ def repair_lines(lines: DataFrame, details: DataFrame) -> DataFrame:
                 of_line.setdefault(f["rec_id"], []).append(f)
             given = [_marked(r["text"] or "", of_line.get(r["line_uid"], ())) for r in own_rows]
             first = next((i for i, g in enumerate(given) if not g[1] and g[0].strip()), None)
-            rest = next((f["fixed"] for f in of_line.get(None, ())), None)
+            rest = next((f["fixed"] for f in of_line.get(None, ()) if f["noise"] == "rest"), None)
             if rest and first is not None:
                 opening = given[first][0].split(None, 1)
                 if rest.endswith(opening[0].strip(STRIP).lower()):
                     given[first] = (opening[1] if len(opening) > 1 else "", *given[first][1:])
-            yield paper, page, join_lines(given)
+            yield paper, page, join_lines(given, any(f["noise"] == "listed" for f in of_line.get(None, ())))
 
     return map_rows(pages.join(found, ["paper_id", "page"], "left").select("paper_id", "page", "rows", "found"), "paper_id bigint, page int, text string", repair)
 

@@ -24,8 +24,10 @@ HYPHENS = "-‐‑¬\xad"
 EDGE = 2
 #: Lines looked at for the second half of a broken word.
 REACH = 4
-#: A page with more lines is taken in blocks of so many, so that no key can fill a task's memory.
+#: Places in the reading order that one block of a page may span: a longer page is spread over tasks, block by block.
 MOST_LINES = 20_000
+#: Pages of a paper that are put in order together.
+PAGE_SPAN = 1024
 
 _PAGE_WORD = r"p\s?[ao0]\s?g\s?[ec]|pg|seite|p[áa]gina"
 PAGE_NUMBER = re.compile(
@@ -142,9 +144,11 @@ def scan_pages(lines: DataFrame, known: Broadcast, noise: bool, cuts: bool) -> D
 
     lines: paper_id, page, line_uid, line_index, source, text. known: a
     broadcast dict of frequent words. Rows with equal line_uid in a page count
-    once; null and blank texts count as lines without anything in them.
+    once; null and blank texts count as lines without anything in them. A line
+    without a paper, page or place stands alone, as a page of its own. Blocks of
+    MOST_LINES places are read apart, as if each were a page.
 
-    noise: page_number; head_key (a: key, x: at page edges, y: elsewhere,
+    noise: listed, for pages that may be set as entries; page_number; head_key (a: key, x: at page edges, y: elsewhere,
     summed over many lines); head_line (a: keys of an edge line, tab
     separated); rare (a: token that isn't known); hyphen (a: whole word); and,
     for breaks over pages, half (a: first half) and opening (a: first words of
@@ -162,7 +166,9 @@ def scan_pages(lines: DataFrame, known: Broadcast, noise: bool, cuts: bool) -> D
     the first token as it stands, x, for cuts: bits of SIGNS closed but not opened).
     """
     narrow = lines.select(F.col("paper_id").cast("bigint"), F.col("page").cast("int"), F.col("line_uid").cast("bigint"), F.col("line_index").cast("int"), F.col("source").cast("string"), F.col("text").cast("string"))
-    ordered = narrow.repartition("paper_id", "page").sortWithinPartitions("paper_id", "page", "line_index", "line_uid")
+    homeless = F.col("paper_id").isNull() | F.col("page").isNull() | F.col("line_index").isNull()
+    placed = narrow.withColumn("part", F.when(homeless, F.xxhash64("line_uid", "text")).otherwise((F.col("line_index") / MOST_LINES).cast("bigint")))
+    ordered = placed.repartition("paper_id", "page", "part").sortWithinPartitions("paper_id", "page", "part", "line_index", "line_uid")
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         words = known.value
@@ -181,24 +187,31 @@ def page_openings(scanned: DataFrame) -> DataFrame:
     """paper_id, page, next_page, a, b, x: for each page of running text, how the next such page of its paper opens.
 
     Pages of lists, tables and junk between them are passed over. One row a page
-    is put in order, not its lines.
+    is put in order, in spans of PAGE_SPAN pages, so that a paper of any length
+    is spread over the tasks; between spans only their last pages are.
     """
-    before = F.lag("page").over(Window.partitionBy("paper_id").orderBy("page"))
-    return scanned.where("what = 'opening'").select("paper_id", before.alias("page"), F.col("page").alias("next_page"), "a", "b", "x").where("page is not null")
+    spans = scanned.where("what = 'opening'").select("paper_id", "page", (F.col("page") / PAGE_SPAN).cast("int").alias("span"), "a", "b", "x")
+    within = Window.partitionBy("paper_id", "span").orderBy("page")
+    known = spans.withColumn("before", F.lag("page").over(within))
+    ends = spans.groupBy("paper_id", "span").agg(F.max("page").alias("last"))
+    crossing = ends.select("paper_id", "span", F.lag("last").over(Window.partitionBy("paper_id").orderBy("span")).alias("crossed")).where("crossed is not null")
+    columns = ["paper_id", F.col("before").alias("page"), F.col("page").alias("next_page"), "a", "b", "x"]
+    first = known.where("before is null").join(crossing, ["paper_id", "span"]).withColumn("before", F.col("crossed"))
+    return known.where("before is not null").select(*columns).unionByName(first.select(*columns))
 
 
 def _pages(rows: Iterable[tuple]) -> Iterator[tuple]:
     at, block, last = None, [], None
-    for paper, page, line, index, source, text in rows:
-        if (paper, page) != at or len(block) >= MOST_LINES:
+    for paper, page, line, index, source, text, part in rows:
+        if (paper, page, part) != at:
             if block:
-                yield *at, block
-            at, block, last = (paper, page), [], None
+                yield *at[:2], block
+            at, block, last = (paper, page, part), [], None
         if line != last or line is None:
             block.append((line, index, source, text or ""))
             last = line
     if block:
-        yield *at, block
+        yield *at[:2], block
 
 
 def _key_rows(keys: Counter) -> Iterator[tuple]:
@@ -235,6 +248,10 @@ def scan_page(paper: int, page: int, block: list[tuple], words: dict[str, int],
                             keys[key, edge] += 1
                     if edge:
                         yield "head_line", paper, page, line, index, source, "\t".join(found), None, None, None
+    if noise:
+        entries, filled = sum(k in (LIST, TABLE, JUNK) for k in classes), n - classes.count(BLANK)
+        if entries * 5 > (filled - sum(loose)) * 3:
+            yield "listed", paper, page, None, None, None, None, None, None, None
     if not prose:
         return
     body = [i for i in range(n) if not loose[i] and classes[i] != BLANK]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -111,6 +110,9 @@ _MARKS = re.compile(r"[(\[]\s*\d+\s*(?:m|marks?|puntos|points|punkte)?\s*[)\]]\s
 _SHARED = {w for w in ALL_FUNCTION_WORDS if sum(w in ws for ws in FUNCTION_WORDS.values()) > 1}
 _OWN = {w: x for x, ws in FUNCTION_WORDS.items() for w in ws if w not in _SHARED}
 
+#: Automata made on first use. A cache decorator would travel to the executors by name, and they need no copy of this package.
+_MADE: dict[str, object] = {}
+
 
 def _words(text: str) -> list[str]:
     return _TOKEN.findall(text.lower().replace("’", "'"))
@@ -137,16 +139,18 @@ def _spoken(forms: str) -> Iterator[str]:
         yield from (" ".join(filter(None, choice)) for choice in product(*slots))
 
 
-@cache
 def _trees() -> tuple[dict, dict, dict, dict]:
-    return _tree(_spoken(REFUSAL_FORMS)), _tree(_phrases(EXCUSES)), _tree(NO_REFUSALS.split("|")), _tree(_spoken(BARE_FORMS))
+    if "trees" not in _MADE:
+        _MADE["trees"] = _tree(_spoken(REFUSAL_FORMS)), _tree(_phrases(EXCUSES)), _tree(NO_REFUSALS.split("|")), _tree(_spoken(BARE_FORMS))
+    return _MADE["trees"]
 
 
-@cache
 def _endings() -> frozenset[tuple[str, ...]]:
     """The last words, up to four, of refusals and excuses of more than one short word."""
-    known = [*_spoken(REFUSAL_FORMS + BARE_FORMS), *_phrases(EXCUSES)]
-    return frozenset(tuple(w[-4:]) for phrase in known for w in (_words(phrase),) if len(w) > 1 or len(phrase) > 6)
+    if "endings" not in _MADE:
+        known = [*_spoken(REFUSAL_FORMS + BARE_FORMS), *_phrases(EXCUSES)]
+        _MADE["endings"] = frozenset(tuple(w[-4:]) for phrase in known for w in (_words(phrase),) if len(w) > 1 or len(phrase) > 6)
+    return _MADE["endings"]
 
 
 def ends_in_excuse(tail: str) -> bool:

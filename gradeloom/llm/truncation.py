@@ -24,7 +24,7 @@ from gradeloom.llm.arrow import map_rows
 from gradeloom.llm.automaton import half_escape, open_at_end, open_markup
 from gradeloom.llm.pages import DIGITAL, HYPHENS, LEAST_SLACK, SIGNS, page_openings, scan_pages
 from gradeloom.llm.pairs import ends_in_excuse, is_copied, is_refusal, plain_answer
-from gradeloom.llm.vocabulary import END_ONE, END_TWO, NAME, PAIR, STRIP, TERMINATORS, bare, corpus_counts, frequent_keys, frequent_words, masked
+from gradeloom.llm.vocabulary import END_ONE, END_TWO, NAME, PAIR, STRIP, TERMINATORS, WORD, bare, corpus_counts, frequent_keys, frequent_words, masked
 from gradeloom.session import checkpointed, prepare
 
 BROKEN = "�"
@@ -129,6 +129,20 @@ def _answer_tails(answers: DataFrame) -> DataFrame:
     return map_rows(answers.select(F.col("block_id").cast("bigint"), F.col("source").cast("string"), F.col("question_text").cast("string"), F.col("answer_text").cast("string")), schema, tails)
 
 
+def without_words(judged: DataFrame, counts: DataFrame, least: int = 5) -> DataFrame:
+    """judged without the fragments that are words after all, though not frequent ones.
+
+    judged: rec_id, reason, core (the last token, bare) and others; kept in the
+    checkpoint folder, as it is read twice. A word stands within lines, `least`
+    times and as often as it ends them so; a fragment stands at ends alone.
+    """
+    kept = checkpointed(judged)
+    ends = kept.where("reason = 'fragment'").groupBy("core").agg(F.count(F.lit(1)).alias("n_ends"))
+    inner = counts.where((F.col("kind") == WORD) & (F.col("n") >= least)).select(F.col("word").alias("core"), F.col("n").alias("n_inner"))
+    words = ends.join(inner, "core").where("n_inner >= n_ends").select("core", F.lit("fragment").alias("reason"))
+    return kept.join(words, ["core", "reason"], "left_anti").drop("core")
+
+
 def line_counts(lines: DataFrame) -> DataFrame:
     """corpus_counts of page lines, with sentence ends and pairs, checkpointed."""
     return checkpointed(corpus_counts(lines.select("text", F.coalesce(F.col("source").isin(*DIGITAL), F.lit(False))), ends=True))
@@ -151,7 +165,8 @@ def find_truncated_answers(answers: DataFrame, counts: DataFrame) -> DataFrame:
     limits = field_limits(tails.select(F.lit("parsed_questions").alias("rec_table"), "source", "length", (F.col("state") == "ended").alias("ended")))
     judged = _judge_answers(tails, known, ends).join(F.broadcast(limits.drop("rec_table").withColumn("limit", F.lit(True))), ["source", "length"], "left")
     reason = F.when(F.col("limit") & (F.col("state") == "bare"), "limit").otherwise(F.col("verdict"))
-    return judged.withColumn("reason", reason).where("reason is not null").groupBy("rec_id").agg(F.max("source").alias("source"), F.min("reason").alias("reason"))
+    cut = without_words(judged.withColumn("reason", reason).where("reason is not null").select("rec_id", "source", "reason", "core"), counts)
+    return cut.groupBy("rec_id").agg(F.max("source").alias("source"), F.min("reason").alias("reason"))
 
 
 def find_truncated(lines: DataFrame, answers: DataFrame) -> DataFrame:
@@ -178,7 +193,7 @@ def find_truncated(lines: DataFrame, answers: DataFrame) -> DataFrame:
     tail_rows = scanned.where("what like '%tail%' or what = 'dots'").join(openings, ["paper_id", "page"], "left")
     limit_lines = limits.select("source", F.col("length").alias("x"), F.lit(True).alias("at_limit"))
     tail_rows = tail_rows.join(F.broadcast(limit_lines), ["source", "x"], "left").select("line_uid", "source", "what", "a", "b", "x", "y", "opening", F.coalesce("at_limit", F.lit(False)))
-    cut_lines = _open_lines(scanned).unionByName(_judge_lines(tail_rows, known, ends).where("reason is not null"))
+    cut_lines = _open_lines(scanned).unionByName(without_words(_judge_lines(tail_rows, known, ends).where("reason is not null"), counts))
     cut_answers = find_truncated_answers(answers, counts).select(F.lit("parsed_questions").alias("rec_table"), "rec_id", "source", "reason")
     found = broken.unionByName(cut_lines).select(F.lit("ocr_lines").alias("rec_table"), "rec_id", "source", "reason").unionByName(cut_answers)
     return found.groupBy("rec_table", "rec_id").agg(F.max("source").alias("source"), F.min("reason").alias("reason"))
@@ -217,7 +232,7 @@ def _judge_lines(tails: DataFrame, known: Broadcast, ends: Broadcast) -> DataFra
 
         for line, source, what, tail, following, length, slack, opening, at_limit in rows:
             if what == "dots":
-                yield line, source, "open" if breaks_off(tail, words, one, two) and not ends_in_excuse(tail) and not is_refusal(tail) else None
+                yield line, source, "open" if breaks_off(tail, words, one, two) and not ends_in_excuse(tail) and not is_refusal(tail) else None, None
                 continue
             tokens = tail.split()
             last, before = tokens[-1], tokens[-2] if len(tokens) > 1 else ""
@@ -249,9 +264,9 @@ def _judge_lines(tails: DataFrame, known: Broadcast, ends: Broadcast) -> DataFra
                     verdict = "open"
             elif digital and at_limit:
                 verdict = "limit"
-            yield line, source, verdict
+            yield line, source, verdict, core
 
-    return map_rows(tails, "rec_id bigint, source string, reason string", judge)
+    return map_rows(tails, "rec_id bigint, source string, reason string, core string", judge)
 
 
 def _judge_answers(tails: DataFrame, known: Broadcast, ends: Broadcast) -> DataFrame:
@@ -268,6 +283,6 @@ def _judge_answers(tails: DataFrame, known: Broadcast, ends: Broadcast) -> DataF
                 verdict = "fragment"
             elif state == "bare" and n_words >= SENTENCE_WORDS and not completes(tokens[-2], tokens[-1], words, one, two):
                 verdict = "open" if bare(tokens[-1]) in words else "fragment"
-            yield rec, source, length, state, verdict or ("open" if left_open else None)
+            yield rec, source, length, state, verdict or ("open" if left_open else None), bare(tokens[-1]) if tokens and verdict == "fragment" and tokens[-1][-1] not in HYPHENS else None
 
-    return map_rows(tails.select("rec_id", "source", "length", "state", "tail", "n_words", "left_open"), "rec_id bigint, source string, length int, state string, verdict string", judge)
+    return map_rows(tails.select("rec_id", "source", "length", "state", "tail", "n_words", "left_open"), "rec_id bigint, source string, length int, state string, verdict string, core string", judge)

@@ -168,6 +168,52 @@ def test_rates_count_second_deliveries_once(spark):
     assert rates["ocr_lines", "flatbed_a"] == (1, BASE) and rates["parsed_questions", "flatbed_a"] == (0, 1)
 
 
+def test_rare_words_are_no_fragments(spark):
+    counts = spark.createDataFrame([("w", "plan", 9), ("w", "leav", 6), ("w", "tem", 3), ("c", "tem", 90)], "kind string, word string, n bigint")
+    judged = [(1, "fragment", "plan"), (2, "fragment", "tem"), (3, "open", "plan"), (4, "fragment", None), *((i, "fragment", "leav") for i in range(10, 17))]
+    kept = truncation.without_words(spark.createDataFrame(judged, "rec_id bigint, reason string, core string"), counts)
+    assert {r.rec_id for r in kept.collect()} == {2, 3, 4, *range(10, 17)}
+
+
+def test_typed_words_are_told_by_their_share(spark):
+    given = [("w", "light", 900), ("c", "light", 300), ("w", "tbe", 1000), ("c", "tbe", 2), ("w", "rare", 4), ("c", "rare", 2), ("w", "once", 1), ("c", "once", 1)]
+    assert {r.word for r in noise.typed_words(spark.createDataFrame(given, "kind string, word string, n bigint")).collect()} == {"light", "rare"}
+
+
+def test_words_without_a_broadcast_place_are_corrected(spark, monkeypatch):
+    # Of 3 million tokens, a word that comes 9 times is under the share that is broadcast.
+    counts = spark.createDataFrame([("n", "", 9_000_000), ("w", "the", 100_000), ("w", "stomata", 9)], "kind string, word string, n bigint")
+    frequent, common = noise.known_words(counts)
+    assert set(frequent) == {"the"} and {r.word for r in common.collect()} == {"the", "stomata"}
+    odd = spark.createDataFrame([("st0mata", 1)], "word string, n bigint")
+    assert rows(noise.corrections(odd, common)) == [("st0mata", "stomata")]
+
+
+def test_findings_hold_when_the_corpus_is_repeated(spark):
+    own = scanned(spark, ["The plants need light because", "the leaves make temp", "The p1ants need tbe light."])
+    answers = answers_of(spark, "The plants need light because the lea")
+    copies = own
+    for k in range(1, 30):
+        copies = copies.unionByName(own.withColumn("paper_id", F.col("paper_id") + 10 * k).withColumn("line_uid", F.col("line_uid") + 100_000 * k))
+    shape = lambda df: {(r.rec_id % 100_000, r.noise, r.fixed) for r in df.where("rec_table = 'ocr_lines'").collect()}
+    assert shape(noise.find_noise(own, answers)) == shape(noise.find_noise(copies, answers))
+    cut = lambda df: {r.rec_id % 100_000 for r in df.where("rec_table = 'ocr_lines'").collect()}
+    assert cut(truncation.find_truncated(own, answers)) == cut(truncation.find_truncated(copies, answers))
+
+
+def test_lines_without_a_place_stand_alone(spark):
+    own = spark.createDataFrame([(i, None, None, None, "flatbed_a", f"The plants need light and water {i}.", 0.9, "x") for i in range(50)] + [(90, 1, 1, 25_000, "flatbed_a", "- 7 -", 0.9, "x")], LINE_SCHEMA)
+    found = noise.find_noise(own, answers_of(spark, "It is so."))
+    assert rows(found) == [("ocr_lines", 90, "page_number", "")]
+
+
+@pytest.mark.parametrize("pages_", [[1, 2, 3], [1, 5, 1023, 1024, 1030, 5000], [7]])
+def test_next_pages_over_spans(spark, pages_):
+    given = [("opening", p, n, "a", "b", 0) for p in (1, 2) for n in pages_] + [("tail", 1, 4, "a", "b", 0)]
+    found = pages.page_openings(spark.createDataFrame(given, "what string, paper_id bigint, page int, a string, b string, x int"))
+    assert rows(found.select("paper_id", "page", "next_page")) == sorted((p, a, b) for p in (1, 2) for a, b in zip(pages_, pages_[1:]))
+
+
 @pytest.mark.parametrize("text, state", [("It ends.", "ended"), ("It ends.)", "ended"), ("It en�", "broken"), ("It is &am", "broken"), ("the profit from R&D", "bare"), ("AT&T", "bare"), ('He said "it was done.', "ended"), ("It goes on", "bare"), ("", "bare"), ("x\\", "broken")])
 def test_ends_of_texts(text, state):
     assert truncation.tail_state(text) == state
@@ -266,7 +312,7 @@ def test_labels_of_other_lists(spark):
 def test_soft_tf_idf_ranks_the_entries(spark):
     entries = spark.createDataFrame([(1, n) for n in ("4(i)", "4(ii)", "4.1", "4.2")], "exam_id bigint, q_number string")
     own = spark.createDataFrame([(1, 1, "Q4 (i)", None), (2, 1, "Q4 . 1", None), (3, 1, "Q4 l", None)], "block_id bigint, exam_id bigint, question_number string, parent_block_id bigint")
-    # The reading of "l" as the Roman one is nearer than that as the digit.
+    # "l" is as near to the Roman one as to the digit: ties go to the last entry in order.
     assert rows(labels.resolve_labels(own, entries)) == [(1, "4(i)"), (2, "4.1"), (3, "4.1")]
 
 
