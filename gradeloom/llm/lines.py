@@ -32,10 +32,19 @@ _MIXED = re.compile(r"[A-Za-z]\d|\d[A-Za-z]")
 _VOWEL = re.compile("[aeiouyäöüáéíóúèêàâîôûœऀ-ॿ]")
 _SEGMENT = re.compile(r"[,;|/\t]|\s{2,}|\.{3,}|:\s")
 
+# Words of one letter are told apart before words of grammar.
+_is_grammar = frozenset(w for w in ALL_FUNCTION_WORDS if len(w) > 1).__contains__
+_is_clause_word = frozenset(w for w in CLAUSE_WORDS if len(w) > 1).__contains__
+
+
+def _has_marker(s: str) -> bool:
+    # Most lines have none of what every marker holds.
+    return ("[" in s or "?" in s or "x" in s or "_" in s) and bool(_MARKER.search(s))
+
 
 def words_of(text: str) -> list[str]:
     """Lower-cased words of a line; Devanagari words are split at white space and danda."""
-    if _DEVANAGARI.search(text):
+    if not text.isascii() and _DEVANAGARI.search(text):
         return [w for w in re.split(r"[\s।,.!?;:()]+", text.lower()) if w]
     return _WORD.findall(text.lower())
 
@@ -49,16 +58,10 @@ def classify_line(text: str | None) -> int:
         return JUNK
     ws = words_of(s)
     n = len(ws)
-    fw = clause = single = 0
-    for w in ws:
-        if len(w) == 1:
-            single += 1
-        elif w in ALL_FUNCTION_WORDS:
-            fw += 1
-            if w in CLAUSE_WORDS:
-                clause += 1
+    single = [*map(len, ws)].count(1)
+    fw, clause = sum(map(_is_grammar, ws)), sum(map(_is_clause_word, ws))
     # The common case first: a running line has several words, one of them a clause word.
-    if n >= 4 and clause and fw >= 2 and fw * 6 >= n and single * 2 < n and not _MARKER.search(s):
+    if n >= 4 and clause and fw >= 2 and fw * 6 >= n and single * 2 < n and not _has_marker(s):
         return PROSE
     if PAGE_NUMBER.match(s):
         return FURNITURE
@@ -72,13 +75,12 @@ def classify_line(text: str | None) -> int:
     if _LEADER.search(s):
         return LIST
     real = n - single
-    if _MARKER.search(s) and fw < 3 and real < 6:
-        return JUNK
-    dense = s.replace(" ", "")
-    if sum(c.isalpha() or "ऀ" <= c <= "ॿ" for c in dense) < 0.55 * len(dense) and n < 4:
-        return JUNK
-    if _RUN.search(s) and n < 4:
+    if fw < 3 and real < 6 and _has_marker(s):
         return JUNK
+    if n < 4:
+        dense = s.replace(" ", "")
+        if sum(c.isalpha() or "ऀ" <= c <= "ॿ" for c in dense) < 0.55 * len(dense) or _RUN.search(s):
+            return JUNK
     rev = sum(w in _REVERSED for w in ws)
     if rev >= 2 and rev > clause:
         return JUNK

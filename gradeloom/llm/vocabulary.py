@@ -33,47 +33,47 @@ def masked(token: str) -> str:
 
 
 def _count(rows: Iterable[tuple], ends: bool) -> Iterator[tuple]:
-    counts: Counter = Counter()
-    clean: Counter = Counter()
+    words, clean, pairs, one, two = (Counter() for _ in range(5))
     strip = STRIP
     for text, typed in rows:
         if not text:
             continue
         tokens = text.split()
-        words = [t.strip(strip).lower() for t in tokens]
+        bares = [t.strip(strip).lower() for t in tokens]
         # What stands at the edge of a line may be half a word, or cut.
-        inner = words[1:-1]
-        counts.update(inner)
+        inner = bares[1:-1]
+        words.update(inner)
         if typed:
             clean.update(inner)
         if ends:
-            seconds = [NAME if t[0].isupper() and len(t) > 1 else w for t, w in zip(tokens[1:], words[1:])]
-            counts.update([(PAIR, f"{w} {v}") for w, v in zip(words, seconds[:-1])])
-            for i, token in enumerate(tokens):
-                # Dots in a row mark a break as often as an end.
-                if token[-1] in TERMINATORS and i and len(token) > 1 and token[-2] not in TERMINATORS:
-                    last = masked(token)
-                    counts[(END_ONE, last)] += 1
-                    counts[(END_TWO, masked(tokens[i - 1]) + " " + last)] += 1
-        if len(counts) > HELD:
-            yield from _rows(counts, clean)
-            counts.clear()
-            clean.clear()
-    yield from _rows(counts, clean)
-
-
-def _rows(counts: Counter, clean: Counter) -> Iterator[tuple]:
-    total = 0
-    for key, n in counts.items():
-        if isinstance(key, tuple):
-            yield key[0], key[1], n
-        elif key:
-            total += n
-            if len(key) <= 40 and any(map(str.isalpha, key)):
-                yield WORD, key, n
-                if key in clean:
-                    yield CLEAN, key, clean[key]
-    yield TOTAL, "", total
+            # The last word of a text is out of pairs, too: it may be a piece.
+            seconds = inner if text.islower() else [NAME if t[0].isupper() and len(t) > 1 else w for t, w in zip(tokens[1:-1], inner)]
+            pairs.update(map("%s %s".__mod__, zip(bares, seconds)))
+            if "." in text or "?" in text or "!" in text or "।" in text:
+                for i, token in enumerate(tokens):
+                    # Dots in a row mark a break as often as an end.
+                    if token[-1] in TERMINATORS and i and len(token) > 1 and token[-2] not in TERMINATORS:
+                        last = masked(token)
+                        one[last] += 1
+                        two[masked(tokens[i - 1]) + " " + last] += 1
+        if len(words) + len(pairs) + len(two) > HELD:
+            yield from _rows(words, clean, pairs, one, two)
+            for counter in (words, clean, pairs, one, two):
+                counter.clear()
+    yield from _rows(words, clean, pairs, one, two)
+
+
+def _rows(words: Counter, clean: Counter, pairs: Counter, one: Counter, two: Counter) -> Iterator[tuple]:
+    for kind, counter in ((PAIR, pairs), (END_ONE, one), (END_TWO, two)):
+        for key, n in counter.items():
+            yield kind, key, n
+    del words[""]
+    for key, n in words.items():
+        if len(key) <= 40 and any(map(str.isalpha, key)):
+            yield WORD, key, n
+            if key in clean:
+                yield CLEAN, key, clean[key]
+    yield TOTAL, "", sum(words.values())
 
 
 def corpus_counts(texts: DataFrame, ends: bool = False) -> DataFrame:
