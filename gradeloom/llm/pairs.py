@@ -241,9 +241,17 @@ def is_copied(answer: str, question: str, of_answer: float = 0.75, of_prompt: fl
     """True if an answer only gives its question again, whole or slightly reworded, once or more.
 
     At least of_answer of it comes from the question, and it gives of_prompt of
-    the question: less is an answer that takes up its words.
+    the question: less is an answer that takes up its words. An answer is walked
+    to its end unless words of its own, which no walk can cover, outweigh of_answer before.
     """
-    shares = copied_shares(_words(answer), _words(_MARKS.sub("", question.strip())))
+    words, prompt = _words(answer), _words(_MARKS.sub("", question.strip()))
+    asked, left = set(prompt), (1 - of_answer) * sum(map(len, words))
+    for word in words:
+        if word not in asked and word not in FRAME_WORDS and word not in ALL_FUNCTION_WORDS:
+            left -= len(word)
+            if left < 0:
+                return False
+    shares = copied_shares(words, prompt)
     return shares[0] >= of_answer and shares[1] >= of_prompt
 
 
