@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradeloom.functions.text import trimmed
+
 # Spelled-out numbers.
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
@@ -47,7 +49,7 @@ def label_key_of(raw: str | None) -> str:
 
 def label_parts(raw: Column) -> Column:
     """Column form of label_parts_of."""
-    text = F.regexp_replace(F.lower(F.trim(F.coalesce(raw, F.lit("")))), LEADS, "")
+    text = F.regexp_replace(F.lower(trimmed(F.coalesce(raw, F.lit("")))), LEADS, "")
     # A word is spelled out only as a whole: split where words end, exchange, and join again.
     numbers = F.create_map(*(F.lit(x) for pair in NUMBER_WORDS.items() for x in (pair[0], str(pair[1]))))
     runs = F.filter(F.split(F.regexp_replace(text, r"(?<![a-z0-9_])([a-z]+)(?![a-z0-9_])", " $1 "), "[^a-z0-9]+"), lambda w: w != "")

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+import gradeloom.session  # noqa: F401  (makes the functions below travel by value)
 from gradeloom.functions.labels import LABEL_WORDS, NUMBER_WORDS, label_key_of
 
 SENTENCE = StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
@@ -42,7 +43,7 @@ def split_sentences(text: str | None) -> list[tuple[str, int, int]]:
             if before.isdecimal() and after.isdecimal():
                 continue
             lone = before.isascii() and before.isalpha() and not (i > 1 and re.match(r"\w", s[i - 2]))
-            if lone and re.match(r"\s*[a-z]", s[i + 1 : i + 3], re.IGNORECASE):
+            if lone and re.match(r"\s*[a-z]", s[i + 1 : i + 3]):
                 continue
         end = i + 1
         while end < len(s) and s[end] != "\n" and (s[end] in _AFTER or s[end].isspace()):
@@ -53,66 +54,73 @@ def split_sentences(text: str | None) -> list[tuple[str, int, int]]:
     return [(s[a:b].strip(), a, b) for a, b in pieces if _ALNUM.search(s[a:b])]
 
 
-def normal_form(text: str) -> tuple[str, list[int]]:
-    """The normalised form of a text and the offset each of its characters comes from."""
-    letters: list[str] = []
-    places: list[int] = []
-    for i, c in enumerate(text):
-        if c.isascii() and c.isalnum():
-            letters.append(c.lower())
-            places.append(i)
-        elif letters and letters[-1] != " ":
-            letters.append(" ")
-            places.append(i)
-    if letters and letters[-1] == " ":
-        letters.pop()
-        places.pop()
-    return "".join(letters), places
+def prefix_counts(words: list[str]) -> list[int]:
+    """How many words of a normalised phrase may stand for it, the most first; see functions.text.prefix_candidates."""
+    floor = max(3, -(-len(words) * 2 // 5))
+    return [len(words), *(n for n in range(len(words) - 1, floor - 1, -1) if len(" ".join(words[:n])) >= 10)]
 
 
 def candidates(target: str) -> list[str]:
-    """See functions.text.prefix_candidates."""
+    """Plain form of functions.text.prefix_candidates."""
     words = target.split()
-    floor = max(3, -(-len(words) * 2 // 5))
-    shorter = (" ".join(words[:n]) for n in range(len(words) - 1, floor - 1, -1))
-    return [target, *(p for p in shorter if len(p) >= 10)]
+    return [" ".join(words[:n]) for n in prefix_counts(words)]
+
+
+_ALNUMS, _GAP = re.compile("[A-Za-z0-9]+"), "[^A-Za-z0-9]+"
 
 
-def find_span(text: str | None, quote: str | None, taken: Iterable[tuple[int, int]] = ()) -> tuple[int, int, bool] | None:
-    """(start, end, exact) of a quote in a text that overlaps no taken span, or None.
+def find_span(text: str | None, quote: str | None, taken: Iterable[tuple[int, int]] = (), start: int = 0) -> tuple[int, int, bool] | None:
+    """(start, end, exact) of a quote in a text from `start` on that overlaps no taken span, or None.
 
-    Only the first verbatim place is tried; then the normalised quote and its
-    prefixes, longest first, at every place.
+    Only the first verbatim place is tried. Then the words of the quote are
+    sought with anything but letters and digits between them: where its
+    shortest allowed prefix stands, the words that follow tell how much of it
+    does. Most words win, then the earliest place.
     """
     hay, raw = text or "", quote or ""
     if not raw.strip():
         return None
     spans = list(taken)
     is_free = lambda a, b: not any(a < y and b > x for x, y in spans)
-    first = hay.find(raw)
+    first = hay.find(raw, start)
     if first >= 0 and is_free(first, first + len(raw)):
         return first, first + len(raw), True
-    flat, places = normal_form(hay)
-    target, _ = normal_form(raw)
-    if len(target) < 3:
+    words = _ALNUMS.findall(raw.lower())
+    if len(" ".join(words)) < 3:
         return None
-    for phrase in candidates(target):
-        at = flat.find(phrase)
-        while at >= 0:
-            a, b = places[at], places[at + len(phrase) - 1] + 1
-            if is_free(a, b):
-                return a, b, False
-            at = flat.find(phrase, at + 1)
-    return None
-
-
-_OPENERS = re.compile(rf"(?:(?:{'|'.join(LABEL_WORDS)})(?![A-Za-z])\s*[.\-:)]?\s*)+", re.IGNORECASE)
-_LEVEL = re.compile(r"(\d{1,3}|[ivx]{1,6}|[a-z])(?![a-z])", re.IGNORECASE)
-_DOUBLE = re.compile(r"(\d{1,3})([ivx]{1,6}|[a-z])(?![a-z])", re.IGNORECASE)
-_SPELLED = re.compile(rf"({'|'.join(NUMBER_WORDS)})(?![a-z])", re.IGNORECASE)
-_OPEN, _CLOSE, _SEPARATOR = re.compile(r"\s*[(\[]\s*"), re.compile(r"\s*[)\]]"), re.compile(r"\s*[.:\-]\s*")
-_NEXT_BRACKET, _SPACED_LEVEL = re.compile(r"\s*[(\[]"), re.compile(r"\s+(?=(?:[a-z]|[ivx]{1,6})\s*[).\]])", re.IGNORECASE)
-MOST_LEVELS = 4
+    counts = prefix_counts(words)
+    least = min(counts)
+    flags = re.IGNORECASE | re.ASCII
+    places = re.compile(f"(?=({_GAP.join(words[:least])}))", flags)
+    following = [re.compile(_GAP + w, flags) for w in words[least:]]
+    found: list[tuple[int, int, int]] = []
+    for place in places.finditer(hay, start):
+        a, b = place.span(1)
+        found.append((-least, a, b))
+        for n, word in enumerate(following, least + 1):
+            more = word.match(hay, b)
+            if not more:
+                break
+            b = more.end()
+            found.append((-n, a, b))
+    return next(((a, b, False) for n, a, b in sorted(found) if -n in counts and is_free(a, b)), None)
+
+
+# The grammar of a written label. A level is a number, a Roman numeral or a letter; levels are joined by a bracket, by a
+# separator before a digit or bracket, or by a space before a letter that is closed. A separator with nothing to join, or
+# a closing bracket, ends the label; a bracket or separator that opens no level is read over.
+_LEVEL = r"(?:\d{1,3}|[ivx]{1,6}|[a-z])(?![a-z])"
+_LEADING = rf"(?:(?:{'|'.join(LABEL_WORDS)})(?![A-Za-z])\s*[.\-:)]?\s*)"
+_JOIN = r"(?:\s*[)\]]\s*[(\[]\s*|\s*[.:\-]\s*(?:(?=\d)|[(\[]\s*)|\s*[(\[]\s*|\s+(?=(?:[a-z]|[ivx]{1,6})\s*[).\]]))"
+_LABEL = re.compile(
+    rf"""\s*(?P<lead>{_LEADING}++)?+
+    (?P<body>(?:\s*[(\[]\s*)?
+        (?:(?P<pair>\d{{1,3}}(?:[ivx]{{1,6}}|[a-z])(?![a-z]))|(?(lead)(?P<spelled>(?:{'|'.join(NUMBER_WORDS)})(?![a-z]))|(?!))|{_LEVEL})
+        (?:{_JOIN}{_LEVEL}){{0,3}})
+    (?:(?P<over>\s*[)\]]\s*[(\[]\s*|\s*[.:\-]\s*[(\[]\s*|\s*[(\[]\s*|\s*[.:\-]\s*+(?=\d))|(?P<end>\s*[)\]]\s*|\s*[.:\-]\s*))?""",
+    re.IGNORECASE | re.VERBOSE,
+)
+_PIECES = re.compile(r"\d+|[a-z]+", re.IGNORECASE)
 
 
 def read_label(line: str | None, known: frozenset[str] = frozenset()) -> tuple[str, str, bool, bool] | None:
@@ -123,54 +131,19 @@ def read_label(line: str | None, known: frozenset[str] = frozenset()) -> tuple[s
     letter level behind a number.
     """
     s = line or ""
-    at = len(s) - len(s.lstrip())
-    opener = _OPENERS.match(s, at)
-    lead = opener is not None
-    at = opener.end() if opener else at
-    levels: list[str] = []
-    bracketed = ended = False
-    while len(levels) < MOST_LEVELS:
-        first = not levels
-        bracket = _OPEN.match(s, at)
-        here = bracket.end() if bracket else at
-        level = (_DOUBLE.match(s, here) if first else None) or (_SPELLED.match(s, here) if first and lead else None) or _LEVEL.match(s, here)
-        bracketed |= bracket is not None
-        if not level:
-            at = here
-            break
-        levels += [g for g in level.groups() if g]
-        at = level.end()
-        closed = _CLOSE.match(s, at)
-        if closed:
-            bracketed = ended = True
-            at = closed.end()
-            at += len(s[at:]) - len(s[at:].lstrip())
-            if s[at : at + 1] in ("(", "["):
-                continue
-            break
-        mark = _SEPARATOR.match(s, at)
-        if mark:
-            at = mark.end()
-            ended = not (s[at : at + 1].isdecimal() or s[at : at + 1] in ("(", "["))
-            if ended or not s[at : at + 1]:
-                ended = True
-                break
-            continue
-        if _NEXT_BRACKET.match(s, at):
-            continue
-        spaced = _SPACED_LEVEL.match(s, at)
-        if not spaced:
-            break
-        at = spaced.end()
-    if not levels:
-        return None
-    label, rest = s[:at].strip(), s[at:].strip()
-    marked = lead or bracketed or ended
-    recognised = bool(known) and label_key_of(label) in known
-    numeric = all(level.isdecimal() or level.lower() in NUMBER_WORDS for level in levels)
-    if not (marked or recognised or (len(levels) > 1 and not numeric)) or (not rest and not marked and not recognised):
+    found = _LABEL.match(s)
+    if not found:
         return None
-    return label, rest, bracketed, lead
+    label, rest = s[: found.end()].strip(), s[found.end() :].strip()
+    lead = found["lead"] is not None
+    bracketed = any(c in "()[]" for part in ("body", "over", "end") for c in found[part] or "")
+    pieces = _PIECES.findall(found["body"])
+    mixed = len(pieces) > 1 and not all(p.isdecimal() or p.lower() in NUMBER_WORDS for p in pieces)
+    if lead or bracketed or found["end"]:
+        return label, rest, bracketed, lead
+    if label_key_of(label) in known or (mixed and rest):
+        return label, rest, bracketed, lead
+    return None
 
 
 @F.udf(returnType=ArrayType(SENTENCE), useArrow=True)

@@ -16,8 +16,8 @@ STOPWORDS = (
     " he she his her you your we our i"
 ).split()
 
-#: White space of any kind at the ends of a text, as a pattern for Java and RE2.
-SPACE = r"[\s  -   　﻿]"
+#: White space of any kind, as a pattern for Java.
+SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def trimmed(text: Column) -> Column:
@@ -64,9 +64,11 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 
 def djb2(text: Column) -> Column:
-    """The djb2 hash of a text, modulo 2^32, as a bigint."""
+    """The djb2 hash of a text, modulo 2^32, as a bigint; a character beyond U+FFFF counts as its two surrogates."""
     letters = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    return F.aggregate(letters, F.lit(5381).cast("bigint"), lambda h, c: F.pmod(h * 33 + F.ascii(c), F.lit(4294967296)))
+    step = lambda h, unit: F.pmod(h * 33 + unit, F.lit(4294967296))
+    wide = lambda h, code: step(step(h, 0xD800 + F.floor((code - 0x10000) / 0x400)), 0xDC00 + F.pmod(code - 0x10000, F.lit(0x400)))
+    return F.aggregate(letters, F.lit(5381).cast("bigint"), lambda h, c: F.when(F.ascii(c) > 0xFFFF, wide(h, F.ascii(c))).otherwise(step(h, F.ascii(c))))
 
 
 def hash_string(text: Column) -> Column:

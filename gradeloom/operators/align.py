@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.labels import label_key, label_parts_of, same_part_of
 from gradeloom.functions.text import STOPWORDS
-from gradeloom.session import prepare
+from gradeloom.operators.retrieval import bm25_within, chunk_documents
+from gradeloom.session import checkpointed, prepare
 
 # What each route is worth, of a hundred.
 LABEL, LOOSE, PARTIAL, CONTENT = 95, 88, 76, 62
-ALIGNED = "paper_id bigint, block_ord int, question_id string, confidence int, method string"
+ALIGNED = "paper_id bigint, block_ord bigint, question_id string, confidence int, method string"
 _STOP = frozenset(STOPWORDS)
 
 
@@ -102,14 +103,13 @@ def align_questions(blocks: DataFrame, questions: DataFrame, least_content: floa
     places have no row. Null labels and texts place nothing.
     """
     prepare(blocks.sparkSession)
-    by_label = align_by_label(blocks, questions)
-    # Fresh names on one side: the claims come from the same rows as the blocks.
-    claimed = by_label.select(F.col("paper_id").alias("c_paper"), F.col("block_ord").alias("c_block"), F.col("question_id").alias("c_question"))
+    # Read three times: as a result, and to leave out the blocks and the questions that it settles.
+    by_label = checkpointed(align_by_label(blocks, questions))
     own = blocks.select("paper_id", "exam_id", "block_ord", "label", "text")
-    left_blocks = own.join(claimed, (F.col("paper_id") == F.col("c_paper")) & (F.col("block_ord") == F.col("c_block")), "left_anti")
-    papers = left_blocks.select(F.col("paper_id").alias("q_paper"), F.col("exam_id").alias("q_exam")).distinct()
+    left_blocks = checkpointed(own.join(by_label.select("paper_id", "block_ord"), ["paper_id", "block_ord"], "left_anti"))
+    papers = left_blocks.select("paper_id", "exam_id").distinct()
     asked = questions.select("exam_id", "question_id", "ord", "number", F.col("text").alias("q_text"))
-    left_questions = papers.join(asked, F.col("q_exam") == F.col("exam_id")).join(claimed, (F.col("q_paper") == F.col("c_paper")) & (F.col("question_id") == F.col("c_question")), "left_anti").select("q_paper", "question_id", "ord", "number", "q_text")
+    left_questions = papers.join(asked, "exam_id").join(by_label.select("paper_id", "question_id"), ["paper_id", "question_id"], "left_anti").select(F.col("paper_id").alias("q_paper"), "question_id", "ord", "number", "q_text")
 
     def place(block_rows: pd.DataFrame, question_rows: pd.DataFrame) -> pd.DataFrame:
         own = [(int(o), x, t) for o, x, t in block_rows.sort_values("block_ord")[["block_ord", "label", "text"]].itertuples(index=False)]
@@ -119,7 +119,11 @@ def align_questions(blocks: DataFrame, questions: DataFrame, least_content: floa
         return pd.DataFrame([(paper, *c) for c in claims], columns=["paper_id", "block_ord", "question_id", "confidence", "method"])
 
     rest = left_blocks.select("paper_id", "block_ord", "label", "text").groupBy("paper_id").cogroup(left_questions.groupBy("q_paper")).applyInPandas(place, ALIGNED)
-    return by_label.select(F.col("paper_id").cast("bigint"), F.col("block_ord").cast("int"), "question_id", "confidence", "method").unionByName(rest)
+    return by_label.select(F.col("paper_id").cast("bigint"), F.col("block_ord").cast("bigint").alias("block_ord"), "question_id", "confidence", "method").unionByName(rest)
+
+
+# Characters of a model answer that serve as evidence.
+PAIRED_CHARS = 2000
 
 
 def pair_reference(sections: DataFrame, questions: DataFrame) -> DataFrame:
@@ -132,18 +136,41 @@ def pair_reference(sections: DataFrame, questions: DataFrame) -> DataFrame:
     return align_questions(blocks, questions, least_content=2.0).withColumnRenamed("block_ord", "section_ord")
 
 
-def answer_key_sections(keys: DataFrame, sections: DataFrame, questions: DataFrame, whole: int = 1500, cut: int = 1800) -> DataFrame:
+def paired_evidence(pairs: DataFrame, sections: DataFrame, questions: DataFrame) -> DataFrame:
+    """paper_id, question_id, chunk_id, text, score: each paired model answer as evidence, with an id of its own and full score.
+
+    pairs: see pair_reference. sections: doc_id, exam_id, head_index, text.
+    questions: exam_id, question_id, number. Blank model answers are none.
+    """
+    own = sections.where(F.trim("text") != "").select(F.col("doc_id").alias("paper_id"), "exam_id", F.col("head_index").alias("section_ord"), "text")
+    named = questions.select("exam_id", "question_id", label_key(F.col("number")).alias("key"))
+    joined = pairs.join(own, ["paper_id", "section_ord"]).join(named, ["exam_id", "question_id"])
+    name = F.when(F.col("key") != "", F.col("key")).otherwise(F.col("question_id"))
+    return joined.select("paper_id", "question_id", F.concat(F.lit("refq-"), name).alias("chunk_id"), F.substring("text", 1, PAIRED_CHARS).alias("text"), F.lit(1.0).alias("score"))
+
+
+def answer_key_sections(keys: DataFrame, sections: DataFrame, questions: DataFrame, whole: int = 1500, cut: int = 1800, asked: int = 800) -> DataFrame:
     """exam_id, question_id, scope, text: the part of an exam's answer key for each question.
 
-    keys: exam_id, text. sections: exam_id, head_index, label, text. A short key
-    is given whole; else the first section with the question's key, else the
-    head of the key, up to `cut` characters. Exams without a key have scope none.
+    keys: exam_id, text. sections: exam_id, head_index, label, text. questions:
+    exam_id, question_id, number, text. A short key is given whole; else the
+    first section with the question's key; else the two passages of the key
+    that fit number and text of the question best (retrieved); else the head of
+    the key; each up to `cut` characters. Exams without a key have scope none.
     """
     first = Window.partitionBy("exam_id", "key").orderBy("head_index")
     keyed = sections.select("exam_id", "head_index", label_key(F.col("label")).alias("key"), F.col("text").alias("section")).where("key <> ''")
     own = keyed.withColumn("k", F.row_number().over(first)).where("k = 1").select("exam_id", "key", "section")
-    wanted = questions.select("exam_id", "question_id", label_key(F.col("number")).alias("key"))
+    wanted = questions.select("exam_id", "question_id", label_key(F.col("number")).alias("key"), F.substring(F.concat_ws(" ", F.coalesce("number", F.lit("")), F.coalesce("text", F.lit(""))), 1, asked).alias("query"))
     joined = wanted.join(keys.select("exam_id", F.trim("text").alias("body")), "exam_id", "left").join(own, ["exam_id", "key"], "left")
     body = F.coalesce("body", F.lit(""))
-    scope = F.when(body == "", "none").when(F.char_length(body) <= whole, "whole").when(F.coalesce("section", F.lit("")) != "", "section").otherwise("whole")
-    return joined.select("exam_id", "question_id", scope.alias("scope"), F.when(scope == "section", F.substring("section", 1, cut)).otherwise(F.substring(body, 1, cut)).alias("text"))
+    scoped = checkpointed(joined.withColumn("scope", F.when(body == "", "none").when(F.char_length(body) <= whole, "whole").when(F.coalesce("section", F.lit("")) != "", "section").otherwise("open")))
+    left = scoped.where("scope = 'open'")
+    long_keys = keys.join(left.select("exam_id").distinct(), "exam_id", "left_semi").select(F.col("exam_id").alias("doc_id"), F.lit("answer key").alias("source"), "text")
+    passages = checkpointed(chunk_documents(long_keys).select(F.col("doc_id").alias("exam_id"), F.col("ord").alias("chunk_id"), "text"))
+    best = bm25_within(left.select("exam_id", F.col("question_id").alias("query_id"), "query"), passages, "exam_id", 2)
+    texts = best.join(passages, ["exam_id", "chunk_id"]).groupBy("exam_id", F.col("query_id").alias("question_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "text"))), lambda x: x["text"]), "\n\n").alias("retrieved"))
+    all_scopes = scoped.join(texts, ["exam_id", "question_id"], "left")
+    scope = F.when(F.col("scope") != "open", F.col("scope")).when(F.trim("retrieved") != "", "retrieved").otherwise("whole")
+    text = F.when(F.col("scope") == "section", F.col("section")).when(scope == "retrieved", F.col("retrieved")).otherwise(body)
+    return all_scopes.select("exam_id", "question_id", scope.alias("scope"), F.substring(text, 1, cut).alias("text"))

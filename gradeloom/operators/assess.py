@@ -104,14 +104,23 @@ def coverage_summary(statuses: DataFrame) -> DataFrame:
     )
 
 
+def coverage_buckets(statuses: DataFrame) -> DataFrame:
+    """paper_id, and how many of its questions have each status: detected, uncertain, not_detected, unanswered, evaluation_failed."""
+    names = ("detected", "uncertain", "not_detected", "unanswered", "evaluation_failed")
+    return statuses.groupBy("paper_id").agg(*(F.count_if(F.col("status") == name).alias(name) for name in names))
+
+
 def attention_list(statuses: DataFrame) -> DataFrame:
     """The counted questions whose status asks for a look: neither detected nor unanswered."""
     return statuses.where(F.col("counted") & ~F.col("status").isin("detected", "unanswered"))
 
 
-def review_issues(statuses: DataFrame, low: int = 60) -> DataFrame:
-    """paper_id, n_issues: questions that were skipped, failed or read with low confidence."""
-    return statuses.groupBy("paper_id").agg(F.count_if(F.col("skipped") | F.col("failed") | F.coalesce(F.col("confidence") < low, F.lit(False))).alias("n_issues"))
+def review_issues(statuses: DataFrame, low: int = 60, warnings: DataFrame | None = None) -> DataFrame:
+    """paper_id, n_issues: questions that were skipped, failed or read with low confidence, and the warnings of a paper (paper_id, one row each)."""
+    issues = statuses.select("paper_id", (F.col("skipped") | F.col("failed") | F.coalesce(F.col("confidence") < low, F.lit(False))).alias("issue"))
+    if warnings is not None:
+        issues = issues.unionByName(warnings.select("paper_id", F.lit(True).alias("issue")))
+    return issues.groupBy("paper_id").agg(F.count_if("issue").alias("n_issues"))
 
 
 def collect_points(points: DataFrame, most: int = 8) -> DataFrame:

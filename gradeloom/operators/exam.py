@@ -10,7 +10,7 @@ from gradeloom.functions.text import normalize_text
 
 
 def validated_questions(raw: DataFrame, printed: DataFrame) -> DataFrame:
-    """exam_id, ord, number, text, max_marks, type, mark_conflict: questions with the marks printed on the paper winning.
+    """exam_id, ord, number, text, max_marks, type, mark_conflict, read, printed: questions with the marks printed on the paper winning.
 
     raw: exam_id, ord, number, text, max_marks. printed: exam_id, number, marks.
     Rows with neither text nor number are dropped; a null number is the
@@ -23,7 +23,7 @@ def validated_questions(raw: DataFrame, printed: DataFrame) -> DataFrame:
     marks = F.coalesce("printed", "read")
     return joined.select(
         "exam_id", "ord", "number", F.trim(F.coalesce("text", F.lit(""))).alias("text"), marks.alias("max_marks"), classify_question(F.col("text"), marks).alias("type"),
-        (F.col("read").isNotNull() & F.col("printed").isNotNull() & (F.col("read") != F.col("printed"))).alias("mark_conflict"),
+        (F.col("read").isNotNull() & F.col("printed").isNotNull() & (F.col("read") != F.col("printed"))).alias("mark_conflict"), "read", "printed",
     )
 
 

@@ -28,17 +28,13 @@ def structure_pages(pages: DataFrame) -> DataFrame:
         "base": F.coalesce(F.sum(F.char_length("raw") + PAGE_GAP).over(before), F.lit(0)),
         "first": F.coalesce(F.sum(F.size(F.filter(F.split("raw", "\n"), filled))).over(before), F.lit(0)),
     })
-    # Within a page, pieces carry their offset along; a page is one row until here.
-    pieces = F.aggregate(
-        F.split("raw", "\n"),
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<at:int,n:int,piece:string>>").alias("out")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.char_length(piece) + 1).alias("at"),
-            (acc["n"] + F.when(filled(piece), 1).otherwise(0)).alias("n"),
-            F.when(filled(piece), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), acc["n"].alias("n"), piece.alias("piece"))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    lines = counted.select("doc_id", "page", "base", "first", F.inline(pieces["out"]))
+    # A page's pieces stay in the partition of its document, so that their running sums need no further shuffle.
+    pieces = counted.select("doc_id", "page", "base", "first", F.posexplode(F.split("raw", "\n")).alias("pos", "piece"))
+    earlier = Window.partitionBy("doc_id", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    lines = pieces.withColumns({
+        "at": F.coalesce(F.sum(F.char_length("piece") + 1).over(earlier), F.lit(0)),
+        "n": F.coalesce(F.sum(filled(F.col("piece")).cast("int")).over(earlier), F.lit(0)),
+    }).where(filled(F.col("piece")))
     text, lead = trimmed(F.col("piece")), F.char_length("piece") - F.char_length(F.regexp_replace("piece", r"^\s+", ""))
     start = F.col("base") + F.col("at") + lead
     index = (F.col("first") + F.col("n")).cast("int")

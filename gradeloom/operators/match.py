@@ -20,14 +20,14 @@ def apply_proposals(proposals: DataFrame, questions: DataFrame, lines: DataFrame
     """paper_id, question_id, line_ids, confidence, method: proposed lines that exist and that nobody claimed before.
 
     proposals: paper_id, exam_id, prop_ord, question_number, line_ids.
-    questions: exam_id, question_id, number. lines: paper_id, line_id,
+    questions: exam_id, question_id, ord, number; of equal keys the last has the key. lines: paper_id, line_id,
     line_index. claimed: paper_id, line_id. assigned: paper_id, question_id.
     Within a paper the first proposal takes a question, and then its lines; a
     proposal whose lines are all gone takes nothing, and leaves its question to
     the next. Hence a pass per paper, in order.
     """
     prepare(proposals.sparkSession)
-    keyed = questions.select("exam_id", "question_id", label_key(F.col("number")).alias("key")).where("key <> ''").groupBy("exam_id", "key").agg(F.max("question_id").alias("question_id"))
+    keyed = questions.select("exam_id", "question_id", "ord", label_key(F.col("number")).alias("key")).where("key <> ''").groupBy("exam_id", "key").agg(F.max_by("question_id", "ord").alias("question_id"))
     named = proposals.select("paper_id", "exam_id", "prop_ord", label_key(F.col("question_number")).alias("key"), F.posexplode("line_ids").alias("pos", "line_id"))
     free = lines.select("paper_id", "line_id", "line_index").join(claimed.select("paper_id", "line_id").distinct(), ["paper_id", "line_id"], "left_anti")
     usable = named.join(keyed, ["exam_id", "key"]).join(assigned.select("paper_id", "question_id").distinct(), ["paper_id", "question_id"], "left_anti").join(free, ["paper_id", "line_id"])

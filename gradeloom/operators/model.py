@@ -19,30 +19,51 @@ from gradeloom.session import prepare
 LISTING_COST = 12
 
 
-def ask(prompts: DataFrame, model: Callable[[str], str], in_flight: int | None = None) -> DataFrame:
-    """prompts with raw: the reply to each prompt; null prompts, and prompts on which the model fails, have a null reply.
+#: Times that a failing request is tried, and seconds before the second try; each further wait is twice as long.
+ATTEMPTS, FIRST_WAIT = 3, 0.5
 
-    in_flight bounds the requests at a time, by partitions; one failure costs
-    its own row only.
+
+class Busy(Exception):
+    """What a model raises when it may be asked again later, after so many seconds if it says so."""
+
+    def __init__(self, seconds: float | None = None) -> None:
+        super().__init__(f"busy, again in {seconds} s" if seconds else "busy")
+        self.seconds = seconds
+
+
+def ask(prompts: DataFrame, model: Callable[[str], str], in_flight: int | None = None, attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT) -> DataFrame:
+    """prompts with raw (the reply) and failure (why there is none): a null prompt has neither.
+
+    in_flight bounds the requests at a time, by partitions. A model that raises
+    Busy is asked again, up to `attempts` times; any other failure costs its own
+    row only, and can be told from an empty reply.
     """
     prepare(prompts.sparkSession)
 
-    @F.udf(returnType="string", useArrow=True)
+    @F.udf(returnType="struct<raw:string,failure:string>", useArrow=True)
     def reply(prompt):
-        if prompt is None:
-            return None
-        try:
-            return model(prompt)
-        except Exception:  # noqa: BLE001
-            return None
+        import time
+
+        wait = first_wait
+        for turn in range(attempts):
+            try:
+                return None if prompt is None else (model(prompt), None)
+            except Exception as e:  # noqa: BLE001
+                failure = f"{type(e).__name__}: {e}"
+                if not hasattr(e, "seconds") or turn + 1 == attempts:
+                    break
+                time.sleep(e.seconds or wait)
+                wait *= 2
+        return None, failure
 
     spread = prompts.repartition(in_flight) if in_flight else prompts
-    return spread.withColumn("raw", reply("prompt"))
+    return spread.withColumn("reply", reply("prompt")).withColumns({"raw": F.col("reply.raw"), "failure": F.col("reply.failure")}).drop("reply")
 
 
 def ask_for(prompts: DataFrame, model: Callable[[str], str], schema: dict, in_flight: int | None = None) -> DataFrame:
-    """prompts with value (coerced JSON) and error."""
-    return recover_replies(ask(prompts, model, in_flight), schema).drop("raw")
+    """prompts with value (coerced JSON) and error: that of the model, else that of its reply."""
+    read = recover_replies(ask(prompts, model, in_flight), schema).drop("raw")
+    return read.withColumn("error", F.coalesce("failure", "error")).drop("failure")
 
 
 def grouped_by_model(groups: DataFrame, lines: DataFrame) -> DataFrame:

@@ -134,7 +134,8 @@ def _number(value: Any, schema: dict, fallback, strict: bool) -> Any:
         return fallback()
     number = float(floor(number + 0.5)) if schema.get("integer") else number
     number = max(number, schema["min"]) if "min" in schema else number
-    return min(number, schema["max"]) if "max" in schema else number
+    number = min(number, schema["max"]) if "max" in schema else number
+    return int(number) if number == floor(number) else number
 
 
 def recover_replies(replies: DataFrame, schema: dict, strict: bool = True) -> DataFrame:

@@ -37,6 +37,18 @@ def newest(rows: DataFrame, key: str, time: str, tie: str, most: int = 5) -> Dat
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def append_history(rows: DataFrame, path: str, ai_score: str = "ai_score", score: str = "score") -> None:
+    """Append papers with the score proposed and the one that counts to a history of parquet files: student_id, paper_id, taken_at and both."""
+    rows.select("student_id", "paper_id", "taken_at", F.col(ai_score).cast("double").alias("ai_score"), F.col(score).cast("double").alias("score")).write.mode("append").parquet(path)
+
+
+def recent_history(history: DataFrame, most: int = 5) -> DataFrame:
+    """The newest papers of each student with their rank; of a paper recorded twice the last row in time counts, then the higher score."""
+    latest = Window.partitionBy("student_id", "paper_id").orderBy(F.col("taken_at").desc(), F.col("score").desc_nulls_last())
+    once = history.withColumn("k", F.row_number().over(latest)).where("k = 1").drop("k")
+    return newest(once, "student_id", "taken_at", "paper_id", most)
+
+
 def capped(rows: DataFrame, key: str, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): the first `most` rows of each key, and a relation of the rest; nothing is cut silently."""
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

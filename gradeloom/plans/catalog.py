@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import labels, marks, scans, text
-from gradeloom.operators import align, assess, budget, choice, exam, images, lines, match, model, placement, replies, retrieval, review, segment
+from gradeloom.operators import align, assess, budget, choice, exam, images, lines, match, model, placement, replies, report, retrieval, review, segment, stages
 from gradeloom.plans import oracle
 from gradeloom.sources import files
 from gradeloom.sources.tables import table
@@ -106,14 +106,14 @@ def status_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    found = retrieval.top_evidence(retrieval.bm25_scores(asked(spark, folder), passages(spark, folder)), 3)
+    found = retrieval.bm25_top(asked(spark, folder), passages(spark, folder), 3)
     return found.select("query_id", "rk", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query
 def retrieval_coverage(spark: SparkSession, folder: str) -> DataFrame:
     q, p = asked(spark, folder), passages(spark, folder)
-    return retrieval.evidence_coverage(q, retrieval.top_evidence(retrieval.bm25_scores(q, p), 3), p).withColumn("coverage", F.round("coverage", 9))
+    return retrieval.evidence_coverage(q, retrieval.bm25_top(q, p, 3), p).withColumn("coverage", F.round("coverage", 9))
 
 
 @query
@@ -329,7 +329,7 @@ def exam_duplicate_numbers(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def exam_validated(spark: SparkSession, folder: str) -> DataFrame:
     printed = questions(spark, folder).where("ord % 3 = 0").groupBy("exam_id", "number").agg(F.max("ord").cast("double").alias("marks"))
-    return exam.validated_questions(questions(spark, folder), printed)
+    return exam.validated_questions(questions(spark, folder), printed).drop("read", "printed")
 
 
 @query
@@ -546,8 +546,9 @@ def anchor_annotations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def text_segments(spark: SparkSession, folder: str) -> DataFrame:
-    answers, notes = _quotes(spark, folder)
-    return placement.text_segments(answers, placement.anchor_annotations(answers, notes))
+    answers = blocks(spark, folder).where("answer_text is not null").select(F.col("block_id").alias("answer_id"), F.col("answer_text").alias("text"))
+    spans = span_exact(spark, folder).select(F.col("block_id").alias("answer_id"), F.lit(0).alias("ann_ord"), "start", "end")
+    return placement.text_segments(answers, spans)
 
 
 @query
@@ -567,7 +568,7 @@ def range_geometry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _label_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return blocks(spark, folder).select("paper_id", "exam_id", F.col("block_id").cast("int").alias("block_ord"), F.col("question_number").alias("label"), F.col("answer_text").alias("text"))
+    return blocks(spark, folder).select("paper_id", "exam_id", F.col("block_id").alias("block_ord"), F.col("question_number").alias("label"), F.col("answer_text").alias("text"))
 
 
 @query
@@ -581,8 +582,9 @@ def align_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _keys(spark: SparkSession, folder: str) -> DataFrame:
-    """An answer key for each exam: its questions, numbered, as the text of a model answer."""
-    q = questions(spark, folder).withColumn("line", F.concat("number", F.lit(") "), "text", F.lit("\nIt is known that "), F.lower("text")))
+    """An answer key for each exam: its questions, numbered or, in every third, as running text, as model answers."""
+    head = F.when(F.col("exam_id") % 3 == 0, "").otherwise(F.concat("number", F.lit(") "), "text", F.lit("\n")))
+    q = questions(spark, folder).withColumn("line", F.concat(head, F.lit("It is known that "), F.lower("text")))
     return q.groupBy("exam_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
@@ -635,8 +637,8 @@ def apply_proposals(spark: SparkSession, folder: str) -> DataFrame:
     b = blocks(spark, folder)
     claimed = _wanted(spark, folder).where("answer_id % 2 = 0").select("paper_id", "line_id")
     proposals = b.where("question_number is not null").select("paper_id", "exam_id", F.col("block_id").alias("prop_ord"), "question_number", F.col("answer_line_ids").alias("line_ids"))
-    none = claimed.where("false").select("paper_id", F.lit("").alias("question_id"))
-    found = match.apply_proposals(proposals, questions(spark, folder), page_lines(spark, folder), claimed, none)
+    taken = b.where("block_id % 5 = 0").select("paper_id", F.concat(F.lit("q"), F.col("block_id") % 7 + 1).alias("question_id"))
+    found = match.apply_proposals(proposals, questions(spark, folder), page_lines(spark, folder), claimed, taken)
     return found.withColumn("line_ids", F.array_join("line_ids", ","))
 
 
@@ -733,12 +735,16 @@ def key_list(spark: SparkSession, folder: str) -> DataFrame:
     return budget.key_list(e)
 
 
-@query
-def pick_key(spark: SparkSession, folder: str) -> DataFrame:
+def _pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations as keys of a pool."""
     n = table(spark, folder, "nation")
     k = F.col("n_nationkey")
-    keys = n.select(k.alias("key_id"), F.lit(8000).alias("token_limit"), (k * 331).alias("remaining"), F.when(k % 2 == 0, F.lit(1000) * k).alias("reset_at"), (k * 7).alias("reserved"), (k % 4).alias("in_flight"), (k % 9 == 0).alias("dead"))
-    return budget.pick_key(request_cost(spark, folder).select(F.col("block_id").alias("request_id"), "cost"), budget.available(keys, F.lit(9000)))
+    return n.select(k.alias("key_id"), F.lit(8000).alias("token_limit"), (k * 331).alias("remaining"), F.when(k % 2 == 0, F.lit(1000) * k).alias("reset_at"), (k * 7).alias("reserved"), (k % 4).alias("in_flight"), (k % 9 == 0).alias("dead"))
+
+
+@query
+def pick_key(spark: SparkSession, folder: str) -> DataFrame:
+    return budget.pick_key(request_cost(spark, folder).select(F.col("block_id").alias("request_id"), "cost"), budget.available(_pool(spark, folder), F.lit(9000)))
 
 
 @query
@@ -816,6 +822,170 @@ def model_replies(spark: SparkSession, folder: str) -> DataFrame:
     return model.ask_for(asked_of, echo_model, schema).drop("prompt")
 
 
+# ---- reports and whole stages -----------------------------------------------
+
+
+def _totals(spark: SparkSession, folder: str) -> DataFrame:
+    return assess.paper_totals(counted_rows(spark, folder))
+
+
+def _labelled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Marked questions with a status of their own and how well they were covered."""
+    rows = counted_rows(spark, folder)
+    status = F.when(F.col("failed"), "evaluation_failed").when(F.col("skipped") & (F.col("ord") % 2 == 0), "not_detected").when(F.col("skipped"), "unanswered").when(F.col("confidence") < 60, "uncertain").otherwise("detected")
+    return rows.withColumns({"status": status, "quality": marks.point_quality(F.col("marks_awarded"), F.col("max_marks"))})
+
+
+@query
+def paper_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = counted_rows(spark, folder).withColumn("overridden", F.col("ord") % 4 == 0)
+    both = assess.paper_totals(rows).join(assess.pending_marks(rows), "paper_id")
+    awarded, total = F.col("total_marks"), F.col("maximum_marks")
+    return both.select("paper_id", report.verdict(awarded, total, F.col("pending")).alias("verdict"), report.score_band(awarded, total).alias("band"))
+
+
+@query
+def question_labels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _labelled_rows(spark, folder)
+    return rows.select("paper_id", "question_id", report.report_label(F.col("counted"), F.col("status"), F.col("quality")).alias("report_label"), report.examiner_label(F.col("status"), F.col("marks_awarded"), F.col("max_marks")).alias("examiner_label"))
+
+
+@query
+def annotation_badges(spark: SparkSession, folder: str) -> DataFrame:
+    a = _annotations(spark, folder)
+    return a.select("question_key", "ann_ord", report.badge(F.col("type"), F.col("marks")).alias("badge"), report.has_marks(F.col("marks")).alias("has_marks"), report.is_low(F.col("confidence")).alias("low"))
+
+
+@query
+def unpinned_notes(spark: SparkSession, folder: str) -> DataFrame:
+    notes = blocks(spark, folder).select("paper_id", F.col("block_id").alias("span_id"), F.col("answer_text").alias("quote"))
+    tiers = placement.page_tiers(placement.align_bands(_docs(spark, folder), _bands(spark, folder))).withColumnRenamed("doc_id", "paper_id")
+    shown = placement.trusted(span_boxes(spark, folder).join(tiers, ["paper_id", "page"]))
+    return report.unpinned_notes(notes, shown, ["paper_id", "span_id"]).select("paper_id", "span_id", "shown")
+
+
+@query
+def transcript_edits(spark: SparkSession, folder: str) -> DataFrame:
+    edited = F.when(F.col("block_id") % 3 == 0, text.trimmed(F.col("answer_text"))).when(F.col("block_id") % 3 == 1, F.concat("answer_text", F.lit("!"))).otherwise(F.col("answer_text"))
+    return blocks(spark, folder).select("block_id", report.is_dirty(edited, F.col("answer_text")).alias("dirty"), text.word_count(edited).alias("n_words"))
+
+
+@query
+def effective_grades(spark: SparkSession, folder: str) -> DataFrame:
+    return report.effective_grades(_totals(spark, folder).select("paper_id", "grade"), override_effective_score(spark, folder))
+
+
+@query
+def closing_remarks(spark: SparkSession, folder: str) -> DataFrame:
+    totals = _totals(spark, folder)
+    replies_ = totals.where("paper_id % 4 = 0").select("paper_id", F.when(F.col("paper_id") % 8 == 0, F.concat(F.lit("Well done, paper "), "paper_id")).otherwise(F.lit("  ")).alias("remark"))
+    return report.closing_remarks(totals, replies_)
+
+
+@query
+def printed_reports(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _labelled_rows(spark, folder).withColumn("label", report.report_label(F.col("counted"), F.col("status"), F.col("quality")))
+    return report.printed_report(_totals(spark, folder), rows)
+
+
+@query
+def paper_json(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _labelled_rows(spark, folder).withColumn("label", F.col("status"))
+    return report.report_json(_totals(spark, folder), rows)
+
+
+@query
+def exam_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    q = questions(spark, folder)
+    printed = q.where("ord % 3 = 0").groupBy("exam_id", "number").agg(F.max("ord").cast("double").alias("marks"))
+    own = _papers_with_rules(spark, folder)
+    offered = choice.describe_choice(choice.detect_choice(choice.attempt_rules(own), segment.question_blocks(own))).select(F.col("doc_id").alias("exam_id"), "description")
+    return stages.exam_warnings(q, exam.validated_questions(q, printed), offered)
+
+
+@query
+def coverage_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return assess.coverage_buckets(status_rows(spark, folder))
+
+
+@query
+def review_issues_with_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    warnings = status_rows(spark, folder).where("failed").select("paper_id")
+    return assess.review_issues(status_rows(spark, folder), warnings=warnings)
+
+
+@query
+def paired_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    sections = _sections(spark, folder)
+    return align.paired_evidence(align.pair_reference(sections, questions(spark, folder)), sections, questions(spark, folder))
+
+
+@query
+def paired_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    found = retrieval_coverage(spark, folder)
+    return retrieval.paired_coverage(found, found.where("query_id % 3 = 0").select("query_id"))
+
+
+@query
+def pool_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return budget.pool_stats(budget.available(_pool(spark, folder), F.lit(9000)))
+
+
+@query
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    asked_of = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.VectorRetriever(e.select(F.col("vec_id").alias("chunk_id"), "embedding")).search(asked_of, 5)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def reference_passages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "reference_chunks").select(F.col("ref_id").alias("doc_id"), "source", "page", "text")
+    return retrieval.chunk_documents(pages, kept=["page"])
+
+
+@query
+def uploads_decided(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "papers").groupBy("paper_id").agg(F.min("student_id").alias("student_id"), F.min("source").alias("source"), F.min("uploaded_at").alias("uploaded_at"), F.min("page_count").alias("page_count"))
+    kind = F.element_at(F.array(*map(F.lit, (".docx", ".pdf", ".doc", ".JPG", ".txt"))), (F.col("paper_id") % 5 + 1).cast("int"))
+    named = p.select(F.pmod(F.coalesce("student_id", F.lit(0)), F.lit(40)).alias("owner"), F.concat("source", F.lit("_"), F.col("paper_id").cast("string"), kind).alias("path"), F.col("uploaded_at").alias("modificationTime"), F.col("page_count").alias("n_pages"))
+    return files.decided_uploads(named, "owner")
+
+
+@query
+def segmented_papers(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder)
+    totals = docs.select("doc_id").distinct().withColumn("total", (F.col("doc_id") % 40 + 20).cast("bigint"))
+    return stages.segment_papers(docs, totals).drop("question_text")
+
+
+@query
+def matched_answers(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "papers").select("paper_id", "exam_id").distinct()
+    b = blocks(spark, folder)
+    proposals = b.where("question_number is not null").select("paper_id", "exam_id", F.col("block_id").alias("prop_ord"), "question_number", F.col("answer_line_ids").alias("line_ids"))
+    found = stages.match_answers(page_lines(spark, folder), questions(spark, folder), papers, proposals)
+    return found.withColumn("line_ids", F.array_join("line_ids", ","))
+
+
+@query
+def assessed_papers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mark_rows(spark, folder)
+    grounds = rows.select("paper_id", "question_id", F.when(F.col("paper_id") % 3 == 0, "GENERAL").otherwise("REFERENCE").alias("grounding"))
+    found = stages.assess_papers(rows, choice_groups(rows), grounds)
+    n = found["warnings"].groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_warnings"))
+    return found["totals"].join(n, "paper_id", "left").select("paper_id", "total_marks", "maximum_marks", "grade", "passed", "overall_confidence", F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))
+
+
+@query
+def paper_evaluations(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole way: marks, choices, answers and statuses to the rows of a report."""
+    rows = mark_rows(spark, folder)
+    answers = rows.where("ord % 3 <> 0").select("paper_id", "question_id", F.concat(F.lit("It is "), "number").alias("answer_text"), (F.col("paper_id") % 2 == 0).alias("has_unassigned_writing"))
+    return stages.evaluations(stages.assess_papers(rows, choice_groups(rows))["questions"], answers)
+
+
 # ---- extensions: classic operators beyond the assessment ones ---------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.functions.labels import NUMBER_WORDS
+from gradeloom.functions.labels import NUMBER_WORDS, ROMAN
 from gradeloom.functions.marks import CRITERIA, GRADES, INSTRUCTION_VERBS, TYPE_PATTERNS
 from gradeloom.functions.text import STOPWORDS
 from gradeloom.operators.assess import PASS_PERCENTAGE
@@ -27,8 +27,11 @@ def stems(c: str) -> str:
     return f"list_transform(list_filter(string_split({norm(c)}, ' '), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})), lambda w: {_CASE_STEM})"
 
 
+_SPACE = r"[\s\v\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 def trimmed(c: str) -> str:
-    return rf"regexp_replace({c}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
+    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
 _ASKED = "asked AS (SELECT q_text AS query, min(exam_id * 1000 + CAST(substr(question_id, 2, 9) AS INT)) AS query_id FROM exam_questions WHERE q_text IS NOT NULL GROUP BY q_text)"
@@ -112,7 +115,7 @@ status AS (SELECT paper_id, block_id, failed, skipped, confidence, block_id % 5
   FROM (SELECT *, skipped OR {trimmed("coalesce(answer_text, '')")} = '' AS blank FROM b))"""
 _NOTES = """notes AS (SELECT paper_id AS question_key, ord AS ann_ord, (['correct', 'partial', 'wrong', 'missing'])[ord % 4 + 1] AS type, CASE WHEN skipped THEN marks_awarded END AS marks, 30.0::DOUBLE AS awarded,
   CASE WHEN NOT failed THEN confidence END AS confidence FROM rows_)"""
-_CITED = f"{_BM25}, evidence AS ({_TOP}), cited AS (SELECT query_id AS question_key, rk AS ann_ord, CASE WHEN query_id % 3 = 0 THEN chunk_id || '?' ELSE chunk_id END AS evidence_id FROM evidence WHERE rk <= 2), checked AS (SELECT question_key, evidence_id, ann_ord, e.chunk_id AS cited_id FROM cited c LEFT JOIN evidence e ON e.query_id = question_key AND e.chunk_id = evidence_id)"
+_CITED = f"{_BM25}, evidence AS MATERIALIZED ({_TOP}), cited AS (SELECT query_id AS question_key, rk AS ann_ord, CASE WHEN query_id % 3 = 0 THEN chunk_id || '?' ELSE chunk_id END AS evidence_id FROM evidence WHERE rk <= 2), checked AS (SELECT question_key, evidence_id, ann_ord, e.chunk_id AS cited_id FROM cited c LEFT JOIN evidence e ON e.query_id = question_key AND e.chunk_id = evidence_id)"
 _HISTORY = "history AS (SELECT o_custkey AS student_id, o_orderkey AS paper_id, o_orderdate AS taken_at, round(o_totalprice % 100, 4) AS percentage FROM orders)"
 _BANDS = """bands AS (SELECT paper_id AS doc_id, page, bbox.y AS top, bbox.y + bbox.height AS bottom, bbox.x AS left_, bbox.x + bbox.width AS right_ FROM lines WHERE bbox IS NOT NULL),
 ln AS (SELECT paper_id AS doc_id, page, line_id, row_number() OVER (PARTITION BY paper_id, page ORDER BY line_index) - 1 AS i, count(*) OVER (PARTITION BY paper_id, page) AS n_lines FROM lines),
@@ -143,6 +146,82 @@ def counted_word(w: str) -> str:
 _RULED = f"""{_QUESTIONS}, ruled AS (SELECT DISTINCT exam_id AS doc_id, 0 AS line_index, (['Answer any THREE of the following five questions.', 'Attempt any 2 questions', 'All questions are compulsory.', 'Do any four, of the following 6'])[exam_id % 4 + 1] AS text FROM questions WHERE number IS NOT NULL
   UNION ALL SELECT exam_id, ord, number || '. ' || text FROM questions WHERE number IS NOT NULL)"""
 
+_LEAD = "(?:q(?:ue?s(?:tion)?)?|ans(?:wer)?|sol(?:ution)?|part|sec(?:tion)?)"
+_ROMAN_LIST = "[" + ", ".join(f"'{r}'" for r in ROMAN) + "]"
+
+
+def levels(c: str) -> str:
+    """The levels of a label as a list."""
+    bare = rf"regexp_replace(lower({trimmed(f"coalesce({c}, '')")}), '^((?:{_LEAD}[\s.\-:)]+)*)(?:{_LEAD}([^a-z]|$))?', '\2')"
+    runs = f"list_transform(regexp_extract_all({bare}, '[a-z0-9]+'), lambda w: coalesce(CASE w {_COUNTS_TEXT} END, w))"
+    apart = f"flatten(list_transform({runs}, lambda w: CASE WHEN regexp_matches(w, '^[0-9]+[a-z]+$') THEN [regexp_extract(w, '^[0-9]+'), regexp_extract(w, '[a-z]+$')] ELSE [w] END))"
+    return f"list_filter({apart}, lambda p: regexp_matches(p, '^[0-9]+$') OR list_contains({_ROMAN_LIST}, p) OR regexp_matches(p, '^[a-z]$'))"
+
+
+_COUNTS_TEXT = " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in NUMBER_WORDS.items())
+
+
+def key_of(l: str) -> str:  # noqa: E741
+    return f"array_to_string(list_transform({l}, lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN regexp_replace(p, '^0+([0-9])', '\\1') WHEN list_contains({_ROMAN_LIST}, p) THEN 'r' || list_position({_ROMAN_LIST}, p) ELSE p END), '.')"
+
+
+def shown_of(l: str) -> str:  # noqa: E741
+    plain = f"list_transform({l}, lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN regexp_replace(p, '^0+([0-9])', '\\1') ELSE p END)"
+    return f"coalesce(({plain})[1], '') || array_to_string(list_transform(({plain})[2:], lambda x: '(' || x || ')'), '')"
+
+
+_KEYED = f"""{_QUESTIONS}, keyed AS (SELECT exam_id, question_id, ord, number, text, max_marks, {key_of('l')} AS key, {shown_of('l')} AS shown FROM (SELECT *, {levels('number')} AS l FROM questions))"""
+_OFFERED = f"""{_KEYED}, rules AS (SELECT exam_id, required, size FROM (SELECT DISTINCT exam_id, [3, 2, NULL, 4][exam_id % 4 + 1] AS required, [5, NULL, NULL, 6][exam_id % 4 + 1] AS size FROM questions WHERE number IS NOT NULL) WHERE required IS NOT NULL),
+heads AS (SELECT exam_id, ord, shown, row_number() OVER (PARTITION BY exam_id ORDER BY ord) AS member_ord FROM keyed WHERE number IS NOT NULL AND text IS NOT NULL AND shown <> ''),
+offered AS (SELECT * FROM (SELECT h.exam_id AS doc_id, 0 AS group_id, required, shown AS number, CAST(member_ord AS INT) AS member_ord, count(*) OVER (PARTITION BY h.exam_id) AS n FROM heads h JOIN rules r ON r.exam_id = h.exam_id WHERE size IS NULL OR member_ord <= size) WHERE n > required)"""
+_DESCRIBED = f"""{_OFFERED}, described AS (SELECT doc_id, 'answer any ' || any_value(required) || ' of ' || count(*) || ' (' || string_agg('Q' || number, ', ' ORDER BY member_ord) || ')' AS description FROM offered GROUP BY doc_id)"""
+_LABELLED = f"""{_TOTALS}, own AS (SELECT *, CASE WHEN failed THEN 'evaluation_failed' WHEN skipped AND ord % 2 = 0 THEN 'not_detected' WHEN skipped THEN 'unanswered' WHEN confidence < 60 THEN 'uncertain' ELSE 'detected' END AS status FROM counted),
+labelled AS (SELECT *, CASE WHEN NOT counted THEN 'Not counted' WHEN status = 'evaluation_failed' THEN 'Eval. unavailable' WHEN status = 'not_detected' THEN 'Answer not detected' WHEN status = 'unanswered' THEN 'Unanswered' WHEN status = 'uncertain' THEN 'Verify'
+  WHEN marks_awarded >= max_marks THEN 'Covered well' WHEN marks_awarded > 0 THEN 'Partial' ELSE 'Not covered' END AS report_label FROM own)"""
+
+
+def plain(x: str) -> str:
+    """A number without a point where it is whole."""
+    return f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+
+
+def windows(rows: str, key: str, name: str, budget: int, most: int, tail: str) -> str:
+    """Windows over rows (key, place, cost), each with its first place, first new place and last place."""
+    return f"""sums AS (SELECT *, sum(cost) OVER (PARTITION BY {key} ORDER BY place) AS upto FROM {rows}),
+ {name} AS (WITH RECURSIVE step AS (
+   SELECT {key}, 0 AS k, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS f, max(b.place) AS e FROM sums b WHERE b.place = 0 OR (b.place < {most} AND b.upto <= {budget}) GROUP BY {key}
+   UNION ALL
+   SELECT w.{key}, w.k + 1, any_value({tail}), w.e + 1, max(b.place) FROM step w JOIN sums b ON b.{key} = w.{key} JOIN sums a ON a.{key} = w.{key} AND a.place = {tail}
+   WHERE b.place = w.e + 1 OR (b.place > w.e + 1 AND b.place - w.e - 1 < {most} AND b.upto - a.upto + a.cost <= {budget}) GROUP BY w.{key}, w.k, w.s, w.e)
+ SELECT * FROM step)"""
+
+
+_VERDICT = "CASE WHEN maximum_marks > 0 AND total_marks / maximum_marks >= 0.4::DOUBLE THEN 'pass' WHEN maximum_marks > 0 AND pending > 0 AND (total_marks + pending) / maximum_marks >= 0.4::DOUBLE THEN 'pending' ELSE 'fail' END"
+_BAND = "CASE WHEN percentage >= 75 THEN 'high' WHEN percentage >= 50 THEN 'good' WHEN percentage >= 35 THEN 'fair' ELSE 'low' END"
+
+def sentences(table: str, key: str) -> str:
+    """Sentences of the texts of a table, with their place and offsets. Full stops that end none stand aside as a private character."""
+    stop, cut = "chr(57344)", "chr(57345)"
+    digits = "'([0-9])\\.([0-9])', '\\1' || " + stop + " || '\\2', 'g'"
+    guarded = f"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), {digits}), {digits}), '(^|[^\\p{{L}}\\p{{N}}_])([A-Za-z])\\.(\\s?[a-z])', '\\1\\2' || {stop} || '\\3', 'g')"
+    pieces = f"string_split(regexp_replace({guarded}, '([.!?\\n][ \\t\\r\\f\\v\\x{{A0}}\"'')\\]]*)', '\\1' || {cut}, 'g'), {cut})"
+    return f"""cut AS (SELECT *, {pieces} AS l FROM {table}),
+        each_ AS (SELECT * EXCLUDE (text, l), i, replace(l[i], {stop}, '.') AS piece, coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM cut)),
+        sentences AS (SELECT * EXCLUDE (piece, a, i), {trimmed('piece')} AS text, CAST(a AS INT) AS start, CAST(a + length(piece) AS INT) AS "end", row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS place FROM each_ WHERE regexp_matches(piece, '[A-Za-z0-9]'))"""
+
+
+def passages(table: str, key: str, kept: str) -> str:
+    """Passages of whole sentences, each opening with the last sentence of the one before, with ids made of source, place and hash."""
+    words = f"len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> ''))"
+    digits = "array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // CAST(36 ** i AS BIGINT)) % 36 + 1 AS BIGINT), 1)), '')"
+    return f"""RECURSIVE {sentences(table, key)}, sums AS (SELECT *, {words} AS n, sum({words}) OVER (PARTITION BY {key} ORDER BY place) AS upto FROM sentences),
+        step AS (SELECT {key}, 1 AS k, CAST(0 AS BIGINT) AS s, coalesce(min(place) FILTER (upto >= 110), max(place)) AS e FROM sums GROUP BY {key}
+          UNION ALL SELECT w.{key}, w.k + 1, w.e, coalesce(min(b.place) FILTER (b.upto - a.upto + a.n >= 110), max(b.place)) FROM step w JOIN sums a ON a.{key} = w.{key} AND a.place = w.e JOIN sums b ON b.{key} = w.{key} AND b.place > w.e GROUP BY w.{key}, w.k, w.e),
+        joined AS (SELECT w.{key}, {kept}, w.k AS ord, string_agg(text, ' ' ORDER BY place) AS text FROM step w JOIN sums b ON b.{key} = w.{key} AND b.place BETWEEN w.s AND w.e GROUP BY ALL),
+        hashed AS (SELECT *, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda x, c: (x * 33 + c) % 4294967296) AS h FROM joined),
+        cut_passages AS (SELECT *, coalesce(source, 'ref') || '#' || ord || '-' || ltrim({digits}, '0') AS chunk_id FROM hashed)"""
+
+
 SQL: dict[str, str] = {
     "exam_label_keys": r"""WITH p AS (SELECT exam_id, question_id, regexp_extract_all(lower(coalesce(q_number, '')), '[0-9]+|[a-z]+') AS l FROM exam_questions),
         k AS (SELECT exam_id, question_id, list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN CAST(CAST(x AS INT) AS VARCHAR) WHEN x IN ('i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x') THEN 'r' || list_position(['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x'], x) ELSE x END) AS k, l FROM p)
@@ -164,7 +243,7 @@ SQL: dict[str, str] = {
     "token_overlap": f"""WITH {_BLOCKS}, s AS (SELECT block_id, list_distinct({stems('question_text')}) AS a, list_distinct({stems('answer_text')}) AS b FROM blocks)
         SELECT block_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 9) END AS overlap FROM s""",
     "djb2_hash": f"WITH {_ASKED} SELECT query_id, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(query, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 33 + c) % 4294967296) AS hash FROM asked",
-    "word_count": rf"SELECT doc_id, CAST(CASE WHEN {trimmed("coalesce(text, '')")} = '' THEN 0 ELSE len(regexp_split_to_array({trimmed("coalesce(text, '')")}, '[\s\x{{A0}}]+')) END AS INT) AS n_words FROM documents",
+    "word_count": rf"SELECT doc_id, CAST(CASE WHEN {trimmed("coalesce(text, '')")} = '' THEN 0 ELSE len(regexp_split_to_array({trimmed("coalesce(text, '')")}, '{_SPACE}+')) END AS INT) AS n_words FROM documents",
     "prefix_candidates": f"""WITH {_ASKED}, n AS (SELECT query_id, {norm('query')} AS t, string_split({norm('query')}, ' ') AS w FROM asked),
         c AS (SELECT query_id, list_prepend(t, list_filter(list_transform(range(len(w) - 1, CAST(greatest(3, ceil(len(w) * 0.4::DOUBLE)) AS BIGINT) - 1, -1), lambda k: array_to_string(w[1:k], ' ')), lambda p: length(p) >= 10)) AS l FROM n)
         SELECT query_id, CAST(i - 1 AS INT) AS place, l[i] AS candidate FROM (SELECT query_id, l, unnest(range(1, len(l) + 1)) AS i FROM c)""",
@@ -226,6 +305,85 @@ SQL: dict[str, str] = {
         SELECT question_key, ann_ord, CASE WHEN claimed > awarded + 1e-9 THEN NULL WHEN reported = 0 AND awarded > 0 AND earners = 1 AND type IN ('correct', 'partial') THEN awarded ELSE marks END AS fixed_marks FROM s""",
     "question_confidence": f"""WITH {_ROWS}, {_NOTES}, m AS (SELECT question_key, floor(avg(confidence) + 0.5) AS model FROM notes GROUP BY 1), q AS (SELECT o_orderkey AS question_key, CASE WHEN o_orderstatus <> 'P' THEN 70.0 ELSE 100.0 END AS d, o_orderstatus = 'F' AS weak, o_orderkey % 7 <> 0 AS relevant FROM orders)
         SELECT question_key, least(coalesce(model, d), d, CASE WHEN weak THEN 65 ELSE 1000 END, CASE WHEN NOT relevant THEN 55 ELSE 1000 END)::DOUBLE AS confidence FROM q LEFT JOIN m USING (question_key)""",
+    "label_keys": f"WITH {_BLOCKS}, l AS (SELECT block_id, {levels('question_number')} AS l FROM blocks) SELECT block_id, {key_of('l')} AS key, {shown_of('l')} AS shown FROM l",
+    "align_by_label": f"""WITH {_KEYED}, {_BLOCKS}, owners AS (SELECT DISTINCT ON (exam_id, key) * FROM keyed WHERE key <> '' ORDER BY exam_id, key, ord),
+        named AS (SELECT paper_id, exam_id, block_id, {key_of('l')} AS key FROM (SELECT *, {levels('question_number')} AS l FROM blocks))
+        SELECT paper_id, CAST(min(block_id) AS BIGINT) AS block_ord, question_id, 95 AS confidence, 'label' AS method FROM named JOIN owners USING (exam_id, key) GROUP BY paper_id, question_id""",
+    "text_segments": f"""WITH {_BLOCKS}, a AS (SELECT block_id AS answer_id, answer_text AS text, CASE WHEN question_text <> '' AND instr(answer_text, question_text) > 0 THEN instr(answer_text, question_text) - 1 END AS s, length(question_text) AS n FROM blocks WHERE answer_text IS NOT NULL),
+        c AS (SELECT answer_id, text, 0 AS x, coalesce(s, length(text)) AS y, NULL::INT AS ann_ord FROM a UNION ALL SELECT answer_id, text, s, s + n, 0 FROM a WHERE s IS NOT NULL UNION ALL SELECT answer_id, text, s + n, length(text), NULL FROM a WHERE s IS NOT NULL)
+        SELECT answer_id, CAST(x AS INT) AS seg_start, CAST(y AS INT) AS seg_end, ann_ord, substr(text, CAST(x + 1 AS BIGINT), CAST(y - x AS BIGINT)) AS text FROM c WHERE y > x""",
+    "chunk_lines": f"""WITH {_LINES}, p AS (SELECT paper_id, line_id, row_number() OVER (PARTITION BY paper_id ORDER BY line_index, line_id) - 1 AS place, length(coalesce(text, '')) + 12 AS cost FROM lines), {windows('p', 'paper_id', 'w', 6000, 10**9, 'w.e + 1 - greatest(1, CAST(floor((w.e - w.s + 1) * 0.1::DOUBLE + 0.5::DOUBLE) AS BIGINT))')}
+        SELECT w.paper_id, k AS window_ord, CAST(e - s + 1 AS INT) AS n_lines, a.line_id AS first_line, b.line_id AS last_line, CAST(b.upto - a.upto + a.cost AS INT) AS n_chars FROM w JOIN sums a ON a.paper_id = w.paper_id AND a.place = s JOIN sums b ON b.paper_id = w.paper_id AND b.place = e""",
+    "chunk_questions": f"""WITH {_QUESTIONS}, p AS (SELECT exam_id, row_number() OVER (PARTITION BY exam_id ORDER BY ord) - 1 AS place, least(240, length(coalesce(number, 'None') || '. ' || coalesce(text, 'None'))) + 1 AS cost FROM questions), {windows('p', 'exam_id', 'w', 2000, 8, 'w.e + 1')}
+        SELECT w.exam_id, k AS batch_ord, CAST(e - s + 1 AS INT) AS n_questions, CAST(b.upto - a.upto + a.cost AS INT) AS n_chars FROM w JOIN sums a ON a.exam_id = w.exam_id AND a.place = s JOIN sums b ON b.exam_id = w.exam_id AND b.place = e""",
+    "detect_choice": f"WITH {_OFFERED} SELECT doc_id, group_id, required, number, member_ord FROM offered",
+    "describe_choice": f"WITH {_DESCRIBED} SELECT doc_id, description FROM described",
+    "split_sentences": f'''WITH {sentences("reference_chunks", "ref_id")} SELECT ref_id, text, start, "end" FROM sentences''',
+    "chunk_documents": f"WITH {passages('documents', 'doc_id', 'source')} SELECT doc_id, source, ord, chunk_id, text FROM cut_passages",
+    "reference_passages": f"WITH {passages('reference_chunks', 'ref_id', 'source, page')} SELECT ref_id AS doc_id, source, page, ord, chunk_id, text FROM cut_passages",
+    "stream_budget": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS now_, greatest(1, CAST(trunc(coalesce(value, 0)) AS BIGINT)) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        r AS (SELECT user_id, event_id, cost, i, now_ AS opened, cost <= 150 AS granted, CASE WHEN cost <= 150 THEN 150 - cost ELSE 150 END AS remaining FROM e WHERE i = 1
+          UNION ALL SELECT n.user_id, n.event_id, n.cost, n.i, n.o, n.cost <= n.had, CASE WHEN n.cost <= n.had THEN n.had - n.cost ELSE n.had END
+          FROM (SELECT e.*, CASE WHEN e.now_ >= r.opened + 60000 THEN e.now_ ELSE r.opened END AS o, CASE WHEN e.now_ >= r.opened + 60000 THEN 150 ELSE r.remaining END AS had FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) n)
+        SELECT user_id, event_id, cost, granted, remaining FROM r""",
+    "apply_proposals": f"""WITH RECURSIVE {_KEYED}, {_LINES}, {_BLOCKS}, {_WANTED},
+        owners AS (SELECT DISTINCT ON (exam_id, key) * FROM keyed WHERE key <> '' ORDER BY exam_id, key, ord DESC),
+        free AS (SELECT paper_id, line_id, line_index FROM lines l WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.answer_id % 2 = 0 AND w.paper_id = l.paper_id AND w.line_id = l.line_id)),
+        named AS (SELECT paper_id, exam_id, block_id, {key_of('l')} AS key, answer_line_ids FROM (SELECT *, {levels('question_number')} AS l FROM blocks WHERE question_number IS NOT NULL)),
+        usable AS (SELECT n.paper_id, block_id, question_id, list_distinct(list(f.line_id ORDER BY line_index)) AS raw, list(f.line_id ORDER BY line_index) AS ids FROM (SELECT DISTINCT paper_id, exam_id, block_id, key, unnest(answer_line_ids) AS line_id FROM named) n
+          JOIN owners o ON o.exam_id = n.exam_id AND o.key = n.key JOIN free f ON f.paper_id = n.paper_id AND f.line_id = n.line_id
+          WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.block_id % 5 = 0 AND b.paper_id = n.paper_id AND 'q' || (b.block_id % 7 + 1) = question_id) GROUP BY ALL),
+        u AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY block_id) AS i FROM usable),
+        r AS (SELECT paper_id, i, question_id, ids AS got, [question_id] AS qs, ids AS ls FROM u WHERE i = 1
+          UNION ALL SELECT n.paper_id, n.i, n.question_id, CASE WHEN n.ok THEN n.left_ END, CASE WHEN n.ok THEN list_append(n.qs, n.question_id) ELSE n.qs END, CASE WHEN n.ok THEN list_concat(n.ls, n.left_) ELSE n.ls END
+          FROM (SELECT m.*, NOT list_contains(m.qs, m.question_id) AND len(m.left_) > 0 AS ok FROM (SELECT u.paper_id, u.i, u.question_id, r.qs, r.ls, list_filter(u.ids, lambda x: NOT list_contains(r.ls, x)) AS left_ FROM r JOIN u ON u.paper_id = r.paper_id AND u.i = r.i + 1) m) n)
+        SELECT paper_id, question_id, array_to_string(got, ',') AS line_ids, 70 AS confidence, 'model' AS method FROM r WHERE got IS NOT NULL""",
+    "recover_replies": """SELECT event_id, '{"k": ' || least(50, greatest(0, CAST(json_extract_string(props, '$.k') AS INT))) || ', "note": ""}' AS value, NULL AS error FROM events""",
+    "paper_json": f"""WITH {_LABELLED}, l AS (SELECT paper_id, string_agg('{{"ord":' || ord || ',"number":"' || number || '","marks_awarded":' || marks_awarded || ',"max_marks":' || max_marks || ',"label":"' || status || '"}}', ',' ORDER BY ord) AS q FROM labelled GROUP BY paper_id)
+        SELECT paper_id, '{{"paper_id":' || paper_id || ',"total_marks":' || total_marks || ',"maximum_marks":' || maximum_marks || ',"percentage":' || percentage || ',"grade":"' || {_GRADE} || '","questions":[' || q || ']}}' AS json FROM totals JOIN l USING (paper_id)""",
+    "model_replies": f"""WITH {_QUESTIONS} SELECT exam_id, question_id, CASE WHEN text IS NOT NULL THEN '{{"kind": "", "n": ' || least(12, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) || '}}' END AS value, CASE WHEN text IS NULL THEN 'no reply' END AS error FROM questions""",
+    "paper_verdicts": f"WITH {_TOTALS}, p AS (SELECT paper_id, sum(CASE WHEN counted AND failed AND ord % 4 <> 0 THEN max_marks ELSE 0.0 END) AS pending FROM counted GROUP BY paper_id) SELECT paper_id, {_VERDICT} AS verdict, {_BAND} AS band FROM totals JOIN p USING (paper_id)",
+    "question_labels": f"""WITH {_LABELLED} SELECT paper_id, question_id, report_label, CASE status WHEN 'evaluation_failed' THEN 'Evaluation unavailable' WHEN 'not_detected' THEN 'Answer not detected' WHEN 'unanswered' THEN 'Confirmed unanswered' WHEN 'uncertain' THEN 'Uncertain — verify'
+        ELSE CASE WHEN marks_awarded >= max_marks THEN 'Full marks' WHEN marks_awarded > 0 THEN 'Partial' ELSE 'Zero' END END AS examiner_label FROM labelled""",
+    "annotation_badges": f"""WITH {_ROWS}, {_NOTES} SELECT question_key, ann_ord, CASE WHEN coalesce(marks, 0) <> 0 THEN CASE type WHEN 'correct' THEN '+' WHEN 'wrong' THEN '✗' WHEN 'missing' THEN '!' ELSE '~' END || {plain('abs(marks)')}
+        ELSE CASE type WHEN 'correct' THEN '✓' WHEN 'wrong' THEN '✗' WHEN 'missing' THEN '!' ELSE '~' END END AS badge, coalesce(marks, 0) <> 0 AS has_marks, coalesce(confidence < 60, false) AS low FROM notes""",
+    "unpinned_notes": f"""WITH {_SPANS}, {_BANDS}, page_tiers AS (SELECT DISTINCT doc_id, page, tier FROM tiers),
+        shown AS (SELECT DISTINCT s.paper_id, answer_id FROM spans s JOIN lines l ON l.paper_id = s.paper_id AND s.a < l.end_char AND s.b > l.start_char AND l.bbox IS NOT NULL JOIN page_tiers t ON t.doc_id = s.paper_id AND t.page = l.page WHERE tier IN ('medium', 'high'))
+        SELECT paper_id, block_id AS span_id, substr(coalesce(answer_text, ''), 1, 90) || CASE WHEN length(coalesce(answer_text, '')) > 90 THEN '…' ELSE '' END AS shown FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.paper_id = b.paper_id AND s.answer_id = b.block_id)""",
+    "transcript_edits": rf"""WITH {_BLOCKS}, e AS (SELECT block_id, answer_text, CASE block_id % 3 WHEN 0 THEN {trimmed('answer_text')} WHEN 1 THEN answer_text || '!' ELSE answer_text END AS t FROM blocks)
+        SELECT block_id, t IS DISTINCT FROM answer_text AS dirty, CAST(CASE WHEN {trimmed("coalesce(t, '')")} = '' THEN 0 ELSE len(regexp_split_to_array({trimmed("coalesce(t, '')")}, '{_SPACE}+')) END AS INT) AS n_words FROM e""",
+    "closing_remarks": f"""WITH {_TOTALS}, r AS (SELECT *, CASE WHEN paper_id % 8 = 0 THEN 'Well done, paper ' || paper_id END AS given FROM totals)
+        SELECT paper_id, coalesce(given, 'Scored ' || {plain('total_marks')} || ' out of ' || {plain('maximum_marks')} || ' (' || CAST(floor(percentage + 0.5) AS BIGINT) || '%), grade ' || {_GRADE} || '. See the per-question feedback for detail.') AS remark, given IS NOT NULL AS from_model FROM r""",
+    "printed_reports": f"""WITH {_LABELLED}, l AS (SELECT paper_id, string_agg('Q' || number || ' ' || {plain('marks_awarded')} || '/' || {plain('max_marks')} || ' ' || report_label, chr(10) ORDER BY ord) AS body, count(*) AS n FROM labelled GROUP BY paper_id)
+        SELECT paper_id, {plain('total_marks')} || ' / ' || {plain('maximum_marks')} || ' ' || {_GRADE} AS header, body, CAST(n AS INT) AS n_lines FROM totals JOIN l USING (paper_id)""",
+    "exam_warnings": f"""WITH {_DESCRIBED}, p AS (SELECT exam_id, number, max(ord)::DOUBLE AS printed FROM questions WHERE ord % 3 = 0 GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY exam_id ORDER BY ord) AS place FROM questions WHERE {norm('text')} <> '' OR trim(coalesce(number, '')) <> ''),
+        n AS (SELECT * REPLACE (trim(coalesce(number, CAST(place AS VARCHAR))) AS number), CASE WHEN max_marks > 0 THEN max_marks END AS read_ FROM k),
+        j AS (SELECT n.*, p.printed, coalesce(p.printed, read_) AS m FROM n LEFT JOIN p ON p.exam_id = n.exam_id AND p.number = n.number)
+        SELECT exam_id, 'mark_conflict' AS kind, number, CAST(read_ AS VARCHAR) || ' read, ' || CAST(printed AS VARCHAR) || ' printed' AS detail, false AS blocking FROM j WHERE read_ <> printed
+        UNION ALL SELECT exam_id, 'duplicate_number', number, NULL, false FROM j GROUP BY exam_id, number HAVING count(*) > 1
+        UNION ALL SELECT exam_id, 'missing_marks', NULL, CAST(count(*) AS VARCHAR), true FROM j WHERE m IS NULL GROUP BY exam_id
+        UNION ALL SELECT exam_id, 'no_questions', NULL, NULL, true FROM (SELECT DISTINCT exam_id FROM questions WHERE exam_id NOT IN (SELECT exam_id FROM j))
+        UNION ALL SELECT doc_id, 'choice', NULL, description, false FROM described""",
+    "coverage_buckets": f"WITH {_STATUS} SELECT paper_id, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("detected", "uncertain", "not_detected", "unanswered", "evaluation_failed")) + " FROM status GROUP BY paper_id",
+    "review_issues_with_warnings": f"WITH {_STATUS} SELECT paper_id, count(*) FILTER (skipped OR failed OR confidence < 60) + count(*) FILTER (failed) AS n_issues FROM status GROUP BY paper_id",
+    "paired_coverage": f"""WITH {_BM25}, held AS (SELECT DISTINCT query_id, unnest({stems('text')}) AS term FROM top JOIN passages USING (chunk_id)),
+        c AS (SELECT query_id, count(*) AS n_terms, count(h.term) AS n_hit FROM qo LEFT JOIN held h USING (query_id, term) GROUP BY query_id)
+        SELECT query_id, n_terms, n_hit, CASE WHEN query_id % 3 = 0 THEN 1.0::DOUBLE ELSE round(n_hit / n_terms, 9) END AS coverage, query_id % 3 <> 0 AND n_hit / n_terms < 0.45::DOUBLE AS weak FROM c""",
+    "pool_stats": """WITH k AS (SELECT n_nationkey AS k, 8000 AS token_limit, CASE WHEN n_nationkey % 9 = 0 THEN 0 ELSE greatest(0, CASE WHEN n_nationkey % 2 = 0 AND 9000 >= 1000 * n_nationkey THEN 8000 ELSE n_nationkey * 331 END - n_nationkey * 7) END AS available FROM nation)
+        SELECT count(*) AS n_keys, count(*) FILTER (k % 9 = 0) AS n_dead, max(token_limit) AS ceiling, sum(available) AS available, sum(k % 4) AS in_flight, count(*) FILTER (available > 0) AS n_ready FROM k""",
+    "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rk FROM s) SELECT query_id, CAST(rk AS INT) AS rk, chunk_id, round(score, 6) AS score FROM r WHERE rk <= 5""",
+    "uploads_decided": """WITH p AS (SELECT paper_id, min(student_id) AS student_id, min(source) AS source, min(uploaded_at) AS at_, min(page_count) AS n_pages FROM papers GROUP BY paper_id),
+        u AS (SELECT coalesce(student_id, 0) % 40 AS owner, source || '_' || paper_id || (['.docx', '.pdf', '.doc', '.JPG', '.txt'])[paper_id % 5 + 1] AS path, paper_id % 5 AS t, at_, n_pages FROM p),
+        d AS (SELECT *, CASE t WHEN 2 THEN 'legacy' WHEN 4 THEN 'unsupported' WHEN 0 THEN CASE WHEN row_number() OVER (PARTITION BY owner, t = 0 ORDER BY at_ DESC, path DESC) > 1 THEN 'replaced' ELSE 'read' END ELSE 'read' END AS decision, CASE WHEN t IN (1, 3) THEN n_pages ELSE 0 END AS paged FROM u),
+        c AS (SELECT *, least(paged, greatest(0, 30 - coalesce(sum(paged) OVER (PARTITION BY owner ORDER BY at_, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS kept FROM d)
+        SELECT owner, path, decision, CAST(kept AS INT) AS pages_kept, CAST(paged - kept AS INT) AS pages_cut FROM c""",
+    "assessed_papers": f"""WITH {_TOTALS}, w AS (SELECT paper_id, count(*) FILTER (failed) + count(*) FILTER (NOT counted) + CASE WHEN paper_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM counted GROUP BY paper_id)
+        SELECT paper_id, total_marks, maximum_marks, {_GRADE} AS grade, maximum_marks > 0 AND percentage >= {PASS_PERCENTAGE} AS passed, overall_confidence, n AS n_warnings FROM totals JOIN w USING (paper_id)""",
+    "paper_evaluations": f"""WITH {_TOTALS}, e AS (SELECT *, ord % 3 <> 0 AS written FROM counted)
+        SELECT paper_id, question_id, ord, marks_awarded, max_marks, counted, CASE WHEN failed THEN 'evaluation_failed' WHEN (skipped OR NOT written) AND written AND paper_id % 2 = 0 THEN 'not_detected' WHEN skipped OR NOT written THEN 'unanswered' WHEN confidence < 60 THEN 'uncertain' ELSE 'detected' END AS status,
+          CASE WHEN max_marks > 0 AND marks_awarded >= max_marks THEN 'well' WHEN marks_awarded > 0 THEN 'partially' ELSE 'not' END AS quality FROM e""",
     "citation_check": f"WITH {_CITED} SELECT question_key, evidence_id, ann_ord, cited_id FROM checked",
     "grounding": f"""WITH {_CITED}, e AS (SELECT query_id, count(*) AS n FROM evidence GROUP BY 1), c AS (SELECT question_key, count(cited_id) AS n FROM checked GROUP BY 1)
         SELECT a.query_id AS question_key, coalesce(e.n, 0) AS n_evidence, coalesce(c.n, 0) AS n_cited, CASE WHEN coalesce(e.n, 0) = 0 THEN 'INSUFFICIENT' WHEN a.query_id % 2 = 0 AND coalesce(c.n, 0) = 0 THEN 'GENERAL' WHEN a.query_id % 2 = 0 THEN 'REFERENCE' ELSE 'GENERAL' END AS grounding
@@ -277,3 +435,7 @@ SQL: dict[str, str] = {
         SELECT subject, source, count(*) AS n_papers, CAST(grouping_id(subject, source) AS INT) AS level FROM p JOIN exams USING (exam_id) GROUP BY ROLLUP (subject, source)""",
     "ext_cube_events": """SELECT event_type, CAST(dayofweek(ts) + 1 AS INT) AS weekday, count(*) AS n, round(sum(value), 2) AS total, CAST(grouping_id(event_type, dayofweek(ts)) AS INT) AS level FROM events GROUP BY CUBE (event_type, dayofweek(ts))""",
 }
+
+
+SQL["effective_grades"] = f"""WITH first_ AS ({SQL['paper_totals']}), final_ AS ({SQL['override_effective_score']}), j AS (SELECT f.*, t.grade AS was, CASE WHEN f.maximum_marks > 0 THEN f.total_marks / f.maximum_marks * 100 END AS percentage FROM final_ f JOIN first_ t USING (paper_id))
+    SELECT paper_id, total_marks, maximum_marks, n_overridden, CASE WHEN n_overridden > 0 AND maximum_marks > 0 THEN {_GRADE} ELSE was END AS grade FROM j"""

@@ -33,10 +33,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, m
     )
 
 
+# Python functions of this package travel by value, so that executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make Python functions of this package travel by value, so that executors need no copy of it."""
-    package = __name__.partition(".")[0]
-    cloudpickle.register_pickle_by_value(sys.modules[package])
+    """The session, with functions of this package set to travel by value; importing this module does so too."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
     return spark
 
 

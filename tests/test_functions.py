@@ -53,6 +53,8 @@ SENTENCES = [
     ("pH is 6.5 here. Next", ["pH is 6.5 here.", "Next"]),
     ("See e.g. the leaf. Done", ["See e.g. the leaf.", "Done"]),
     ('He said "stop." Then left\nnew line', ['He said "stop."', "Then left", "new line"]),
+    ("This is plan B. Next we go on.", ["This is plan B.", "Next we go on."]),
+    ("Vitamin C. elegans stays whole.", ["Vitamin C. elegans stays whole."]),
     ("... !!", []),
     (None, []),
 ]
@@ -74,6 +76,7 @@ def test_spans_are_found_verbatim_then_normalised_then_by_prefix():
     assert scans.find_span(hay, "leaf makes nothing in light every single day of the year") is None
     assert scans.find_span(hay, "the leaf makes food in light each day")[2] is False
     assert scans.find_span(hay, "makes food", [(9, 19)]) == (31, 41, False)
+    assert scans.find_span(hay, "makes food", start=10) == (31, 41, True)
     assert scans.find_span(hay, "") is None and scans.find_span(None, "leaf") is None
 
 
@@ -88,6 +91,11 @@ def test_labels_are_read(line, key):
     assert labels.label_key_of(scans.read_label(line)[0]) == key
 
 
+@pytest.mark.parametrize("line, label, rest", [("Q3.5 kg", "Q3.5", "kg"), ("4 ( water", "4 (", "water"), ("2 : b) heat", "2 :", "b) heat"), ("(ii)(a) salt", "(ii)(a)", "salt"), ("Answer Two Three", "Answer Two", "Three")])
+def test_labels_end_where_no_level_follows(line, label, rest):
+    assert scans.read_label(line)[:2] == (label, rest)
+
+
 @pytest.mark.parametrize("line", ["A cell divides", "Five plants were grown", "3.5 kg of water", "particle physics", "", None, "12 apples fell", "1.1 water"])
 def test_prose_is_no_label(line):
     assert scans.read_label(line) is None
@@ -98,7 +106,7 @@ def test_known_keys_settle_doubtful_labels():
     assert scans.read_label("7", frozenset({"7"}))[0] == "7"
 
 
-LABELS = ["Q. 3(a)", "question two", "Ans. to 3", "part b", "particle", "3ii", "(iv)", "Section 2 - 1", "x", "XX", "", None, "Q1 Q2", "sol. 04 . ii", "fifth", "0", "12(b)(i)", "?!", "Q١"]
+LABELS = ["Q. 3(a)", "question two", "Ans. to 3", "part b", "particle", "3ii", "(iv)", "Section 2 - 1", "x", "XX", "", None, "Q1 Q2", "sol. 04 . ii", "fifth", "0", "12(b)(i)", "?!", "Q١", "\u00a0Q. 7 "]
 
 
 def test_label_columns_agree_with_the_plain_form(spark):

@@ -176,7 +176,7 @@ def test_windows_stay_within_their_budget():
 
 
 def test_proposals_claim_in_order(spark):
-    questions = spark.createDataFrame([(5, "q1", "1"), (5, "q2", "2")], "exam_id int, question_id string, number string")
+    questions = spark.createDataFrame([(5, "q9", "1", 8), (5, "q1", "1", 9), (5, "q2", "2", 10)], "exam_id int, question_id string, number string, ord int")
     own = spark.createDataFrame([(9, f"L{i}", i) for i in range(4)], "paper_id bigint, line_id string, line_index int")
     proposals = spark.createDataFrame([(9, 5, 1, "Q1", ["L2", "L1", "L8"]), (9, 5, 2, "Q2", ["L1"]), (9, 5, 3, "Q2", ["L1", "L3"]), (9, 5, 4, "Q7", ["L3"])], "paper_id bigint, exam_id int, prop_ord int, question_number string, line_ids array<string>")
     claimed = spark.createDataFrame([(9, "L0")], "paper_id bigint, line_id string")
@@ -256,12 +256,12 @@ def test_requests_are_priced(spark):
 def test_a_request_moves_to_another_key_and_waits_for_a_refill():
     keys = [budget.KeyState(), budget.KeyState()]
     answers = iter([(429, {"reset_ms": 5000}), (200, {})])
-    assert budget.schedule(keys, 4900, lambda i, now: next(answers)) == (200, 0, [0, 1])
-    assert budget.schedule(keys, 9000, None) == (413, 0, []) and budget.schedule([], 1, None) == (500, 0, [])
-    status, waited, used = budget.schedule(keys, 4900, lambda i, now: (200, {}))
+    assert budget.replay(keys, 4900, lambda i, now: next(answers)) == (200, 0, [0, 1])
+    assert budget.replay(keys, 9000, None) == (413, 0, []) and budget.replay([], 1, None) == (500, 0, [])
+    status, waited, used = budget.replay(keys, 4900, lambda i, now: (200, {}))
     assert (status, used) == (200, [0]) and waited == 5150
     dead = [budget.KeyState(dead=True, limit=8000, remaining=0)]
-    assert budget.schedule(dead, 10, None)[0] == 429
+    assert budget.replay(dead, 10, None)[0] == 429
 
 
 def page(np, width=400, height=560, lines_=12, slope=0.0, ink=30):
@@ -301,7 +301,7 @@ def test_replies_of_a_model(spark):
 
     schema = {"type": "object", "required": ["n"], "props": {"n": {"type": "number", "max": 5}}}
     found = model.ask_for(spark.createDataFrame([(1, "ab"), (2, "abcdefgh"), (3, "fail"), (4, None)], "id int, prompt string"), reply, schema, in_flight=2)
-    assert {r.id: r.value for r in found.collect()} == {1: '{"n": 2.0}', 2: '{"n": 5}', 3: None, 4: None}
+    assert {r.id: r.value for r in found.collect()} == {1: '{"n": 2}', 2: '{"n": 5}', 3: None, 4: None}
 
 
 def test_groups_proposed_by_a_model(spark):
