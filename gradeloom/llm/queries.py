@@ -58,7 +58,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.split_items(_items(spark, folder), table(spark, folder, "piece_limits")).distinct()
+    return splitting.split_items(_items(spark, folder), table(spark, folder, "piece_limits"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

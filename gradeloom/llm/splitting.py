@@ -46,21 +46,13 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
 
     def choose(start: int, end: int) -> tuple[int, str]:
         middle, reach = (start + end) // 2, (end - start) // 4
-        # In the middle half the strongest class wins, then the place nearest to the middle; outside it any place does.
-        for low, high, kinds in ((middle - reach, middle + reach, range(len(BOUNDARIES))), (start + 1, end - 1, None)):
-            near: list[tuple[int, int, int]] = []
+        # The strongest class wins, in the middle half first and then anywhere; then the place nearest to the middle.
+        for low, high in ((middle - reach, middle + reach), (start + 1, end - 1)):
             for kind, at in enumerate(places):
                 i, j = bisect_left(at, low), bisect_right(at, high)
                 if i < j:
                     k = bisect_left(at, middle, i, j)
-                    best = min((at[x] for x in (k - 1, k) if i <= x < j), key=lambda p: abs(p - middle))
-                    near.append((kind if kinds else 0, abs(best - middle), best))
-                    if kinds:
-                        break
-            if near:
-                _, _, best = min(near)
-                kind = next(k for k, at in enumerate(places) if (x := bisect_left(at, best)) < len(at) and at[x] == best)
-                return best, BOUNDARIES[kind]
+                    return min((at[x] for x in (k - 1, k) if i <= x < j), key=lambda p: abs(p - middle)), BOUNDARIES[kind]
         cut = middle
         while cut < end - 1 and unicodedata.category(text[cut]) in ("Mn", "Mc", "Me", "Cf"):
             cut += 1  # never between a letter and its marks
@@ -85,11 +77,12 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     (from 0), start and end (half-open, in the item), text, cut (what the piece
     ends on; `end` for the last), n_pieces, fit (`forced` if the item has a run
     over the limit without white space or a terminator). Items within the
-    limit, null and empty texts and tables without a limit give no rows; a
-    repeated item gives its pieces once per repetition.
+    limit, null and empty texts and tables without a limit give no rows; an
+    item delivered twice counts once, by its rec_id and text.
     """
     known = limits.where("max_chars > 0").select("rec_table", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
     over = items.select("rec_table", F.col("rec_id").cast("bigint"), "text").join(F.broadcast(known), "rec_table").where(F.char_length("text") > F.col("max_chars"))
+    over = over.withColumn("h", F.xxhash64("text")).dropDuplicates(["rec_table", "rec_id", "h"])
 
     def pieces(rows: Iterable[tuple]) -> Iterator[tuple]:
         for table, rec, text, limit, overlap in rows:

@@ -358,6 +358,9 @@ def test_split_table(spark):
     limits = spark.createDataFrame([("a", 60, 12), ("c", 5, 1)], "rec_table string, max_chars int, overlap_chars int")
     found = splitting.split_items(items, limits)
     assert rows(found.select("rec_id", "fit").distinct()) == [(1, "natural"), (2, "forced")]
+    assert rows(splitting.split_items(items.unionByName(items), limits)) == rows(found)
+    nameless = items.withColumn("rec_id", F.lit(None).cast("int"))
+    assert rows(splitting.split_items(nameless, limits).select("rec_id", "fit").distinct()) == [(None, "forced"), (None, "natural")]
     for rec, text in ((1, "One two. " * 20), (2, long_run)):
         own = sorted(found.where(f"rec_id = {rec}").collect(), key=lambda r: r.piece)
         assert all(len(r.text) <= 60 and r.text == text[r.start : r.end] for r in own)
