@@ -111,6 +111,9 @@ def align_questions(blocks: DataFrame, questions: DataFrame, least_content: floa
     asked = questions.select("exam_id", "question_id", "ord", "number", F.col("text").alias("q_text"))
     left_questions = papers.join(asked, "exam_id").join(by_label.select("paper_id", "question_id"), ["paper_id", "question_id"], "left_anti").select(F.col("paper_id").alias("q_paper"), "question_id", "ord", "number", "q_text")
 
+    # Papers without a question left need no pass.
+    open_blocks = left_blocks.join(left_questions.select(F.col("q_paper").alias("paper_id")).distinct(), "paper_id", "left_semi")
+
     def place(block_rows: pd.DataFrame, question_rows: pd.DataFrame) -> pd.DataFrame:
         own = [(int(o), x, t) for o, x, t in block_rows.sort_values("block_ord")[["block_ord", "label", "text"]].itertuples(index=False)]
         asked = list(question_rows.sort_values("ord")[["question_id", "number", "q_text"]].itertuples(index=False, name=None))
@@ -118,7 +121,7 @@ def align_questions(blocks: DataFrame, questions: DataFrame, least_content: floa
         claims = claim_rest(own, asked, least_content, margin) if own and asked else []
         return pd.DataFrame([(paper, *c) for c in claims], columns=["paper_id", "block_ord", "question_id", "confidence", "method"])
 
-    rest = left_blocks.select("paper_id", "block_ord", "label", "text").groupBy("paper_id").cogroup(left_questions.groupBy("q_paper")).applyInPandas(place, ALIGNED)
+    rest = open_blocks.select("paper_id", "block_ord", "label", "text").groupBy("paper_id").cogroup(left_questions.groupBy("q_paper")).applyInPandas(place, ALIGNED)
     return by_label.select(F.col("paper_id").cast("bigint"), F.col("block_ord").cast("bigint").alias("block_ord"), "question_id", "confidence", "method").unionByName(rest)
 
 

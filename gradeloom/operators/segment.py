@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.labels import canonical_label, label_parts
+from gradeloom.functions.labels import LABEL_WORDS, canonical_label, label_parts
 from gradeloom.functions.marks import extract_marks, looks_like_question, strip_marks
 from gradeloom.functions.scans import label_of
 from gradeloom.functions.text import normalize_text
@@ -22,8 +22,8 @@ def question_heads(lines: DataFrame, known: DataFrame | None = None) -> DataFram
     level and combined for more than one.
     """
     with_keys = lines.join(known.select("doc_id", "keys"), "doc_id", "left") if known is not None else lines.withColumn("keys", F.lit(None).cast("array<string>"))
-    # Only a line that opens with a letter, digit or bracket can hold a label; the scanner sees no others.
-    opened = with_keys.where(F.col("text").rlike(r"^\s*[\(\[]?\s*[A-Za-z0-9]"))
+    # A label opens with a bracket, a digit, a lead word, or a Roman numeral or letter of its own; the scanner sees no other lines.
+    opened = with_keys.where(F.col("text").rlike(rf"(?i)^\s*(?:[\(\[]|\d|(?:{'|'.join(LABEL_WORDS)}|[ivx]{{1,6}}|[a-z])(?![A-Za-z]))"))
     read = opened.withColumn("hit", label_of(F.col("text"), F.col("keys"))).where("hit is not null")
     parts = label_parts(F.col("hit.label"))
     first = F.try_element_at(parts, F.lit(1))

@@ -7,6 +7,7 @@ stand in for marked questions, events for requests, embeddings for vectors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import labels, marks, scans, text
 from gradeloom.operators import align, assess, budget, choice, exam, images, lines, match, model, placement, replies, report, retrieval, review, segment, stages
 from gradeloom.plans import oracle
+from gradeloom.session import checkpointed, shared_folder
 from gradeloom.sources import files
 from gradeloom.sources.tables import table
 from gradeloom.streaming import trace
@@ -86,7 +88,8 @@ def choice_groups(rows: DataFrame, required: int = 2) -> DataFrame:
 
 def counted_rows(spark: SparkSession, folder: str) -> DataFrame:
     """mark_rows, clamped, with `counted`."""
-    rows = assess.clamped_marks(mark_rows(spark, folder))
+    # Kept: the marks are read as rows, as members of their groups, and to be ranked.
+    rows = checkpointed(assess.clamped_marks(mark_rows(spark, folder)))
     return choice.counted_marks(rows, choice.rank_choice(rows, choice_groups(rows)))
 
 
@@ -590,7 +593,8 @@ def _keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sections(spark: SparkSession, folder: str) -> DataFrame:
     pages = _keys(spark, folder).select(F.col("exam_id").alias("doc_id"), F.lit(1).alias("page"), "text")
-    found = segment.numbered_sections(segment.question_blocks(lines.structure_pages(pages)))
+    keys = questions(spark, folder).groupBy(F.col("exam_id").alias("doc_id")).agg(F.array_sort(F.collect_set(labels.label_key(F.col("number")))).alias("keys"))
+    found = segment.numbered_sections(segment.question_blocks(lines.structure_pages(pages), keys))
     return found.withColumn("exam_id", F.col("doc_id"))
 
 
@@ -774,15 +778,30 @@ def page_bands(spark: SparkSession, folder: str) -> DataFrame:
     return images.page_bands(drawn)
 
 
+def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """A stream run to its end, into files of its own under the shared folder."""
+    return trace.run_to_files(stream, f"{shared_folder(spark)}/streams/{uuid4().hex}")
+
+
 @query
 def stream_trace_windows(spark: SparkSession, folder: str) -> DataFrame:
     stream = trace.trace_windows(trace.event_stream(spark, f"{folder}/events.parquet*"))
-    return trace.run_to_table(stream, f"trace_{abs(hash(folder)) % 10**8}", "append").withColumns({"sum_value": F.round("sum_value", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
+    return _streamed(spark, stream).withColumns({"sum_value": F.round("sum_value", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
 @query
 def stream_budget(spark: SparkSession, folder: str) -> DataFrame:
-    return trace.run_to_table(trace.budget_stream(trace.event_stream(spark, f"{folder}/events.parquet*"), limit=150), f"budget_{abs(hash(folder)) % 10**8}")
+    return _streamed(spark, trace.budget_stream(trace.event_stream(spark, f"{folder}/events.parquet*"), limit=150))
+
+
+@query
+def stream_key_states(spark: SparkSession, folder: str) -> DataFrame:
+    e = trace.event_stream(spark, f"{folder}/events.parquet*")
+    n = F.col("event_id")
+    status = F.when(n % 41 == 0, 429).when(n % 997 == 0, 401).otherwise(200)
+    kind = F.when(n % 3 == 0, "reserve").when(n % 3 == 1, "reply").otherwise("look")
+    calls = e.select((F.col("user_id") % 8).alias("key_id"), "event_id", "ts", kind.alias("kind"), F.lit(300).alias("cost"), status.alias("status"))
+    return _streamed(spark, trace.key_state_stream(calls))
 
 
 @query

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when nothing refers to them any more; a cluster's own session needs the same setting.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -43,19 +45,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """The rows of df, kept reliably in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
     The setting is read from the session; only where it is unset, as in local
     tests, a temporary folder is taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
+    return os.path.join(tempfile.gettempdir(), "gradeloom-checkpoints")
+
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """The rows of df, kept reliably in the shared folder; see shared_folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not configured:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
-            configured = os.path.join(tempfile.gettempdir(), "gradeloom-checkpoints")
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from gradeloom.operators import budget
 from gradeloom.plans import catalog
 from gradeloom.streaming import trace
 
@@ -76,7 +77,28 @@ def test_streamed_budget_agrees_with_a_replay(spark, data):
     assert trace.EVENTS.startswith("event_id")
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"stream_trace_windows", "stream_budget"}))
+def test_streamed_key_states_agree_with_a_replay(spark, data):
+    found = {r.event_id: tuple(r)[2:] for r in catalog.queries()["stream_key_states"](spark, data).collect()}
+    states: dict = {}
+    for r in spark.read.parquet(f"{data}/events.parquet").selectExpr("event_id", "user_id", "unix_millis(cast(ts as timestamp)) as ms").orderBy("ms", "event_id").collect():
+        n, key = r.event_id, r.user_id % 8
+        event = budget.KeyEvent(("reserve", "reply", "look")[n % 3], r.ms, 300, 429 if n % 41 == 0 else 401 if n % 997 == 0 else 200)
+        states[key] = budget.after(states.get(key, budget.KeyState()), event)
+        assert found[n] == (budget.room(states[key]), states[key].reserved, states[key].in_flight, states[key].dead)
+
+
+def test_streams_carry_state_over_restarts(spark, tmp_path):
+    source = spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}", 1, 60.0) for i in range(5)], "event_id bigint, ts string, user_id bigint, value double").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "'x' as event_type", "value", "'' as props")
+    folder = str(tmp_path / "in")
+    granted = []
+    for part in ("event_id < 2", "event_id >= 2"):
+        source.where(part).coalesce(1).write.mode("append").parquet(folder)
+        stream = trace.budget_stream(trace.event_stream(spark, folder), limit=150)
+        granted = [r.granted for r in trace.run_to_files(stream, str(tmp_path / "out")).orderBy("event_id").collect()]
+    assert granted == [True, True, False, False, False]
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"stream_trace_windows", "stream_budget", "stream_key_states"}))
 def test_plans_hold_no_cross_join(spark, data, name):
     plan = catalog.queries()[name](spark, data)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
