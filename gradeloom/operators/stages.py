@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.labels import label_key
-from gradeloom.functions.marks import answer_status, is_too_short, point_quality
+from gradeloom.functions.marks import answer_status, clamp, is_too_short, point_quality
 from gradeloom.functions.text import normalize_text, token_overlap
-from gradeloom.operators import align, assess, choice, exam, lines, match, model, segment
+from gradeloom.operators import align, assess, choice, exam, lines, match, model, replies, segment
 from gradeloom.session import checkpointed
 
 # Confidence of an answer that the model placed but shares no words with its question, under this overlap and from this length on.
@@ -38,6 +38,66 @@ def segment_papers(doc_lines: DataFrame, totals: DataFrame, groups: DataFrame |
     return questions.drop("max_marks").join(marks, ["doc_id", "head_index"])
 
 
+EXAM_SCHEMA = {
+    "type": "object", "required": ["questions"],
+    "props": {
+        "title": {"type": "string", "max": 200, "default": ""}, "subject": {"type": "string", "max": 120, "default": ""}, "totalMarks": {"type": "number", "min": 0, "default": 0},
+        "questions": {"type": "array", "max": 80, "of": {"type": "object", "required": ["text"], "props": {"number": {"type": "string", "max": 20, "default": ""}, "text": {"type": "string", "max": 2000}, "maxMarks": {"type": "number", "min": 0, "max": 200, "default": 0}}}},
+    },
+}
+_EXAM = "title string, subject string, totalMarks double, questions array<struct<number:string,text:string,maxMarks:double>>"
+
+
+def read_exams(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(exams, questions) from a model's readings of question papers.
+
+    found: exam_id, raw. exams: exam_id, title, subject, declared_total (null
+    unless positive), error (why nothing could be read, or null). questions:
+    exam_id, ord, number, text, max_marks, ready for exam.validated_questions;
+    marks of 0 and blank numbers are missing.
+    """
+    read = checkpointed(replies.recover_replies(found.select("exam_id", "raw"), EXAM_SCHEMA).select("exam_id", F.from_json("value", _EXAM).alias("e"), "error"))
+    exams = read.select("exam_id", "e.title", "e.subject", F.when(F.col("e.totalMarks") > 0, F.col("e.totalMarks")).alias("declared_total"), "error")
+    each = read.select("exam_id", F.posexplode("e.questions").alias("pos", "q"))
+    number = F.when(F.trim("q.number") != "", F.trim("q.number"))
+    return exams, each.select("exam_id", (F.col("pos") + 1).alias("ord"), number.alias("number"), F.col("q.text").alias("text"), F.when(F.col("q.maxMarks") > 0, F.col("q.maxMarks")).alias("max_marks"))
+
+
+REPLY_SCHEMA = {
+    "type": "object", "required": ["marksAwarded"],
+    "props": {
+        "marksAwarded": {"type": "number", "min": 0}, "grounding": {"type": "string", "enum": [assess.REFERENCE, assess.GENERAL, assess.INSUFFICIENT], "default": assess.GENERAL}, "relevant": {"type": "boolean", "default": True},
+        "annotations": {"type": "array", "max": 12, "of": {"type": "object", "required": ["text"], "props": {
+            "text": {"type": "string", "max": 400}, "type": {"type": "string", "enum": ["correct", "partial", "wrong", "missing"], "default": "partial"},
+            "marks": {"type": "string", "default": ""}, "confidence": {"type": "string", "default": ""}, "evidenceId": {"type": "string", "default": ""}}}},
+    },
+}
+_REPLY = "marksAwarded double, grounding string, relevant boolean, annotations array<struct<text:string,type:string,marks:string,confidence:string,evidenceId:string>>"
+
+
+def assess_questions(found: DataFrame, questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """question_key, marks_awarded, grounding, n_cited, confidence, failed, error: a model's replies held against limits and evidence.
+
+    found: question_key, raw. questions: question_key, max_marks, detection.
+    evidence: question_key, chunk_id. A question without a readable reply has
+    failed, with 0 marks, no confidence and nothing to rest on. Marks are
+    clamped, citations of evidence that isn't there count for nothing.
+    """
+    read = checkpointed(replies.recover_replies(found.select("question_key", "raw"), REPLY_SCHEMA).select("question_key", F.from_json("value", _REPLY).alias("e"), "error"))
+    notes = read.select("question_key", F.posexplode("e.annotations").alias("ann_ord", "a")).select(
+        "question_key", "ann_ord", F.col("a.type").alias("type"), F.col("a.marks").try_cast("double").alias("marks"), F.col("a.confidence").try_cast("double").alias("confidence"), F.col("a.evidenceId").alias("evidence_id")
+    )
+    known = questions.join(read, "question_key", "left")
+    failed = F.col("e").isNull()
+    marks = known.select("question_key", F.when(failed, 0.0).otherwise(clamp(F.col("e.marksAwarded"), 0.0, F.coalesce("max_marks", F.lit(0.0)))).alias("marks_awarded"), failed.alias("failed"), F.when(failed, F.coalesce("error", F.lit("no reply"))).alias("error"))
+    reported = known.select("question_key", F.coalesce("e.grounding", F.lit(assess.INSUFFICIENT)).alias("reported"))
+    grounds = assess.resolved_grounding(reported, assess.checked_citations(notes, evidence), evidence)
+    asked = known.join(grounds.select("question_key", "grounding"), "question_key").select("question_key", "detection", "grounding", F.coalesce("e.relevant", F.lit(True)).alias("relevant"))
+    confidence = assess.question_confidence(notes, asked)
+    joined = marks.join(grounds.select("question_key", "grounding", "n_cited"), "question_key").join(confidence, "question_key")
+    return joined.select("question_key", "marks_awarded", "grounding", "n_cited", F.when(F.col("failed"), 0.0).otherwise(F.col("confidence")).alias("confidence"), "failed", "error")
+
+
 def match_answers(doc_lines: DataFrame, questions: DataFrame, papers: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     """paper_id, question_id, number, answer_text, line_ids, confidence, method, skipped: an answer, found or not, for every question of every paper.
 

@@ -433,7 +433,8 @@ def question_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cited(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    evidence = bm25_topk(spark, folder).select(F.col("query_id").alias("question_key"), "chunk_id", "rk")
+    # Kept: it is cited from, and what is cited is held against it.
+    evidence = checkpointed(bm25_topk(spark, folder).select(F.col("query_id").alias("question_key"), "chunk_id", "rk"))
     odd = F.when(F.col("question_key") % 3 == 0, F.concat("chunk_id", F.lit("?"))).otherwise(F.col("chunk_id"))
     return evidence, evidence.where("rk <= 2").select("question_key", F.col("rk").alias("ann_ord"), odd.alias("evidence_id"))
 
@@ -972,6 +973,29 @@ def uploads_decided(spark: SparkSession, folder: str) -> DataFrame:
     return files.decided_uploads(named, "owner")
 
 
+@query
+def extracted_exams(spark: SparkSession, folder: str) -> DataFrame:
+    """Exams as a model would read them off the paper, some of the replies cut short."""
+    q = questions(spark, folder).where("text is not null")
+    each = F.transform(F.array_sort(F.collect_list(F.struct("ord", "number", "text", "max_marks"))), lambda x: F.struct(x["number"].alias("number"), x["text"].alias("text"), x["max_marks"].alias("maxMarks")))
+    body = F.to_json(F.struct(F.lit("Paper").alias("title"), F.array().cast("array<string>").alias("notes"), each.alias("questions")))
+    raw = q.groupBy("exam_id").agg(body.alias("body")).select("exam_id", F.when(F.col("exam_id") % 5 == 0, F.lit("I can't read it.")).otherwise(F.concat(F.lit("Sure:\n```json\n"), "body", F.lit("\n```"))).alias("raw"))
+    exams_, read = stages.read_exams(raw)
+    return exams_.select("exam_id", "title", F.col("error").isNotNull().alias("unread")).join(read, "exam_id", "left")
+
+
+@query
+def assessed_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies on the questions that have evidence, with citations, some of them of evidence that isn't there."""
+    evidence, cited = _cited(spark, folder)
+    note = F.to_json(F.struct(F.lit("It holds.").alias("text"), F.lit("correct").alias("type"), (F.col("question_key") % 60 + 30).cast("string").alias("confidence"), F.col("evidence_id").alias("evidenceId")))
+    notes = cited.groupBy("question_key").agg(F.array_join(F.array_sort(F.collect_list(note)), ",").alias("n"))
+    k = F.col("question_key")
+    raw = notes.select(k, F.when(k % 11 == 0, "no idea").otherwise(F.concat(F.lit('{"marksAwarded": '), (k % 9).cast("string"), F.lit(', "grounding": "reference", "relevant": '), F.when(k % 7 == 0, "false").otherwise("true"), F.lit(', "annotations": ['), "n", F.lit("]}"))).alias("raw"))
+    asked_of = asked(spark, folder).select(F.col("query_id").alias("question_key"), F.lit(5.0).alias("max_marks"), F.when(F.col("query_id") % 2 == 0, 70.0).alias("detection"))
+    return stages.assess_questions(raw, asked_of, evidence).drop("error")
+
+
 @query
 def segmented_papers(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)

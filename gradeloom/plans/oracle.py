@@ -365,6 +365,13 @@ SQL: dict[str, str] = {
         UNION ALL SELECT exam_id, 'missing_marks', NULL, CAST(count(*) AS VARCHAR), true FROM j WHERE m IS NULL GROUP BY exam_id
         UNION ALL SELECT exam_id, 'no_questions', NULL, NULL, true FROM (SELECT DISTINCT exam_id FROM questions WHERE exam_id NOT IN (SELECT exam_id FROM j))
         UNION ALL SELECT doc_id, 'choice', NULL, description, false FROM described""",
+    "extracted_exams": f"""WITH {_QUESTIONS}, k AS (SELECT exam_id, row_number() OVER (PARTITION BY exam_id ORDER BY ord) AS place, nullif(trim(coalesce(number, '')), '') AS number, text, max_marks FROM questions WHERE text IS NOT NULL)
+        SELECT exam_id, 'Paper' AS title, false AS unread, CAST(place AS INT) AS ord, number, trim(text) AS text, CASE WHEN max_marks > 0 THEN max_marks END AS max_marks FROM k WHERE exam_id % 5 <> 0
+        UNION ALL SELECT DISTINCT exam_id, NULL, true, NULL::INT, NULL, NULL, NULL FROM k WHERE exam_id % 5 = 0""",
+    "assessed_questions": f"""WITH {_CITED}, n AS (SELECT question_key AS k, count(cited_id) AS cited FROM checked GROUP BY 1), q AS (SELECT query_id AS k, n.k IS NOT NULL AND query_id % 11 <> 0 AS read_, coalesce(cited, 0) AS cited, n.k IS NOT NULL AS held FROM asked LEFT JOIN n ON n.k = query_id),
+        g AS (SELECT *, CASE WHEN NOT held THEN 'INSUFFICIENT' WHEN NOT read_ THEN 'INSUFFICIENT' WHEN cited = 0 THEN 'GENERAL' ELSE 'REFERENCE' END AS grounding FROM q)
+        SELECT k AS question_key, CASE WHEN read_ THEN least(5.0, (k % 9)::DOUBLE) ELSE 0.0 END AS marks_awarded, grounding, CASE WHEN read_ THEN cited ELSE 0 END AS n_cited,
+          CASE WHEN NOT read_ THEN 0.0 ELSE least((k % 60 + 30)::DOUBLE, CASE WHEN k % 2 = 0 THEN 70.0 ELSE 100.0 END, CASE WHEN grounding = 'INSUFFICIENT' THEN 65.0 ELSE 1000.0 END, CASE WHEN k % 7 = 0 THEN 55.0 ELSE 1000.0 END) END AS confidence, NOT read_ AS failed FROM g""",
     "coverage_buckets": f"WITH {_STATUS} SELECT paper_id, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("detected", "uncertain", "not_detected", "unanswered", "evaluation_failed")) + " FROM status GROUP BY paper_id",
     "review_issues_with_warnings": f"WITH {_STATUS} SELECT paper_id, count(*) FILTER (skipped OR failed OR confidence < 60) + count(*) FILTER (failed) AS n_issues FROM status GROUP BY paper_id",
     "paired_coverage": f"""WITH {_BM25}, held AS (SELECT DISTINCT query_id, unnest({stems('text')}) AS term FROM top JOIN passages USING (chunk_id)),

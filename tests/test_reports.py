@@ -173,3 +173,18 @@ def test_white_space_and_hashes(spark):
     for unit in (0x78, 0xD83D, 0xDE00):
         h = (h * 33 + unit) % 2**32
     assert found[2][2] == h
+
+
+def test_exams_are_read_from_replies(spark):
+    raw = [(1, '{"title": "T", "totalMarks": "20", "questions": [{"number": " 1 ", "text": "What?", "maxMarks": 5}, {"text": "Why?"}, {"number": "3"}]}'), (2, "no"), (3, None)]
+    exams, questions = stages.read_exams(spark.createDataFrame(raw, "exam_id int, raw string"))
+    assert [(r.exam_id, r.declared_total, r.error is None) for r in exams.orderBy("exam_id").collect()] == [(1, 20.0, True), (2, None, False), (3, None, False)]
+    assert rows(questions) == [(1, 1, "1", "What?", 5.0), (1, 2, None, "Why?", None)]
+
+
+def test_replies_are_held_against_limits_and_evidence(spark):
+    raw = [("a", '{"marksAwarded": 999, "grounding": "REFERENCE", "annotations": [{"text": "x", "evidenceId": "c9", "confidence": 40}, {"text": "y", "confidence": "60"}]}'), ("b", "?"), ("z", "{}")]
+    questions = spark.createDataFrame([("a", 2.0, None), ("b", 3.0, 80.0), ("c", 4.0, 80.0)], "question_key string, max_marks double, detection double")
+    evidence = spark.createDataFrame([("a", "c1")], "question_key string, chunk_id string")
+    found = {r.question_key: (r.marks_awarded, r.grounding, r.n_cited, r.confidence, r.failed) for r in stages.assess_questions(spark.createDataFrame(raw, "question_key string, raw string"), questions, evidence).collect()}
+    assert found == {"a": (2.0, "GENERAL", 0, 50.0, False), "b": (0.0, "INSUFFICIENT", 0, 0.0, True), "c": (0.0, "INSUFFICIENT", 0, 0.0, True)}
