@@ -326,6 +326,20 @@ SQL: dict[str, str] = {
           UNION ALL SELECT n.user_id, n.event_id, n.cost, n.i, n.o, n.cost <= n.had, CASE WHEN n.cost <= n.had THEN n.had - n.cost ELSE n.had END
           FROM (SELECT e.*, CASE WHEN e.now_ >= r.opened + 60000 THEN e.now_ ELSE r.opened END AS o, CASE WHEN e.now_ >= r.opened + 60000 THEN 150 ELSE r.remaining END AS had FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) n)
         SELECT user_id, event_id, cost, granted, remaining FROM r""",
+    "stream_key_states": """WITH RECURSIVE e AS (SELECT user_id % 8 AS key_id, event_id, epoch_ms(ts) AS now_, event_id % 3 AS kind, CASE WHEN event_id % 41 = 0 THEN 429 WHEN event_id % 997 = 0 THEN 401 ELSE 200 END AS status, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS i FROM events),
+        r AS (SELECT key_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST(8000 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS reset_at, CAST(0 AS BIGINT) AS reserved, CAST(0 AS BIGINT) AS in_flight, false AS dead FROM (SELECT DISTINCT key_id FROM e)
+          UNION ALL SELECT key_id, event_id, i,
+            CASE WHEN kind <> 1 THEN had WHEN status = 401 OR status = 429 THEN 0 ELSE greatest(0, had - 300) END,
+            CASE WHEN kind = 1 AND status = 429 AND due = 0 THEN now_ + 20000 ELSE due END,
+            CASE kind WHEN 0 THEN reserved + 300 WHEN 1 THEN greatest(0, reserved - 300) ELSE reserved END, CASE kind WHEN 0 THEN in_flight + 1 WHEN 1 THEN greatest(0, in_flight - 1) ELSE in_flight END, dead OR (kind = 1 AND status = 401)
+          FROM (SELECT e.*, r.reserved, r.in_flight, r.dead, CASE WHEN r.reset_at > 0 AND e.now_ >= r.reset_at THEN 8000 ELSE r.remaining END AS had, CASE WHEN r.reset_at > 0 AND e.now_ >= r.reset_at THEN 0 ELSE r.reset_at END AS due FROM r JOIN e ON e.key_id = r.key_id AND e.i = r.i + 1))
+        SELECT key_id, event_id, CASE WHEN dead THEN 0 ELSE greatest(0, remaining - reserved) END AS available, reserved, in_flight, dead FROM r WHERE i > 0""",
+    "find_spans": f"""WITH {_BLOCKS}, n AS (SELECT block_id, question_text AS q, answer_text AS a, {norm('question_text')} AS t, string_split({norm('question_text')}, ' ') AS w FROM blocks WHERE trim(question_text) <> '' AND answer_text IS NOT NULL),
+        c AS (SELECT block_id, a, list_prepend(t, list_filter(list_transform(range(len(w) - 1, CAST(greatest(3, ceil(len(w) * 0.4::DOUBLE)) AS BIGINT) - 1, -1), lambda k: array_to_string(w[1:k], ' ')), lambda x: length(x) >= 10)) AS l FROM n WHERE instr(a, q) = 0 AND length(t) >= 3),
+        m AS (SELECT block_id, a, i, regexp_extract(a, '(?i)' || replace(l[i], ' ', '[^A-Za-z0-9]+')) AS hit FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM c)),
+        b AS (SELECT block_id, any_value(a) AS a, arg_min(hit, i) AS hit FROM m WHERE hit <> '' GROUP BY block_id)
+        SELECT block_id, CAST(instr(a, q) - 1 AS INT) AS start, CAST(instr(a, q) - 1 + length(q) AS INT) AS "end", true AS exact FROM n WHERE instr(a, q) > 0
+        UNION ALL SELECT block_id, CAST(instr(a, hit) - 1 AS INT), CAST(instr(a, hit) - 1 + length(hit) AS INT), false FROM b""",
     "apply_proposals": f"""WITH RECURSIVE {_KEYED}, {_LINES}, {_BLOCKS}, {_WANTED},
         owners AS (SELECT DISTINCT ON (exam_id, key) * FROM keyed WHERE key <> '' ORDER BY exam_id, key, ord DESC),
         free AS (SELECT paper_id, line_id, line_index FROM lines l WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.answer_id % 2 = 0 AND w.paper_id = l.paper_id AND w.line_id = l.line_id)),
