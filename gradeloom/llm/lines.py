@@ -28,6 +28,7 @@ _LEADER = re.compile(r"\.{4,}\s*(?:p\.?\s*)?\d+\s*$")
 _RULE = re.compile(r"[\s|:+=-]+")
 _MARKER = re.compile(r"\[(?:illegible|unclear|unreadable)\]|\?\?|xxx+|___")
 _RUN = re.compile(r"([^.\s_-])\1{5,}")
+_DIGIT = re.compile(r"\d")
 _MIXED = re.compile(r"[A-Za-z]\d|\d[A-Za-z]")
 _VOWEL = re.compile("[aeiouyäöüáéíóúèêàâîôûœऀ-ॿ]")
 _SEGMENT = re.compile(r"[,;|/\t]|\s{2,}|\.{3,}|:\s")
@@ -37,6 +38,10 @@ _is_grammar = frozenset(w for w in ALL_FUNCTION_WORDS if len(w) > 1).__contains_
 _is_clause_word = frozenset(w for w in CLAUSE_WORDS if len(w) > 1).__contains__
 
 
+def _cells(body: str) -> list[str]:
+    return [c for c in map(str.strip, _CELLS.split(body)) if c]
+
+
 def _has_marker(s: str) -> bool:
     # Most lines have none of what every marker holds.
     return ("[" in s or "?" in s or "x" in s or "_" in s) and bool(_MARKER.search(s))
@@ -66,13 +71,18 @@ def classify_line(text: str | None) -> int:
     if PAGE_NUMBER.match(s):
         return FURNITURE
     body = _BULLET.sub("", s, count=1)
-    cells = [c for c in (c.strip() for c in _CELLS.split(body)) if c]
-    numeric = sum(1 for c in cells if _NUMBER_CELL.match(c))
-    if len(cells) >= 2 and numeric and numeric >= len(cells) - 1 - (len(cells) > 4) and not (n >= 4 and len(cells) == 2):
-        return TABLE
-    if _RULE.fullmatch(s) and "-" in s and ("|" in s or "+" in s):
+    # Most lines have none of the signs that a rule looks for: these are asked for first.
+    digit = bool(_DIGIT.search(s))
+    cells: list[str] = []
+    numeric = 0
+    if digit or "-" in s or "n" in s or "N" in s:
+        cells = _cells(body)
+        numeric = sum(1 for c in cells if _NUMBER_CELL.match(c))
+        if len(cells) >= 2 and numeric and numeric >= len(cells) - 1 - (len(cells) > 4) and not (n >= 4 and len(cells) == 2):
+            return TABLE
+    if "-" in s and ("|" in s or "+" in s) and _RULE.fullmatch(s):
         return TABLE
-    if _LEADER.search(s):
+    if "...." in s and _LEADER.search(s):
         return LIST
     real = n - single
     if fw < 3 and real < 6 and _has_marker(s):
@@ -81,27 +91,29 @@ def classify_line(text: str | None) -> int:
         dense = s.replace(" ", "")
         if sum(c.isalpha() or "ऀ" <= c <= "ॿ" for c in dense) < 0.55 * len(dense) or _RUN.search(s):
             return JUNK
-    rev = sum(w in _REVERSED for w in ws)
+    rev = sum(map(_REVERSED.__contains__, ws))
     if rev >= 2 and rev > clause:
         return JUNK
     parts = s.split()
-    if sum(1 for w in parts if len(w) > 5 and _MIXED.search(w)) * 2 >= len(parts):
+    if digit and sum(1 for w in parts if len(w) > 5 and _MIXED.search(w)) * 2 >= len(parts):
         return JUNK
     if n >= 4 and real * 2 <= n and fw * 2 <= n:
         return JUNK
     long = [w for w in ws if len(w) > 3]
-    if long and sum(not _VOWEL.search(w) for w in long) * 2 >= len(long):
+    if long and len(list(filter(_VOWEL.search, long))) * 2 <= len(long):
         return JUNK
-    segments = [x.split() for x in _SEGMENT.split(body)]
-    longest = max((len(x) for x in segments), default=0)
     if clause and n >= 3 and real * 2 > n:
         return PROSE
+    segments = [x.split() for x in _SEGMENT.split(body)]
+    longest = max(map(len, segments), default=0)
     if longest >= 5:
         if fw * 10 < n and not s[0].isupper() and n >= 6:
             return JUNK
         return PROSE if body == s or clause else LIST
     if body == s and len(segments) == 1 and n >= 3 and len(s) >= 28 and fw and not all(p[:1].isupper() for p in parts if p.isalpha()):
         return PROSE
-    if body == s and n >= 3 and all(p[:1].isupper() or not p[:1].isalpha() or len(p) < 3 for p in parts) and len(cells) <= 3 and not numeric == len(cells):
-        return FURNITURE
+    if body == s and n >= 3 and all(p[:1].isupper() or not p[:1].isalpha() or len(p) < 3 for p in parts):
+        cells = cells or _cells(body)
+        if len(cells) <= 3 and numeric != len(cells):
+            return FURNITURE
     return LIST

@@ -94,7 +94,8 @@ def header_keys(text: str) -> list[str]:
 
 
 def _folded(text: str) -> list[str]:
-    return [fold_scan(w) for w in _WORDS.findall(text.lower()) if not _NUMBER.match(w)]
+    # No fold reaches over a space.
+    return fold_scan(" ".join([w for w in _WORDS.findall(text.lower()) if not _NUMBER.match(w)])).split()
 
 
 def page_kind(lines: list[tuple[int, int]]) -> int:
