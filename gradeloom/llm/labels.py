@@ -25,8 +25,9 @@ LEAD_WORDS = (
     "ans answer antwort aufg aufgabe frage n no nr nro num number numero número part preg pregunta q qn que ques quesion quest"
     " question rep reponse resp respuesta rép réponse sol soln solution to"
 ).split()
-# Words that lead a section.
-SECTION_WORDS = "section sec sección seccion teil abschnitt partie".split()
+# Words that lead a section, and those that lead a part.
+SECTION_WORDS = "section sec sección seccion abschnitt".split()
+PARTS = ["part", "parte", "partie", "teil"]
 # Number words of the languages of the exams, from one on.
 NUMBER_WORDS = (
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty",
@@ -34,7 +35,7 @@ NUMBER_WORDS = (
     "un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf vingt",
     "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig",
 )
-LEAD_WORDS += SECTION_WORDS
+LEAD_WORDS += SECTION_WORDS + PARTS[1:]
 # Roman numerals from one to twenty.
 ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split()
 # Letters and signs that are read in place of a digit.
@@ -50,7 +51,6 @@ _GLUED = re.compile(r"(q|qn|ans|no)([\dsilo|]+.*)")
 _NUMBER_PART = re.compile(r"(\d+)([a-hivx]+)")
 #: Levels that a label may have.
 MOST_LEVELS = 4
-PART = "part"
 
 
 def tokens_of(label: str) -> list[str]:
@@ -186,9 +186,9 @@ def read_label(tokens: list[str], repaired: list[str | None], has_parent: bool,
     levels: list[dict[str, float]] = []
     lead = said_part = bare = False
     for token, word, near in zip(tokens, repaired, [*similar, *[None] * len(tokens)]):
-        if not levels and word in LEAD_WORDS and word != PART and token not in _ROMAN_VALUE:
+        if not levels and word in LEAD_WORDS and word not in PARTS and token not in _ROMAN_VALUE:
             lead = True
-        elif word == PART and len(levels) < 2 and not bare:
+        elif word in PARTS and len(levels) < 2 and not bare:
             said_part = True
         elif levels:
             levels.append(read_part(token))

@@ -68,7 +68,7 @@ def test_pages_that_are_no_prose(spark):
     assert rows(found) == [(1, 13, "list"), (1, 14, "table"), (1, 15, "junk")]
 
 
-@pytest.mark.parametrize("prose, tables", [(12, 8), (132, 88), (90, 130)])
+@pytest.mark.parametrize("prose, tables", [(12, 8), (132, 88), (90, 130), (60, 240)])
 def test_pages_of_a_language_that_is_often_no_prose(spark, prose, tables):
     english = ["The part | of the plant | 4.5", *TABLE]
     found = quality.page_kinds(line_table(spark, *[PROSE] * prose, *[english] * tables))
@@ -302,7 +302,7 @@ def test_labels_of_other_lists(spark):
     lists = {1: ["3", "3(a)", "3(a)(i)", "3(a)(ii)", "3(b)"], 2: ["I", "II", "III"], 3: ["A1", "A2", "B1", "B2"], 4: ["3.2.1", "3.2.2"], 5: ["Section A", "Section B"], 6: ["Essay", "Letter"], 7: ["1", "2", "3"], 8: ["Q1", "Q2", "Q3a"], 9: ["7(a)", "7(b)"]}
     cases = [
         (1, 1, "Ans 3 a ii", "3(a)(ii)"), (2, 1, "Q3(b)", "3(b)"), (3, 1, "3 (a) (iii)", "unmatched"), (4, 2, "Q. 3", "III"), (5, 2, "two", "II"), (6, 3, "B-2", "B2"), (7, 3, "ans a1", "A1"), (8, 3, "b2.", "B2"), (9, 4, "Q 3-2-1", "3.2.1"),
-        (10, 5, "sec. b", "Section B"), (11, 6, "Esay", "Essay"), (12, 7, "drei", "3"), (13, 7, "Pregunta dos", "2"), (14, 7, "trois", "3"), (15, 8, "3(a)", "Q3a"), (16, 8, "question 2", "Q2"), (17, 9, "Vll (b)", "unmatched"), (18, 9, "VII b", "7(b)"), (19, 6, "Sonnet", "unmatched"),
+        (10, 5, "sec. b", "Section B"), (11, 6, "Esay", "Essay"), (12, 7, "drei", "3"), (13, 7, "Pregunta dos", "2"), (14, 7, "trois", "3"), (15, 8, "3(a)", "Q3a"), (16, 8, "question 2", "Q2"), (17, 9, "Vll (b)", "unmatched"), (18, 9, "VII b", "7(b)"), (19, 6, "Sonnet", "unmatched"), (20, 9, "7 parte b", "7(b)"), (21, 9, "Aufgabe 7 Teil a", "7(a)"),
     ]
     own = spark.createDataFrame([(b, e, x, None) for b, e, x, _ in cases], "block_id bigint, exam_id bigint, question_number string, parent_block_id bigint")
     found = labels.resolve_labels(own, spark.createDataFrame([(e, n) for e, ns in lists.items() for n in ns], "exam_id bigint, q_number string"))
