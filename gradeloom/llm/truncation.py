@@ -24,7 +24,7 @@ from gradeloom.llm.arrow import map_rows
 from gradeloom.llm.automaton import half_escape, open_at_end, open_markup
 from gradeloom.llm.pages import DIGITAL, HYPHENS, LEAST_SLACK, SIGNS, page_openings, scan_pages
 from gradeloom.llm.pairs import ends_in_excuse, is_copied, is_refusal, plain_answer
-from gradeloom.llm.vocabulary import END_ONE, END_TWO, NAME, PAIR, STRIP, TERMINATORS, WORD, bare, corpus_counts, frequent_keys, frequent_words, masked
+from gradeloom.llm.vocabulary import CLEAN, END_ONE, END_TWO, NAME, PAIR, STRIP, TERMINATORS, bare, corpus_counts, frequent_keys, frequent_words, masked
 from gradeloom.session import checkpointed, prepare
 
 BROKEN = "�"
@@ -129,17 +129,18 @@ def _answer_tails(answers: DataFrame) -> DataFrame:
     return map_rows(answers.select(F.col("block_id").cast("bigint"), F.col("source").cast("string"), F.col("question_text").cast("string"), F.col("answer_text").cast("string")), schema, tails)
 
 
-def without_words(judged: DataFrame, counts: DataFrame, least: int = 5) -> DataFrame:
+def without_words(judged: DataFrame, counts: DataFrame, least: int = 5, times: float = 3.0) -> DataFrame:
     """judged without the fragments that are words after all, though not frequent ones.
 
     judged: rec_id, reason, core (the last token, bare) and others; kept in the
-    checkpoint folder, as it is read twice. A word stands within lines, `least`
-    times and as often as it ends them so; a fragment stands at ends alone.
+    checkpoint folder, as it is read twice. A word stands within typed texts,
+    `least` times and `times` as often as values end on it so; a fragment
+    stands at ends, and else only among the scattered letters of junk.
     """
     kept = checkpointed(judged)
     ends = kept.where("reason = 'fragment'").groupBy("core").agg(F.count(F.lit(1)).alias("n_ends"))
-    inner = counts.where((F.col("kind") == WORD) & (F.col("n") >= least)).select(F.col("word").alias("core"), F.col("n").alias("n_inner"))
-    words = ends.join(inner, "core").where("n_inner >= n_ends").select("core", F.lit("fragment").alias("reason"))
+    inner = counts.where((F.col("kind") == CLEAN) & (F.col("n") >= least)).select(F.col("word").alias("core"), F.col("n").alias("n_inner"))
+    words = ends.join(inner, "core").where(F.col("n_inner") >= times * F.col("n_ends")).select("core", F.lit("fragment").alias("reason"))
     return kept.join(words, ["core", "reason"], "left_anti").drop("core")
 
 

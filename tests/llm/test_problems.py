@@ -169,7 +169,7 @@ def test_rates_count_second_deliveries_once(spark):
 
 
 def test_rare_words_are_no_fragments(spark):
-    counts = spark.createDataFrame([("w", "plan", 9), ("w", "leav", 6), ("w", "tem", 3), ("c", "tem", 90)], "kind string, word string, n bigint")
+    counts = spark.createDataFrame([("c", "plan", 9), ("c", "leav", 20), ("c", "tem", 3), ("w", "tem", 90)], "kind string, word string, n bigint")
     judged = [(1, "fragment", "plan"), (2, "fragment", "tem"), (3, "open", "plan"), (4, "fragment", None), *((i, "fragment", "leav") for i in range(10, 17))]
     kept = truncation.without_words(spark.createDataFrame(judged, "rec_id bigint, reason string, core string"), counts)
     assert {r.rec_id for r in kept.collect()} == {2, 3, 4, *range(10, 17)}
