@@ -7,6 +7,7 @@ stand in for marked questions, events for requests, embeddings for vectors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -764,19 +765,22 @@ def page_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Pages drawn from the boxes of their lines, measured again."""
     width, height = 120, 160
 
-    @F.udf(returnType="binary", useArrow=True)
-    def draw(boxes):
+    def draw(batch):
         import numpy as np
 
-        page = np.full((height, width, 4), 255, dtype=np.uint8)
-        for b in boxes:
-            x, y = int(b["x"] * width), int(b["y"] * height)
-            page[y : y + 2, x : x + max(4, int(b["width"] * width)), :3] = 20
-        return page.tobytes()
-
-    own = page_lines(spark, folder).where("bbox is not null").groupBy(F.col("paper_id").alias("doc_id"), "page").agg(F.collect_list("bbox").alias("boxes"))
-    drawn = own.select("doc_id", "page", F.lit(width).alias("width"), F.lit(height).alias("height"), draw("boxes").alias("pixels"))
-    return images.page_bands(drawn)
+        white, dark = np.array([[255] * 4, [20, 20, 20, 255]], dtype=np.uint8).view(np.uint32).ravel()
+        boxes = batch.column("boxes")
+        each = boxes.flatten()
+        places = zip(*(each.field(k).to_pylist() for k in ("x", "y", "width")))
+        for n in boxes.value_lengths().to_pylist():
+            page = np.full((height, width), white)
+            for bx, by, wide in islice(places, n):
+                x, y = int(bx * width), int(by * height)
+                page[y : y + 2, x : x + max(4, int(wide * width))] = dark
+            yield page.view(np.uint8).reshape(height, width, 4)
+
+    own = page_lines(spark, folder).where("bbox is not null").groupBy(F.col("paper_id").alias("doc_id"), "page").agg(F.collect_list(F.struct("bbox.x", "bbox.y", "bbox.width")).alias("boxes"))
+    return images.page_bands(own, draw)
 
 
 def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:

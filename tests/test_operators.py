@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import align, assess, budget, choice, exam, images, lines, match, placement, replies, retrieval, review, segment
+from gradeloom.plans import catalog
 
 
 def rows(df):
@@ -282,6 +283,98 @@ def test_lines_of_a_page_are_found(slope, ink):
     assert len(bands) == 12 and skew == round(math.degrees(math.atan(slope)), 1)
 
 
+def plain_bands(np, rgba):
+    """find_bands pixel by pixel: each slope, each row and each band on its own."""
+    height, width = rgba.shape[:2]
+    x0, x1, y0, y1 = math.floor(width * 0.015), math.ceil(width * 0.985), math.floor(height * 0.015), math.ceil(height * 0.985)
+    grey = (rgba[y0:y1, x0:x1, :3].astype(np.int64) @ np.array([299, 587, 114])) // 1000
+    threshold = images.threshold_of(np.bincount(grey.ravel(), minlength=256)[:256])
+    ys, xs = np.nonzero(grey <= threshold)
+    ys, xs = ys + y0, xs + x0
+
+    def middle(values):
+        return float(np.sort(values)[len(values) // 2]) if len(values) else 0.0
+
+    def sheared(slope):
+        return ys - np.floor(slope * (xs - (x0 + x1) / 2) + 0.5).astype(np.int64)
+
+    def profile(rows):
+        return np.bincount(rows[(rows >= 0) & (rows < height)], minlength=height)
+
+    slope, best = 0.0, -1.0
+    for candidate in images.SLOPES if len(xs) >= 100 else ():
+        score = float((profile(sheared(candidate)).astype(float) ** 2).sum())
+        if score > best * 1.002:
+            slope, best = candidate, score
+    rows = sheared(slope)
+    ink = profile(rows)[y0:y1]
+    enough = [int(n >= max(2.0, middle(ink[ink > 0]) * 0.3)) for n in ink]
+    starts = [y0 + k for k, n in enumerate(enough) if n and not (k and enough[k - 1])]
+    ends = [y0 + k for k, n in enumerate(enough) if n and not (k + 1 < len(enough) and enough[k + 1])]
+    usual = middle([b - a + 1 for a, b in zip(starts, ends)]) or max(1.0, height * 0.02)
+    merged, bands = [], []
+    for a, b in zip(starts, ends):
+        if merged and a - merged[-1][1] - 1 <= max(1.0, usual * 0.3):
+            merged[-1][1] = b
+        else:
+            merged.append([a, b])
+    for top, bottom in merged:
+        mine = (rows >= top) & (rows <= bottom)
+        if bottom - top + 1 >= max(1.0, height * 0.006) and mine.any():
+            bands.append((ys[mine].min() / height, (ys[mine].max() + 1) / height, xs[mine].min() / width, (xs[mine].max() + 1) / width, int(mine.sum())))
+    return threshold, round(math.degrees(math.atan(slope)), 1), bands
+
+
+def test_bands_of_pages_agree_with_the_plain_form():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for trial in range(150):
+        height, width = (int(v) for v in rng.integers(1, 200, 2))
+        some = rng.integers(0, 256, (3, height, width, 4), dtype=np.uint8)
+        if trial % 3:
+            some[..., :3] = 240
+            for k in range(3):
+                for _ in range(int(rng.integers(0, 9))):
+                    y, x, tilt = int(rng.integers(0, height)), int(rng.integers(0, width)), float(rng.choice([0.0, 0.03, -0.05]))
+                    for c in range(x, width):
+                        some[k, max(0, int(y + tilt * (c - x))) :, c, :3][: int(rng.integers(1, 4))] = rng.integers(0, 200)
+        if trial % 5 == 0:
+            some[:, height // 2 : height // 2 + 2] = 9
+        assert images.bands_of_pages(some) == [plain_bands(np, rgba) for rgba in some]
+
+
+def test_page_images_of_any_size_and_broken_ones(spark):
+    import numpy as np
+
+    given = [page(np), page(np, width=120, height=160, lines_=3), page(np, slope=0.02), page(np, lines_=0), page(np, lines_=5)]
+    rows = [(k, k, rgba.shape[1], rgba.shape[0], rgba.tobytes()) for k, rgba in enumerate(given)] + [(7, 1, 10, 10, b"abc"), (8, 1, None, 10, b""), (9, 1, 0, 0, b""), (10, 1, 10, 10, None), (None, None, 120, 160, given[1].tobytes())]
+    table = spark.createDataFrame(rows, "doc_id bigint, page int, width int, height int, pixels binary").coalesce(1)
+    found = images.page_bands(table).collect()
+    expected = [(k, k, t, s, i, *b) for k, (t, s, bands) in [*enumerate(map(images.find_bands, given)), (None, images.find_bands(given[1]))] for i, b in enumerate(bands)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected)) and len(found) > 30
+
+
+def test_few_drawn_pages_are_held_as_pixels(spark, data):
+    def read(batch):
+        import weakref
+
+        import numpy as np
+
+        alive = []
+        for _ in range(batch.num_rows):
+            rgba = np.full((160, 120, 4), 255, dtype=np.uint8)
+            rgba[40:44, 10:100, :3] = 20
+            alive = [r for r in alive if r() is not None] + [weakref.ref(rgba)]
+            assert len(alive) < 60
+            yield rgba
+
+    own = spark.range(2000).selectExpr("id as doc_id", "1 as page").coalesce(1)
+    assert images.page_bands(own, read).where("ink = 360").count() == 2000
+    plan = catalog.queries()["page_bands"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
 def test_threshold_agrees_with_the_plain_form(spark):
     import numpy as np
 
